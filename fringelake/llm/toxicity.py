@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 SAMPLE = 16_000
 #: Features in fewer sampled documents than this are not learned.
 LEAST = 4
+#: Features that the classifier weighs at most.
+SCREENED = 20_000
 #: Words that name groups of people, by kind; a word is swapped for the others of its kind.
 IDENTITY = {
     "faith": "muslim christian jewish hindu buddhist sikh catholic atheist",
@@ -62,16 +64,22 @@ def _csr(rows: list[np.ndarray], names: np.ndarray) -> tuple[np.ndarray, np.ndar
     return row[ok], at[ok]
 
 
-def train(own: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[int, np.ndarray]], penalty: float = 1.0, l1: float = 4e-4, l2: float = 1e-4, steps: int = 150) -> tuple[np.ndarray, np.ndarray, float]:
+def train(own: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[int, np.ndarray]], penalty: float = 1.0, l1: float = 1e-3, l2: float = 1e-4, steps: int = 300) -> tuple[np.ndarray, np.ndarray, float]:
     """(feature hashes, weights, bias) by proximal accelerated gradient steps.
 
     The loss is the mean log loss, plus `penalty` times the mean squared change of the log odds when an identity term
-    is swapped, plus an elastic net that leaves most weights at zero.
+    is swapped, plus an elastic net that leaves most weights at zero; its `l1` is larger for small samples. Only the
+    SCREENED features with the steepest slope at the base rate are weighed.
     """
     every, df = np.unique(np.concatenate(own), return_counts=True) if own else (np.zeros(0, np.uint32), np.zeros(0, int))
     names = every[df >= LEAST]
     n, d = len(own), len(names)
     row, col = _csr(own, names)
+    if d > SCREENED:
+        slope = np.abs(np.bincount(col, labels[row] - labels.mean(), d))
+        names = names[slope >= np.partition(slope, d - SCREENED)[d - SCREENED]]
+        d, (row, col) = len(names), _csr(own, names)
+    l1 = max(l1, 0.05 / np.sqrt(max(1, n)))
     srow, scol = _csr([s for _, s in swaps], names)
     base = np.array([i for i, _ in swaps], int)
     w, b = np.zeros(d), 0.0
