@@ -22,6 +22,11 @@ FIRST_DAY, RADICES = "1900-01-01", (250, 292)
 STATE = "struct<a: array<int>, b: array<int>, ra: array<int>, rb: array<int>>"
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def feistel(values: Column, radices: Column, key: Column, rounds: int = 8) -> Column:
     """A keyed permutation of the arrays of digits below `radices`, digit by digit.
 
@@ -34,12 +39,12 @@ def feistel(values: Column, radices: Column, key: Column, rounds: int = 8) -> Co
 
     def turn(s: Column, i: Column) -> Column:
         stream = F.sha2(F.concat_ws("|", key, i.cast("string"), F.array_join(s["b"].cast("array<string>"), ",")).cast("binary"), 256)
-        shift = lambda j: F.conv(F.substring(stream, F.pmod(j * 5, F.lit(60)) + 1, 5), 16, 10).cast("int")
-        moved = F.transform(s["a"], lambda v, j: F.pmod(v + shift(j), F.element_at(s["ra"], j + 1)))
+        shift = lambda hexes, j: F.conv(F.substring(hexes, F.pmod(j * 5, F.lit(60)) + 1, 5), 16, 10).cast("int")
+        moved = let(stream, lambda hexes: F.transform(s["a"], lambda v, j: F.pmod(v + shift(hexes, j), F.element_at(s["ra"], j + 1))))
         return F.struct(s["b"].alias("a"), moved.alias("b"), s["rb"].alias("ra"), s["ra"].alias("rb")).cast(STATE)
 
-    out = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, turn)
-    return F.concat(out["a"], out["b"])  # an even number of rounds leaves the halves in place
+    # an even number of rounds leaves the halves in place
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, turn, lambda s: F.concat(s["a"], s["b"]))
 
 
 def _letters(text: Column) -> Column:
@@ -75,11 +80,11 @@ def _card(text: Column, key: Column) -> Column:
     """All digits but the last are permuted, and the last made to fit again; separators stay where they are."""
     digits = F.regexp_replace(text, "[ -]", "")
     head = _shuffled(F.substr(digits, F.lit(1), F.length(digits) - 1), key, ("0123456789",))
-    tried = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(head, d.cast("string")))
-    new = F.element_at(F.filter(tried, _checked), 1)
+    tried = lambda h: F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(h, d.cast("string")))
+    new = F.element_at(F.filter(let(head, tried), _checked), 1)
     before = lambda i: F.length(F.regexp_replace(F.substr(text, F.lit(1), i), "[ -]", ""))
-    back = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.when(F.substr(text, i, F.lit(1)).isin(" ", "-"), F.substr(text, i, F.lit(1))).otherwise(F.substr(new, before(i), F.lit(1))))
-    return F.when(_checked(digits), F.array_join(back, "")).otherwise(text)
+    back = lambda n: F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.when(F.substr(text, i, F.lit(1)).isin(" ", "-"), F.substr(text, i, F.lit(1))).otherwise(F.substr(n, before(i), F.lit(1))))
+    return F.array_join(let(new, back), "")
 
 
 def _numbers(values: list[Column], radices: list[int | Column], key: Column) -> Column:
@@ -95,9 +100,12 @@ def _ssn(text: Column, key: Column) -> Column:
     """Areas 001 to 899 without 666, groups 01 to 99, serials 0001 to 9999."""
     parts = F.transform(F.split(text, "-"), lambda x: x.cast("int"))
     area = parts[0] - 1 - F.when(parts[0] > 666, 1).otherwise(0)
-    new = _numbers([area, parts[1] - 1, parts[2] - 1], [898, 99, 9999], key)
-    area = new[0] + 1 + F.when(new[0] + 1 >= 666, 1).otherwise(0)
-    return F.concat_ws("-", F.lpad(area.cast("string"), 3, "0"), F.lpad((new[1] + 1).cast("string"), 2, "0"), F.lpad((new[2] + 1).cast("string"), 4, "0"))
+
+    def told(new: Column) -> Column:
+        area = new[0] + 1 + F.when(new[0] + 1 >= 666, 1).otherwise(0)
+        return F.concat_ws("-", F.lpad(area.cast("string"), 3, "0"), F.lpad((new[1] + 1).cast("string"), 2, "0"), F.lpad((new[2] + 1).cast("string"), 4, "0"))
+
+    return let(_numbers([area, parts[1] - 1, parts[2] - 1], [898, 99, 9999], key), told)
 
 
 def _phone(text: Column, key: Column) -> Column:
@@ -110,17 +118,16 @@ def _phone(text: Column, key: Column) -> Column:
     first = lambda i: nth(i).isin(1, 4)
     values = F.transform(chars, lambda c, i: F.when(~digit(c), 0).otherwise(F.when(digit(c), c).cast("int") - F.when(first(i), 2).otherwise(0)))
     radices = F.transform(chars, lambda c, i: F.when(~digit(c), 1).when(first(i), 8).otherwise(10))
-    new = feistel(values, radices, key)
-    out = F.transform(chars, lambda c, i: F.when(digit(c), (F.element_at(new, i + 1) + F.when(first(i), 2).otherwise(0)).cast("string")).otherwise(c))
-    return F.concat(lead, F.array_join(out, ""))
+    out = lambda new: F.transform(chars, lambda c, i: F.when(digit(c), (F.element_at(new, i + 1) + F.when(first(i), 2).otherwise(0)).cast("string")).otherwise(c))
+    return F.concat(lead, F.array_join(let(feistel(values, radices, key), out), ""))
 
 
 def _date(text: Column, key: Column) -> Column:
     """Days from FIRST_DAY are permuted; what is no date, or outside, stays."""
     high, low = RADICES
     day = F.date_diff(F.try_to_date(text), F.lit(FIRST_DAY).cast("date"))
-    new = _numbers([F.floor(day / low).cast("int"), (day % low).cast("int")], [high, low], key)
-    return F.when((day >= 0) & (day < high * low), F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), new[0] * low + new[1]), "yyyy-MM-dd")).otherwise(text)
+    told = lambda new: F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), new[0] * low + new[1]), "yyyy-MM-dd")
+    return F.when((day >= 0) & (day < high * low), let(_numbers([F.floor(day / low).cast("int"), (day % low).cast("int")], [high, low], key), told)).otherwise(text)
 
 
 def pseudonym(found: Column, key: str = "fringelake") -> Column:
@@ -155,11 +162,11 @@ def pseudonymise(docs: DataFrame, key: str = "fringelake") -> DataFrame:
     repeated rows and empty tables need nothing special. A column named n_replaced is replaced.
     """
     rest = [c for c in docs.columns if c != "n_replaced"]
-    found = F.regexp_extract_all("text", F.lit(ANY), F.lit(0))
-    new = F.transform(found, lambda m: pseudonym(m, key))
+    held = F.col("text").rlike("[0-9@=]") & F.col("text").rlike(ANY)  # every kind needs one of these, and most texts have none
+    out = docs.select(*rest, F.when(held, F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias("__found"))
+    out = out.select(*rest, "__found", F.transform("__found", lambda m: pseudonym(m, key)).alias("__new"))
     parts = F.split("text", ANY, -1)
-    joined = F.array_join(F.zip_with(parts, F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    count = F.size(F.filter(F.arrays_zip(found.alias("old"), new.alias("new")), lambda z: z["old"] != z["new"]))
-    out = docs.select(*rest, F.when(F.col("text").rlike(ANY), F.struct(joined.alias("text"), count.cast("long").alias("n"))).alias("__new"))
-    text = F.when(F.col("__new").isNull(), F.col("text")).otherwise(F.col("__new.text")).alias("text")
-    return out.select(*(text if c == "text" else F.col(c) for c in rest), F.coalesce("__new.n", F.lit(0)).cast("long").alias("n_replaced"))
+    joined = F.array_join(F.zip_with(parts, F.concat("__new", F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    text = F.when(F.col("__new").isNull(), F.col("text")).otherwise(joined).alias("text")
+    count = F.size(F.filter(F.arrays_zip("__found", "__new"), lambda z: z["__found"] != z["__new"]))
+    return out.select(*(text if c == "text" else F.col(c) for c in rest), F.when(F.col("__new").isNull(), 0).otherwise(count).cast("long").alias("n_replaced"))
