@@ -86,19 +86,30 @@ def train(own: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[int, np.n
     if not n or labels.min() == labels.max():
         return names[:0], w[:0], float(np.log((labels.sum() + 0.5) / (n - labels.sum() + 0.5))) if n else -4.0
     y, look, tk = labels.astype(float), (w, b), 1.0
-    share = np.bincount(row, minlength=n).mean() + 1
-    rate = 16.0 / share
+
+    def pulls(z, v):
+        """Gradient in the weights of the counterfactual penalty, of the margins z and weights v."""
+        if not len(base):
+            return 0.0
+        delta = (z[base] - np.bincount(srow, v[scol], len(base))) * (2 * penalty / len(base))
+        return np.bincount(col, np.bincount(base, delta, n)[row], d) - np.bincount(scol, delta[srow], d)
+
+    # the largest curvature, by power iteration, bounds the step
+    v, vb, most = np.ones(d), 1.0, 1.0
+    for _ in range(25):
+        most = np.sqrt(v @ v + vb * vb)
+        v, vb = v / most, vb / most
+        z = np.bincount(row, v[col], n)
+        v, vb = np.bincount(col, ((z + vb) * (0.25 / n))[row], d) + pulls(z, v), float((z + vb).mean() * 0.25)
+    rate = 1 / (1.2 * np.sqrt(v @ v + vb * vb) + l2)
     for _ in range(steps):
         lw, lb = look
         z = np.bincount(row, lw[col], n)
-        g = (1 / (1 + np.exp(-(z + lb))) - y) / n
-        gw, gb = np.bincount(col, g[row], d) + l2 * lw, g.sum()
-        if len(base):
-            delta = z[base] - np.bincount(srow, lw[scol], len(base))
-            pull = np.bincount(base, delta, n) * 2 * penalty / len(base)
-            gw += np.bincount(col, pull[row], d) - np.bincount(scol, (delta * 2 * penalty / len(base))[srow], d)
-        step = lw - rate * gw
-        w2, b2 = np.sign(step) * np.maximum(np.abs(step) - rate * l1, 0), lb - rate * gb
+        g = (1 / (1 + np.exp(-np.clip(z + lb, -50, 50))) - y) / n
+        step = lw - rate * (np.bincount(col, g[row], d) + l2 * lw + pulls(z, lw))
+        w2, b2 = np.sign(step) * np.maximum(np.abs(step) - rate * l1, 0), lb - rate * g.sum()
+        if (lw - w2) @ (w2 - w) + (lb - b2) * (b2 - b) > 0:  # the momentum points uphill: start it anew
+            tk = 1.0
         t2 = (1 + np.sqrt(1 + 4 * tk * tk)) / 2
         look = (w2 + (tk - 1) / t2 * (w2 - w), b2 + (tk - 1) / t2 * (b2 - b))
         w, b, tk = w2, b2, t2
