@@ -27,7 +27,7 @@ def tracks(spark: SparkSession, stations=UTS, declination: float = -50.0, hour_a
     u = F.sin(h) * x + F.cos(h) * y
     v = F.cos(h) * x * -math.sin(dec) + F.sin(h) * y * math.sin(dec) + z * math.cos(dec)
     out = a.join(b, F.col("station_a") < F.col("station_b")).crossJoin(F.broadcast(axes))
-    key = ((F.col("frame") * 1000 + F.col("station_a")) * 1000 + F.col("station_b")) * 1000 + F.col("channel")
+    key = ((F.col("frame").cast("long") * 1000 + F.col("station_a")) * 1000 + F.col("station_b")) * 1000 + F.col("channel")
     return out.select(key.cast("long").alias("sample_id"), "frame", "channel", "station_a", "station_b", u.alias("u"), v.alias("v"), "wavel", (F.col("ha") / 24.0).alias("mjd"))
 
 
