@@ -634,3 +634,79 @@ def worst_status(spark, sf_dir):
     z = (F.col("value") - 0.9) / F.col("error")
     c = derived.samples(spark, sf_dir).groupBy("user_id").agg((F.sum(z * z) / F.count("*")).alias("value")).select((F.col("user_id") % 7).alias("grp"), checks.rule(F.col("value"), 2.0, 5.0).alias("status"))
     return checks.worst(c, ["grp"])
+
+
+# Further scalar functions and models ---------------------------------------------------------------------------------
+
+
+@query(f"WITH {SAMPLES}, b AS (SELECT sqrt(u * u + v * v) / wavel AS b FROM samples) SELECT round({180 * 3600e3 / math.pi!r}::DOUBLE / max(b), 6) AS finest, round({180 * 3600e3 / math.pi!r}::DOUBLE / min(b) FILTER (b > 0), 6) AS coarsest FROM b")
+def fringe_scales(spark, sf_dir):
+    return rounded(select.fringe_scales(derived.samples(spark, sf_dir)), 6, "finest", "coarsest")
+
+
+@query(f"""WITH {SAMPLES} SELECT channel, round(avg(0.2::DOUBLE * pow(wavel / 1.65e-6::DOUBLE, -1.5::DOUBLE)), 9) AS power_law, round(avg(pow(wavel / 1.65e-6::DOUBLE, -5) * (exp({photometry.HC_K!r}::DOUBLE / 1.65e-6::DOUBLE / 1500) - 1) / (exp({photometry.HC_K!r}::DOUBLE / wavel / 1500) - 1)), 6) AS black_body,
+    round(avg(exp(-4 * ln(2::DOUBLE) * pow((wavel - 3.2e-6::DOUBLE) / 2e-7::DOUBLE, 2))), 9) AS gaussian_line, round(avg(1 / (1 + 4 * pow((wavel - 3.2e-6::DOUBLE) / 2e-7::DOUBLE, 2))), 9) AS lorentzian_line FROM samples GROUP BY 1""")
+def spectra_by_channel(spark, sf_dir):
+    w = F.col("wavel")
+    parts = {"power_law": photometry.power_law(0.2, -1.5, w), "black_body": photometry.black_body(1.0, 1500.0, w), "gaussian_line": photometry.gaussian_line(1.0, 3.2e-6, 2e-7, w), "lorentzian_line": photometry.lorentzian_line(1.0, 3.2e-6, 2e-7, w)}
+    return derived.samples(spark, sf_dir).groupBy("channel").agg(*(F.round(F.avg(c), 6 if n == "black_body" else 9).alias(n) for n, c in parts.items()))
+
+
+@query("""WITH c AS (SELECT l_suppkey, l_linenumber AS chain, avg(l_extendedprice) AS m, var_samp(l_extendedprice) AS v, count(*) AS n FROM lineitem GROUP BY 1, 2), g AS (SELECT l_suppkey, avg(v) AS w, var_samp(m) AS b, avg(n) AS n FROM c GROUP BY 1)
+    SELECT l_suppkey, round(sqrt((w * (n - 1) / n + b) / w), 6) AS r_hat FROM g""")
+def r_hat_sites(spark, sf_dir):
+    draws = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_linenumber").alias("chain"), F.col("l_extendedprice").alias("value"))
+    return rounded(checks.r_hat(draws, ["l_suppkey"]), 6, "r_hat")
+
+
+@query(f"WITH {RADIO} SELECT point_id, round(weight * exp(-(u * u + v * v) * {(math.pi * 20.0 * MAS) ** 2 / (4 * math.log(2))!r}::DOUBLE), 9) AS imaging_weight FROM radio")
+def tapered_weights(spark, sf_dir):
+    return rounded(imaging.imaging_weights(derived.radio(spark, sf_dir), 5e5, "natural", taper_fwhm=20.0), 9, "imaging_weight").select("point_id", "imaging_weight")
+
+
+@query(f"""WITH {SAMPLES}, a AS (SELECT r AS ratio, value, error, u / wavel * sin(radians(30)) + v / wavel * cos(radians(30)) AS y, (u / wavel * cos(radians(30)) - v / wavel * sin(radians(30))) * r AS x FROM samples, unnest([0.3::DOUBLE, 0.6, 1.0]) q(r)),
+    m AS (SELECT ratio, value, error, exp((x * x + y * y) * {-2 * math.pi**2 * (2.0 * MAS) ** 2 / (8 * math.log(2))!r}::DOUBLE) AS v FROM a) SELECT ratio, round(-0.5::DOUBLE * sum(pow((v * v - value) / error, 2)), 3) AS loglike FROM m GROUP BY 1""")
+def elliptical_gaussian_grid(spark, sf_dir):
+    points = grid.axes(spark, ratio=[0.3, 0.6, 1.0])
+    out = grid.likelihood_grid(derived.samples(spark, sf_dir), points, models.EllipticalGaussian(fwhm=2.0, ratio="ratio", pa=30.0), n_points=3)
+    return rounded(out, 3, "loglike").join(F.broadcast(points), "point_id").select("ratio", "loglike")
+
+
+@query(f"""WITH {SAMPLES}, o AS (SELECT p AS period, value, error, u / wavel AS u, v / wavel AS v, 2 * pi() * (mjd - 3) / p AS m FROM samples, unnest([5.0::DOUBLE, 11, 40]) q(p)),
+    f AS (SELECT period, value, error, (u * 4 * sin(m) + v * 4 * cos(m)) * {K2} AS p FROM o), g AS (SELECT period, value, error, pow((1 + 0.2::DOUBLE * cos(p)) / 1.2::DOUBLE, 2) + pow(0.2::DOUBLE * sin(p) / 1.2::DOUBLE, 2) AS v FROM f)
+    SELECT period, round(-0.5::DOUBLE * sum(pow((v - value) / error, 2)), 3) AS loglike FROM g GROUP BY 1""")
+def orbital_binary_grid(spark, sf_dir):
+    """A companion on a circle at each sample's own time, scored for three periods."""
+    points = grid.axes(spark, period=[5.0, 11.0, 40.0])
+    model = models.OrbitalBinary(orbit=kepler.Kepler(period="period", t_peri=3.0, a=4.0), ratio=0.2)
+    term = grid.chi2_terms(model, uv=models.samples_uv(mjd=True))
+    out = grid.evaluate(derived.samples(spark, sf_dir), points, {"chi2": term}, n_points=3)
+    return out.join(F.broadcast(points), "point_id").select("period", F.round(F.col("chi2") * -0.5, 3).alias("loglike"))
+
+
+@query(f"""WITH {SAMPLES}, f AS (SELECT b AS width, value, error, (u / wavel * 6 + v / wavel * 3) * {K2} AS p, (u / wavel * 6 + v / wavel * 3) * {MAS!r}::DOUBLE * b / wavel AS x FROM samples, unnest([1e-8::DOUBLE, 2e-7, 5e-7]) q(b)),
+    g AS (SELECT *, 0.1::DOUBLE * CASE WHEN x = 0 THEN 1 ELSE sin(pi() * x) / (pi() * x) END AS s FROM f), h AS (SELECT width, value, error, pow((1 + s * cos(p)) / 1.1::DOUBLE, 2) + pow(s * sin(p) / 1.1::DOUBLE, 2) AS v FROM g)
+    SELECT width, round(-0.5::DOUBLE * sum(pow((v - value) / error, 2)), 3) AS loglike FROM h GROUP BY 1""")
+def smeared_binary_grid(spark, sf_dir):
+    """The same binary seen through channels of three widths."""
+    points = grid.axes(spark, width=[1e-8, 2e-7, 5e-7])
+    s = models.samples_uv()
+    uv = models.Uv(s.u, s.v, s.wavel, None, F.col("width"))
+    out = grid.evaluate(derived.samples(spark, sf_dir), points, {"chi2": grid.chi2_terms(models.BinaryCartesian(x=6.0, y=3.0, ratio=0.1), uv=uv)}, n_points=3)
+    return out.join(F.broadcast(points), "point_id").select("width", F.round(F.col("chi2") * -0.5, 3).alias("loglike"))
+
+
+@query(f"""SELECT p_partkey, round(pow(p_size * 2.0::DOUBLE * {kepler.AU!r}::DOUBLE / 100, 3) * {4 * math.pi**2 / kepler.GM_SUN!r}::DOUBLE / pow(p_retailprice * 86400, 2), 9) AS mass FROM part""")
+def kepler_masses(spark, sf_dir):
+    """Kepler's third law at 20 parsecs, sizes as axes in mas and prices as periods in days."""
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(kepler.total_mass(F.col("p_size").cast("double"), F.col("p_retailprice"), 20.0), 9).alias("mass"))
+
+
+@query(f"""WITH {EPOCHS}, r AS (SELECT k AS orbit, dra - 2 * sin(mjd / k) AS x, ddec - 2 * cos(mjd / k) AS y FROM ep, unnest([50.0::DOUBLE, 90, 200]) q(k))
+    SELECT orbit, round(sum(-0.5::DOUBLE * (0.5::DOUBLE * x * x - 0.4::DOUBLE * x * y + 0.8::DOUBLE * y * y) / 0.36::DOUBLE - 0.5::DOUBLE * ln(0.36::DOUBLE) - ln(2 * pi())), 3) AS loglike FROM r GROUP BY 1""")
+def position_loglike(spark, sf_dir):
+    """Positions with a full 2 x 2 covariance against three circular orbits."""
+    rows = derived.epochs(spark, sf_dir).withColumn("orbit", F.explode(F.array(F.lit(50.0), F.lit(90.0), F.lit(200.0))))
+    rows = rows.withColumn("cov", F.struct(F.lit(0.8).alias("xx"), F.lit(0.2).alias("xy"), F.lit(0.5).alias("yy")))
+    t = F.col("mjd") / F.col("orbit")
+    return rounded(orbits.position_loglike(rows, F.col("dra") - F.sin(t) * 2.0, F.col("ddec") - F.cos(t) * 2.0, ["orbit"]), 3, "loglike")
