@@ -64,9 +64,10 @@ def best_grid_point(spark, sf_dir):
     return rounded(grid.best_point(_binary(spark, sf_dir)), 4, "loglike").select("dra", "ddec", "flux", "loglike")
 
 
-@query(f"WITH {GRID_SQL} SELECT dra, ddec, arg_max(flux, loglike) AS flux, round(max(loglike), 4) AS loglike FROM ll GROUP BY ALL")
+@query(f"WITH {GRID_SQL} SELECT dra, ddec, arg_max(flux, loglike) AS flux, round(max(loglike), 4) AS loglike FROM ll WHERE NOT (dra = 0 AND ddec = 0) GROUP BY ALL")
 def optimized_flux_grid(spark, sf_dir):
-    return rounded(grid.best_per(_binary(spark, sf_dir), ["dra", "ddec"]), 4, "loglike").select("dra", "ddec", "flux", "loglike")
+    # at no offset the flux makes no difference
+    return rounded(grid.best_per(_binary(spark, sf_dir).where("not (dra = 0 and ddec = 0)"), ["dra", "ddec"]), 4, "loglike").select("dra", "ddec", "flux", "loglike")
 
 
 @query(f"""WITH {GRID_SQL}, r AS (SELECT loglike - (SELECT max(loglike) FROM ll) AS x, (CASE WHEN abs(dra) = 10 THEN 0.125 ELSE 0.25 END * CASE WHEN abs(ddec) = 10 THEN 0.125 ELSE 0.25 END * 0.5)::DOUBLE AS w,
