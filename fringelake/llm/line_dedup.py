@@ -2,24 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACE, materialize
+from .shared import SPACE, materialize, release
 
-#: Hash sums are kept in so many bits: a sum over any line then stays within a long.
-BITS = 40
+#: Blocks of a line of which candidates share all but one.
+BLOCKS = 8
+#: Candidate lines that are broadcast to their texts at most, some 16 MB, and lines that go, to all texts.
+BROADCAST, FEW = 400_000, 20_000
 
 
 def _words(line: Column) -> Column:
     return F.split(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), f"[{SPACE}]+")
 
 
-def _seal(*parts: Column) -> Column:
-    """128 bits of hash as two longs."""
-    return F.struct(F.xxhash64(*parts).alias("x"), F.xxhash64(F.lit(1), *parts).alias("y"))
-
-
 def _within_one(a: Column, b: Column) -> Column:
     """Whether one word inserted, deleted or replaced turns array a into b."""
 
@@ -30,48 +27,79 @@ def _within_one(a: Column, b: Column) -> Column:
     return (F.abs(F.size(a) - F.size(b)) <= 1) & (same(a, b) + same(F.reverse(a), F.reverse(b)) >= F.greatest(F.size(a), F.size(b)) - 1)
 
 
+def _half(n: Column) -> Column:
+    """Words at each end of a line that are hashed: at most half of them, and mostly the same for n and n - 1."""
+    return F.when(n < 32, F.floor(n / 2)).otherwise(F.floor(n / 16) * 8).cast("int")
+
+
+def _span(short: Column, i) -> tuple[Column, Column, Column]:
+    """(head, tail, block): words before and after block i of a line and, for a line of `short` words, within it."""
+    k = F.ceil(short / BLOCKS).cast("int")
+    head, tail = F.least(k * i, short), F.greatest(short - k * (i + 1), F.lit(0))
+    return head, tail, short - head - tail
+
+
+def _but_one_block(words: Column) -> Column:
+    """(rest, i, longer): hashes of a line without each of BLOCKS even blocks, as shorter and as longer line of a pair.
+
+    Blocks are cut by the shorter line's length, so that lines that differ by one edit in block i agree on the words
+    before and after it.
+    """
+    n = F.size(words)
+
+    def key(longer: bool, i: int) -> Column:
+        short = n - int(longer)
+        head, tail, _ = _span(short, i)
+        return F.struct(F.xxhash64(short, F.lit(i), F.slice(words, F.lit(1), head), F.slice(words, n - tail + 1, tail)).alias("rest"), F.lit(i).alias("i"), F.lit(longer).alias("longer"))
+
+    return F.array(*(key(longer, i) for longer in (False, True) for i in range(BLOCKS)))
+
+
+def _bounded(side: DataFrame, rows: int, most: int) -> DataFrame:
+    """The side of a join that is broadcast if its counted rows are at most `most`, and else shuffled."""
+    return F.broadcast(side) if rows <= most else side
+
+
 def near_lines(known: DataFrame, docs: DataFrame, near_words: int) -> DataFrame:
     """Seals of lines of `known` that have an earlier line within one word edit.
 
-    An edit leaves the first or the last half of the shorter line's words as they were, so only lines that share such a
-    half with another can match; these alone emit their variants: the line without its i-th word as (length, i, hash),
-    equal for lines that differ in that word, and as (length - 1, hash), equal to the hash of a whole line that lacks
-    it. Hashes are sums of word-and-place hashes, so that a line of n words costs n steps, not n^2. Lines meet only the
-    earliest line of a variant, never each other; what is found is verified on the words.
+    An edit leaves the first or the last words of the shorter line, up to half of it, as they were, so only lines that
+    share such a half with another can match; of these, only lines that share all but one of BLOCKS blocks. What is
+    left emits the deletion neighbourhood of that block, keyed with the hash of the rest: the block without its j-th
+    word as (j, hash), equal for lines that differ in that word, and as (hash), equal to the whole block of a line that
+    lacks it. Lines meet only the earliest line of a variant, never each other; what is found is verified on the words.
     """
-    short, long = (F.col("n") / 2).cast("int"), ((F.col("n") - 1) / 2).cast("int")
-    halves = known.where(F.col("n") >= near_words).select("seal", "first", F.explode(F.array_distinct(F.array(
-        F.struct(short.alias("m"), F.lit("p").alias("end"), F.col("p0").alias("h")), F.struct(short.alias("m"), F.lit("s").alias("end"), F.col("s0").alias("h")),
-        F.struct(long.alias("m"), F.lit("p").alias("end"), F.col("p1").alias("h")), F.struct(long.alias("m"), F.lit("s").alias("end"), F.col("s1").alias("h")),
-    ))).alias("half"))
-    halves = halves.select("seal", "first", F.xxhash64("half").alias("half"))
+    half = lambda end, m, h: F.when(F.col(h).isNotNull(), F.xxhash64(F.lit(end), F.col(m), F.col(h)))
+    keys = F.array_compact(F.array(half("p", "m0", "p0"), half("s", "m0", "s0"), half("p", "m1", "p1"), half("s", "m1", "s1")))
+    halves = known.select("seal", F.explode(keys).alias("half"))
     shared = halves.groupBy("half").count().where("count > 1").select("half")
-    maybe = materialize(halves.join(shared, "half").select("seal", "first").distinct(), "maybe")
-
-    told = docs.select("doc_id", F.split("text", "\n").alias("lines")).join(maybe.select(F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"), "seal"), "doc_id")
-    told = materialize(told.select("seal", F.struct("doc_id", "line").alias("at"), _words(F.col("lines")[F.col("line")]).alias("words")).dropDuplicates(["seal"]), "told")
-    cut = F.lit((1 << BITS) - 1)
-    place = lambda seed, shift: F.xxhash64(F.lit(seed), "word", F.col("i") - shift).bitwiseAND(cut)
-    spread = told.repartition("seal").select("seal", "at", F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))
-    line = Window.partitionBy("seal").orderBy("i")
-    before, every = line.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("seal")
-    after = line.rowsBetween(1, Window.unboundedFollowing)
-    for k in (1, 2):
-        spread = spread.withColumn(f"own{k}", place(k, 0)).withColumn(f"back{k}", place(k, 1))
-    total = lambda k: F.sum(f"own{k}").over(every)
-    gone = lambda k: F.coalesce(F.sum(f"own{k}").over(before), F.lit(0)) + F.coalesce(F.sum(f"back{k}").over(after), F.lit(0))
-    spread = spread.select("seal", "at", "n", "i", *((total(k) - F.col(f"own{k}")).alias(f"r{k}") for k in (1, 2)), *(total(k).alias(f"t{k}") for k in (1, 2)), *(gone(k).alias(f"d{k}") for k in (1, 2)))
-    variant = lambda kind, n, i, a, b: F.struct(F.lit(kind).alias("role"), _seal(F.lit(kind == "replaced"), n, i, a, b).alias("key"))
-    variants = spread.select("seal", "at", F.explode(F.filter(F.array(
-        variant("replaced", F.col("n"), F.col("i"), F.col("r1"), F.col("r2")),
-        variant("shortened", F.col("n") - 1, F.lit(0), F.col("d1"), F.col("d2")),
-        F.when(F.col("i") == 0, variant("whole", F.col("n"), F.lit(0), F.col("t1"), F.col("t2"))),
-    ), lambda v: v.isNotNull())).alias("v")).select("seal", "at", "v.role", "v.key")
-    firsts = variants.groupBy("key").agg(
+    maybe = materialize(halves.join(shared, "half").select("seal").distinct(), "maybe")
+    many = maybe.count()
+
+    asked = known.select("seal", "first").join(_bounded(maybe, many, BROADCAST), "seal").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("first.line", "seal")).alias("asked"))
+    told = docs.select("doc_id", "text").join(_bounded(asked, many, BROADCAST), "doc_id").select("doc_id", F.split("text", "\n").alias("lines"), F.explode("asked").alias("q"))
+    told = told.select(F.col("q.seal").alias("seal"), F.struct("doc_id", F.col("q.line").alias("line")).alias("at"), _words(F.col("lines")[F.col("q.line")]).alias("words"))
+    told = materialize(told.dropDuplicates(["seal"]), "told")
+
+    blocks = materialize(told.select("seal", F.explode(_but_one_block(F.col("words"))).alias("b")).select("seal", "b.*"), "blocks")
+    twice = blocks.groupBy("rest").count().where("count > 1").select("rest")
+    held = materialize(blocks.join(twice, "rest"), "held")
+    release(blocks)
+    n = F.size("words")
+    head, _, size = _span(n - F.col("longer").cast("int"), F.col("i"))
+    held = held.join(told, "seal").select("seal", "at", "rest", "longer", F.slice("words", head + 1, size + F.col("longer").cast("int")).alias("block"))
+    without = lambda j: (F.slice("block", F.lit(1), j), F.slice("block", j + 2, F.size("block")))
+    variant = lambda role, *parts: F.struct(F.lit(role).alias("role"), F.xxhash64("rest", F.lit(role == "replaced"), *parts).alias("x"), F.xxhash64(F.lit(1), "rest", *parts).alias("y"))
+    places = F.when(F.size("block") > 0, F.sequence(F.lit(0), F.size("block") - 1)).otherwise(F.array().cast("array<int>"))
+    replaced = F.transform(places, lambda j: variant("replaced", j, *without(j)))
+    shortened = F.transform(places, lambda j: variant("shortened", F.size("block") - 1, F.concat(*without(j))))
+    emitted = F.when(F.col("longer"), shortened).otherwise(F.concat(replaced, F.array(variant("whole", F.size("block"), F.col("block")))))
+    variants = held.select("seal", "at", F.explode(emitted).alias("v")).select("seal", "at", "v.*")
+    firsts = variants.groupBy("x", "y").agg(
         F.count("*").alias("many"), F.min(F.when(F.col("role") == "whole", F.struct("at", "seal"))).alias("whole"), F.min(F.when(F.col("role") != "whole", F.struct("at", "seal"))).alias("part")
     ).where("many > 1")
     earlier = F.when(F.col("role") == "shortened", F.col("whole")).otherwise(F.col("part"))
-    links = variants.join(firsts, "key").withColumn("to", earlier).where(F.col("to.at") < F.col("at")).select("seal", F.col("to.seal").alias("to")).distinct()
+    links = variants.join(firsts, ["x", "y"]).withColumn("to", earlier).where(F.col("to.at") < F.col("at")).select("seal", F.col("to.seal").alias("to")).distinct()
     a, b = told.select("seal", F.col("words").alias("a")), told.select(F.col("seal").alias("to"), F.col("words").alias("b"))
     return links.join(a, "seal").join(b, "to").where(_within_one(F.col("a"), F.col("b"))).select("seal").distinct()
 
@@ -81,15 +109,18 @@ def dropped_lines(docs: DataFrame, least_words: int = 5, near_words: int = 10) -
     docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "told")).select("doc_id", "line", _words(F.col("told")).alias("w"))
     n = F.size("w")
-    half = lambda m, last: F.when(n >= near_words, F.xxhash64(F.slice("w", F.when(last, n - m + 1).otherwise(F.lit(1)), m)))
-    short, long, yes, no = (n / 2).cast("int"), ((n - 1) / 2).cast("int"), F.lit(True), F.lit(False)
-    lines = lines.where(n >= least_words).select("doc_id", "line", _seal(F.col("w")).alias("seal"), n.alias("n"), half(short, no).alias("p0"), half(short, yes).alias("s0"), half(long, no).alias("p1"), half(long, yes).alias("s1"))
-    lines = materialize(lines, "lines")
-    known = lines.groupBy("seal").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("times"), *(F.min(c).alias(c) for c in ("n", "p0", "s0", "p1", "s1")))
+    m0, m1 = _half(n), _half(n - 1)
+    ends = lambda m, yes: (F.when(yes, F.xxhash64(F.slice("w", F.lit(1), m))), F.when(yes, F.xxhash64(F.slice("w", n - m + 1, m))))
+    (p0, s0), (p1, s1) = ends(m0, n >= near_words), ends(m1, (n >= near_words) & (m1 != m0))
+    lines = lines.where(n >= least_words).select("doc_id", "line", F.xxhash64("w").alias("x"), n.alias("n"), m0.alias("m0"), p0.alias("p0"), s0.alias("s0"), m1.alias("m1"), p1.alias("p1"), s1.alias("s1"), F.when(n < near_words, F.xxhash64(F.lit(1), "w")).alias("y"))
+    # 128 bits name a line: the hash of its words, and for longer lines that of its length and both ends
+    seal = F.struct("x", F.coalesce("y", F.xxhash64("n", "p0", "s0")).alias("y")).alias("seal")
+    lines = materialize(lines.select("doc_id", "line", seal, "m0", "p0", "s0", "m1", "p1", "s1"), "lines")
+    known = lines.groupBy("seal").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("times"), *(F.min(c).alias(c) for c in ("m0", "p0", "s0", "m1", "p1", "s1")))
     known = materialize(known, "known")
-    near = near_lines(known, docs, near_words).withColumn("near", F.lit(True))
-    bad = known.join(near, "seal", "left").where("times > 1 or near").select("seal", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    gone = lines.join(bad, "seal").where(F.col("near") | (F.struct("doc_id", "line") != F.col("first")))
+    near = materialize(near_lines(known, docs, near_words).withColumn("near", F.lit(True)), "near")
+    bad = known.select("seal", "first", "times").join(_bounded(near, near.count(), BROADCAST), "seal", "left").where("times > 1 or near").select("seal", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    gone = lines.select("doc_id", "line", "seal").join(bad, "seal").where(F.col("near") | (F.struct("doc_id", "line") != F.col("first")))
     return materialize(gone.select("doc_id", "line").distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list("line")).alias("lines")), "gone")
 
 
@@ -106,7 +137,8 @@ def line_dedup(docs: DataFrame, least_words: int = 5, near_words: int = 10) -> D
     """
     gone = dropped_lines(docs, least_words, near_words).select(F.col("doc_id").alias("__id"), F.col("lines").alias("__gone"))
     rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    out = docs.select(*rest).join(gone, F.col("doc_id") == F.col("__id"), "left")
+    lost = gone.agg(F.coalesce(F.sum(F.size("__gone")), F.lit(0))).first()[0]
+    out = docs.select(*rest).join(_bounded(gone, lost, FEW), F.col("doc_id") == F.col("__id"), "left")
     parts = F.split("text", "\n")
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__gone", i)), "\n")
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept).alias("text")

@@ -166,6 +166,7 @@ def test_line_dedup_is_brute_force(make):
 
 def test_line_dedup_shuffles_the_same(make, monkeypatch):
     monkeypatch.setattr(line_dedup, "BROADCAST", 0)
+    monkeypatch.setattr(line_dedup, "FEW", 10**6)
     rows = line_rows()
     got = line_dedup.line_dedup(make(rows))
     assert {"lines", "word"} <= set(got.columns)
