@@ -9,8 +9,8 @@ from .shared import SPACE, materialize, release
 
 #: Blocks of a line of which candidates share all but one.
 BLOCKS = 8
-#: Candidate lines that are broadcast to their texts at most, some 16 MB, and lines that go, to all texts.
-BROADCAST, FEW = 400_000, 20_000
+#: Candidate lines that are broadcast to their texts at most, some 16 MB, and numbers of lines that go, about as large.
+BROADCAST, FEW = 400_000, 2_000_000
 
 
 def _words(line: Column) -> Column:
