@@ -36,7 +36,7 @@ def with_targets(sources: DataFrame, weights: tuple[int, ...], share: float, rep
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, repeats: int = 2) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, virtual_finish.
+    """One row per document: doc_id, size, source_size, target, taken, virtual_finish, source.
 
     Documents are shuffled by md5 of the id. Copy e of a document finishes at virtual time
     (e * source_size + words of its source up to and with it) / target of its source. All copies in the order of that
@@ -94,4 +94,4 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
             end = F.struct(*(F.lit(last[c]).cast(dict(copies.dtypes)[c]).alias(c) for c in order))
             took = [F.struct(F.col(f"f{e}").alias("finish"), "named", "key", "doc_id", F.lit(e).alias("e")) <= end for e in range(repeats)]
     taken = sum((F.when(t & F.col(f"f{e}").isNotNull(), F.col("size")).otherwise(F.lit(0)) for e, t in enumerate(took)), F.lit(0))
-    return rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), F.col("f0").alias("virtual_finish"))
+    return rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), F.col("f0").alias("virtual_finish"), F.when(F.col("named") != "n", F.expr("substring(named, 2)")).alias("source"))
