@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 #: Buckets that character n-grams of 1 to 3 are hashed into.
 BUCKETS = 1 << 16
@@ -160,13 +161,15 @@ def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE, l1: float = 0.05,
 SCALE = 10.0
 
 
-def _predicted(model):
+def _predicted(model, text: int, passed: list[int], names: list[str]):
+    """The `passed` columns of each batch, and the language and score of its column `text`."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, w, t = model.value
         table, bias = np.ascontiguousarray(w[:-1], np.float32), w[-1]
         for b in batches:
             out, score = [], np.zeros(b.num_rows)
-            for i, x in enumerate(b.column(2)):
+            for i, x in enumerate(b.column(text)):
                 total, n = 0.0, 0
                 for g in grams(x.as_py() or ""):
                     total, n = total + table.take(g, axis=0).sum(axis=0, dtype=np.float64), n + len(g)
@@ -176,7 +179,7 @@ def _predicted(model):
                 p = _softmax((total / n + bias) / t)
                 out.append(langs[int(p.argmax())])
                 score[i] = p.max()
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*map(b.column, passed), pa.array(out, pa.string()), pa.array(score)], names)
 
     return run
 
@@ -190,4 +193,18 @@ def identify(docs: DataFrame, held_out: Column, **settings) -> DataFrame:
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, ~held_out, **settings))
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", held_out.alias("held_out"), F.col("text")).mapInArrow(_predicted(model), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    run = _predicted(model, 2, [0, 1], ["doc_id", "held_out", "lang_pred", "score"])
+    return docs.select("doc_id", held_out.alias("held_out"), F.col("text")).mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+
+
+def with_language(docs: DataFrame, held_out: Column, **settings) -> DataFrame:
+    """Every row of `docs`, all columns, with lang_pred and score as `identify` gives them.
+
+    Rows pass through the scan that scores them, so that nothing is joined and nothing shuffled. Columns named like
+    the two new ones are replaced; nulls, empty tables and repeated rows are as in `identify`.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, ~held_out, **settings))
+    rest = docs.drop("lang_pred", "score")
+    names = [*rest.columns, "lang_pred", "score"]
+    schema = StructType([*rest.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return rest.mapInArrow(_predicted(model, rest.columns.index("text"), list(range(len(rest.columns))), names), schema)
