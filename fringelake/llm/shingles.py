@@ -1,0 +1,114 @@
+"""Near copies by the exact Jaccard similarity of their word shingles; MinHash only finds the candidates."""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .shared import connected_components, materialize
+
+#: Minima that make one band; candidates share a band.
+ROWS = 5
+#: Probability that a pair at exactly the least similarity shares no band, and so is missed.
+MISS = 1e-7
+#: Shingles hashed at a time, rows of a batch that go out at a time.
+STEP, OUT = 1 << 12, 256
+#: Rounds in which buckets meet one member each, before all that is still apart in a bucket meets.
+HUBS = 3
+#: Rows, and shingles of all sets, of a side of a join that are broadcast at most, some tens of MB.
+FEW, FEW_SHINGLES = 1_000_000, 2_000_000
+
+
+def shingles(text: bytes, words: int = 5, seed: int = 42) -> np.ndarray:
+    """Sorted distinct hashes of a UTF-8 text's word shingles; a text of fewer words is one shingle, an empty one none."""
+    parts = text.lower().split()  # bytes: A-Z only, and the six ASCII spaces
+    words = min(words, len(parts))
+    digest = xxhash.xxh64_intdigest
+    found = {digest(b" ".join(parts[i : i + words]), seed) for i in range(len(parts) - words + 1)} if parts else set()
+    return np.sort(np.fromiter(found, np.uint64, len(found)))
+
+
+def bands(similarity: float) -> int:
+    """Bands of ROWS minima by which all but MISS of the pairs at `similarity` meet."""
+    return math.ceil(math.log(MISS) / math.log(1 - similarity**ROWS)) if similarity < 1 else 1
+
+
+def _marks(words: int, seed: int, count: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = np.random.default_rng(seed)
+        flip, times = rng.integers(0, 1 << 64, (2, count * ROWS), np.uint64)
+        times |= np.uint64(1)
+
+        def keys(found: np.ndarray) -> list[int]:
+            low = np.full(count * ROWS, ~np.uint64(0))
+            for i in range(0, len(found), STEP):
+                h = (found[i : i + STEP, None] ^ flip) * times
+                low = np.minimum(low, (h ^ (h >> np.uint64(32))).min(0))
+            return [xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(low.reshape(count, ROWS))] if len(found) else []
+
+        lists = lambda parts: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate([np.asarray(p, np.uint64) for p in parts]).view(np.int64)))
+        for b in batches:
+            for at in range(0, b.num_rows, OUT):
+                part = b.slice(at, OUT)
+                sets = [shingles(x.as_py() or b"", words, seed) for x in part.column(1)]
+                nodes = np.fromiter((xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes.view(np.int64)), lists([keys(s) for s in sets]), lists(sets)], ["doc_id", "node", "buckets", "found"])
+
+    return run
+
+
+def _near(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) of which the sets have the Jaccard similarity or more."""
+    most = pairs.select(F.col("v").alias("node")).distinct().join(sets, "node")
+    hubs = F.broadcast(most) if (most.agg(F.sum(F.size("found"))).first()[0] or 0) <= FEW_SHINGLES else most
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("found").alias("a")), "u").join(hubs.select(F.col("node").alias("v"), F.col("found").alias("b")), "v")
+    a, b = F.size("a"), F.size("b")
+    both = both.where(F.least(a, b) >= F.greatest(a, b) * (similarity - 1e-9)).withColumn("same", F.size(F.array_intersect("a", "b")))
+    return both.where(F.col("same") >= (a + b - F.col("same")) * F.lit(similarity) - 1e-9).select("u", "v")
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
+    """One row per document: doc_id, component_id (smallest doc_id reachable by links).
+
+    Documents link if the sets of their word shingles have the Jaccard similarity or more, which is verified on the sets.
+    Equal sets are one node. Candidates share a band of minima. Each bucket's members first meet one of them, as that
+    joins a dense group at the cost of its members; then members of a bucket that no chain of links joins yet all meet,
+    so that no pair of a bucket stays unverified. Null and empty texts have the empty set and are copies of each other;
+    a null doc_id never names a component that has another member. Other columns are ignored.
+    """
+    narrow = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    marked = materialize(narrow.mapInArrow(_marks(words, seed, bands(similarity)), f"doc_id {dict(docs.dtypes)['doc_id']}, node long, buckets array<long>, found array<long>"), "marked")
+    keys = marked.select("node", F.explode("buckets").alias("bucket")).distinct()
+    shared = materialize(keys.groupBy("bucket").agg(F.count("*").alias("many")).where("many > 1").select("bucket"), "shared")
+    held = materialize(keys.join(F.broadcast(shared) if shared.count() <= FEW else shared, "bucket"), "held")
+    nodes = held.select("node").distinct()
+    sets = marked.select("node", "found").join(F.broadcast(nodes) if nodes.count() <= FEW else nodes, "node")
+    sets = materialize(sets.groupBy("node").agg(F.any_value("found").alias("found")), "sets")
+
+    links = held.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
+    roots = links.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    now = held.withColumn("root", F.col("node"))
+    for turn in range(HUBS + 1):
+        apart = now.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "root")).alias("hub")).where("low != high")
+        if turn < HUBS:
+            pairs = now.join(apart, "bucket").where("root != hub.root").select(F.col("node").alias("u"), F.col("hub.node").alias("v"))
+        else:
+            left = now.join(apart.select("bucket"), "bucket")
+            pairs = left.select("bucket", F.col("node").alias("u"), F.col("root").alias("r")).join(left.select("bucket", F.col("node").alias("v"), F.col("root").alias("s")), "bucket").where("u < v and r != s").select("u", "v")
+        pairs = materialize(pairs.distinct(), "pairs")
+        if pairs.isEmpty():
+            break
+        links = links.union(materialize(_near(pairs, sets, similarity), "near"))
+        roots = materialize(connected_components(links), "roots")
+        now = materialize(held.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")), "now")
+
+    lows = marked.groupBy("node").agg(F.min("doc_id").alias("low")).join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
+    lows = materialize(lows, "lows")
+    named = lows.join(lows.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("node", "component_id")
+    return marked.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")

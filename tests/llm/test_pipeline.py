@@ -1,11 +1,12 @@
 """Each stage of the corpus pipeline against a plain version of its decisions."""
 
+import random
 from collections import Counter
 
 import corpus_pipeline as cp
 import pytest
 from pyspark.sql import functions as F
-from test_dedup import brute_lines, line_rows
+from test_dedup import brute_lines, classes, line_rows
 from test_learned import langs, mix_rows
 
 from fringelake.llm import langid, mixing, simhash
@@ -82,3 +83,39 @@ def test_run_over_whole_tables(spark, sf_dir):
     ids = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
     assert out.count() > 0 and out.join(ids, "doc_id", "left_anti").isEmpty()
     assert out.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
+
+
+def brute_near(rows):
+    """Smallest id of each row's group, by the Jaccard similarity of all pairs of five-word shingle sets."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        k = min(5, len(w))
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set())
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    group = classes(near, range(len(rows)))
+    low = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            low[group[i]] = min(d, low.get(group[i], d))
+    return near, [low.get(group[i]) for i in range(len(rows))]
+
+
+def test_simhash_stage_finds_all_of_similarity_four_fifths(make, spark):
+    rng = random.Random(6)
+    words = ["w%d" % i for i in range(300)]
+    rows = [(1000, None), (1001, ""), (1002, "one two"), (1003, "One  two")]
+    for i in range(30):
+        base = [rng.choice(words) for _ in range(rng.randint(30, 250))]
+        for j in range(5):
+            near = list(base)
+            for _ in range(len(base) * j // 100):
+                near[rng.randrange(len(near))] = "changed%d" % j
+            rows.append((i * 5 + j, " ".join(near)))
+    passage = " ".join(words[:40])
+    rows += [(2000 + i, passage + " " + " ".join(rng.choice(words) for _ in range(60))) for i in range(20)]
+    near, low = brute_near(rows)
+    by_bits = {r.doc_id: r.component_id for r in simhash.near_duplicates(make(rows)).collect()}
+    assert sum(by_bits[rows[i][0]] != by_bits[rows[j][0]] for i, j in near) > 20  # more than the digests' radius joins
+    got = cp.without_near_duplicates(spark, make(rows), "").collect()
+    assert texts(got) == texts([r for r, d in zip(rows, low) if r[0] == d])
