@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Fixed patterns of what is looked for. Each begins where no longer number or name could.
 EMAIL = r"(?<![\w.+%-])[A-Za-z0-9][\w.+%-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d)"
-PHONE = r"(?<![\w(])(?:\+?1[ .-]?)?(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}(?!\w)"
+PHONE = r"(?<![\w(])(?:(?:(?:\+?1[ .-]?)?\(\d{3}\) ?|\+1[ .-]?\d{3}[ .-])\d{3}|(?:1[ .-]?)?[2-9]\d\d[ .-][2-9]\d\d)[ .-]\d{4}(?!\w)"
 SSN = r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\w-])"
 CARD = r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])"
 DATE = r"(?<![\w-])(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\w-])"
@@ -109,16 +109,17 @@ def _ssn(text: Column, key: Column) -> Column:
 
 
 def _phone(text: Column, key: Column) -> Column:
-    """Area and exchange keep a first digit of 2 to 9; a country code, brackets and separators stay."""
+    """First digits of area and exchange are permuted within 0 to 1 or 2 to 9; a country code, brackets and separators stay."""
     lead = F.regexp_extract(text, r"^(?:\+?1[ .-]?)?", 0)
     rest = F.substr(text, F.length(lead) + 1, F.length(text))
     chars = _letters(rest)
     nth = lambda i: F.length(F.regexp_replace(F.substr(rest, F.lit(1), i + 1), r"\D", ""))
     digit = lambda c: c.rlike("[0-9]")
     first = lambda i: nth(i).isin(1, 4)
-    values = F.transform(chars, lambda c, i: F.when(~digit(c), 0).otherwise(F.when(digit(c), c).cast("int") - F.when(first(i), 2).otherwise(0)))
-    radices = F.transform(chars, lambda c, i: F.when(~digit(c), 1).when(first(i), 8).otherwise(10))
-    out = lambda new: F.transform(chars, lambda c, i: F.when(digit(c), (F.element_at(new, i + 1) + F.when(first(i), 2).otherwise(0)).cast("string")).otherwise(c))
+    high = lambda c, i: first(i) & ~c.isin("0", "1")
+    values = F.transform(chars, lambda c, i: F.when(~digit(c), 0).otherwise(F.when(digit(c), c).cast("int") - F.when(high(c, i), 2).otherwise(0)))
+    radices = F.transform(chars, lambda c, i: F.when(~digit(c), 1).when(high(c, i), 8).when(first(i), 2).otherwise(10))
+    out = lambda new: F.transform(chars, lambda c, i: F.when(digit(c), (F.element_at(new, i + 1) + F.when(high(c, i), 2).otherwise(0)).cast("string")).otherwise(c))
     return F.concat(lead, F.array_join(let(feistel(values, radices, key), out), ""))
 
 
@@ -155,7 +156,8 @@ def pseudonymise(docs: DataFrame, key: str = "fringelake") -> DataFrame:
     E-mail addresses (the name part), IPv4 addresses, North American phone and social security numbers, dates, card
     numbers with a right check digit, and values of passwords and tokens are permuted by a keyed Feistel network within
     their own format: a card passes its check again, an address stays an address, and the same value becomes the same
-    pseudonym in every document. Numbers that fail validation stay as they are. `key` is a secret to be given in use.
+    pseudonym in every document. A phone number with brackets or +1 may have any area code and exchange; a bare one needs
+    both to begin with 2 to 9. Numbers that fail validation stay as they are. `key` is a secret to be given in use.
 
     The text is cut at the matches and put together again in one pass, so a pseudonym is never replaced a second time.
     Texts without a match, empty and null ones pass unchanged with n_replaced 0. Rows are worked on one by one: ties,

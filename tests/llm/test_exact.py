@@ -159,6 +159,15 @@ def test_pii_is_a_permutation(make):
     assert len({r.text for r in got}) == len(days) and all(re.fullmatch(r"\d{4}-\d\d-\d\d", r.text) for r in got)
 
 
+def test_pii_takes_any_area_code(make):
+    said = ["+1 (%03d) %03d-%04d" % (a, e, a) for a in range(0, 1000, 9) for e in (17, 555)] + ["(017) 555-7713", "+1 136-555-7479", "+1.136.055.7479", "1 (136) 555-7479"]
+    rows = [(i, "call %s." % v) for i, v in enumerate(said)] + [(5000, "136-555-7479 stays")]
+    got = {r.doc_id: (r.text, r.n_replaced) for r in pii.pseudonymise(make(rows)).collect()}
+    assert got.pop(5000) == ("136-555-7479 stays", 0)
+    assert all(n == 1 and re.sub(r"\d", "9", got[i][0]) == re.sub(r"\d", "9", rows[i][1]) for i, (_, n) in got.items())
+    assert len({t for t, _ in got.values()}) == len(said) and sum(got[i][0] != t for i, t in rows[:-1]) > 0.9 * len(said)
+
+
 def test_pii_of_nothing(make):
     assert pii.pseudonymise(make([])).collect() == []
 
