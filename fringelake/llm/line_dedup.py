@@ -107,12 +107,14 @@ def near_lines(known: DataFrame, docs: DataFrame, near_words: int) -> DataFrame:
 def dropped_lines(docs: DataFrame, least_words: int = 5, near_words: int = 10) -> DataFrame:
     """(doc_id, lines): the numbers, from 0, of the lines that go from each document that loses any."""
     docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "told")).select("doc_id", "line", _words(F.col("told")).alias("w"))
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "told")).where(F.btrim("told", F.lit(" \t\n\x0b\x0c\r")) != "").select("doc_id", "line", _words(F.col("told")).alias("w"))
     n = F.size("w")
     m0, m1 = _half(n), _half(n - 1)
     ends = lambda m, yes: (F.when(yes, F.xxhash64(F.slice("w", F.lit(1), m))), F.when(yes, F.xxhash64(F.slice("w", n - m + 1, m))))
     (p0, s0), (p1, s1) = ends(m0, n >= near_words), ends(m1, (n >= near_words) & (m1 != m0))
-    lines = lines.where(n >= least_words).select("doc_id", "line", F.xxhash64("w").alias("x"), n.alias("n"), m0.alias("m0"), p0.alias("p0"), s0.alias("s0"), m1.alias("m1"), p1.alias("p1"), s1.alias("s1"), F.when(n < near_words, F.xxhash64(F.lit(1), "w")).alias("y"))
+    if least_words > 1:  # the filter would part each line once more
+        lines = lines.where(n >= least_words)
+    lines = lines.select("doc_id", "line", F.xxhash64("w").alias("x"), n.alias("n"), m0.alias("m0"), p0.alias("p0"), s0.alias("s0"), m1.alias("m1"), p1.alias("p1"), s1.alias("s1"), F.when(n < near_words, F.xxhash64(F.lit(1), "w")).alias("y"))
     # 128 bits name a line: the hash of its words, and for longer lines that of its length and both ends
     seal = F.struct("x", F.coalesce("y", F.xxhash64("n", "p0", "s0")).alias("y")).alias("seal")
     lines = materialize(lines.select("doc_id", "line", seal, "m0", "p0", "s0", "m1", "p1", "s1"), "lines")
@@ -130,7 +132,7 @@ def line_dedup(docs: DataFrame, least_words: int = 5, near_words: int = 10) -> D
     Lines part at line feeds and are read as words (runs without ASCII white space). Of lines with `least_words` words
     or more and the same words, the earliest stays: smallest doc_id, then line number. A line of `near_words` or more
     also goes if an earlier line of the table is within one word edit (at ten words that is 0.9 of it), whether or not
-    that line itself stays. Shorter lines, blank ones too, always stay.
+    that line itself stays. Lines under `least_words` always stay, and blank ones.
 
     Null texts and rows with a null doc_id pass unchanged (n_lines 0 for a null text). Rows that repeat a doc_id are
     one document and lose the same lines. Columns named like the two new ones are replaced. Empty in, empty out.

@@ -44,7 +44,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"), least_words=1).select("doc_id", "text", "n_lines", "n_dropped")
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 import pytest
 import xxhash
 
-from fringelake.llm import exact_dedup, line_dedup, shared, simhash
+from fringelake.llm import exact_dedup, line_dedup, queries, shared, simhash
 from fringelake.llm.simhash import tree_links
 
 LONG = "lorem ipsum dolor " * 30_000
@@ -174,6 +174,12 @@ def test_line_dedup_shuffles_the_same(make, monkeypatch):
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=key) == sorted(brute_lines(rows), key=key)
 
 
+def test_line_query_drops_short_repeats(spark, make, monkeypatch):
+    monkeypatch.setattr(queries, "table", lambda *_: make([(1, "Les.\n\none two three four"), (2, "Les.\n\n  \nAll rights reserved."), (3, "All  rights reserved.\none two three five\n"), (4, "one two three four")]))
+    got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in queries.op7_line_dedup(spark, "").collect()}
+    assert got == {1: ("Les.\n\none two three four", 3, 0), 2: ("\n  \nAll rights reserved.", 4, 1), 3: ("one two three five\n", 3, 1), 4: ("", 1, 1)}
+
+
 @pytest.mark.parametrize("f", [simhash.near_duplicates, exact_dedup.exact_dedup, line_dedup.line_dedup])
 def test_empty_table(make, f):
     assert f(make([])).collect() == []
