@@ -17,7 +17,7 @@ def texts():
     rng = random.Random(6)
     letters = "abcdefghijklmnopqrstuvwxyz" + "éßñ'ÀİΣςÅ \t\n\x1c\x85​ #$12٣一ﬁǅ"
     out = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(400)]
-    out += ["I'll we're it's THEY'VE", "<|endoftext|>x<|startoftext|> <|end", "aaaa" * 300, "ab" * 999, "the end. " * 20_000, "Å Å", " \n "]
+    out += ["I'll we're it's THEY'VE", "<|endoftext|>x<|startoftext|> <|end", "aaaa" * 300, "ab" * 999, "".join(rng.choice("abcde") for _ in range(60_000)), "a\u1c89 \ua7da1 \U00010d51x \U00016ea0 a\u0c5c1 \U000323b0x", "the end. " * 20_000, "Å Å", " \n "]
     with open("/root/testdata/sf0.001/documents.parquet", "rb"):
         import pandas as pd
 
@@ -52,6 +52,22 @@ def test_bpe_with_small_caches(monkeypatch):
         assert b.encode(t) == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_bpe_of_every_newer_letter():
+    b, tok = bpe.Bpe(PATH), Tokenizer.from_file(PATH)
+    for c in [*bpe.unassigned(), *bpe.SMALL, *(c for a, z in bpe.ADDED for c in range(a, z + 1))]:
+        assert b.encode(f"a{chr(c)}1") == tok.encode(f"a{chr(c)}1", add_special_tokens=False).ids
+
+
+def test_bpe_keeps_no_more_than_its_bounds(monkeypatch):
+    monkeypatch.setattr(bpe, "PREFIXES", 50)
+    b = bpe.Bpe(PATH)
+    for t in texts()[:200]:
+        b.encode(t)
+    assert len(b._prefix) <= 51 + bpe.LONG
+    b.forget()
+    assert not any(map(len, (b._fits, *b._runs, *b._words))) and b.encode("the end") == bpe.load(PATH).encode("the end")
+
+
 def test_bpe_of_nothing(make):
     assert bpe.encode(make([]), PATH).collect() == []
 
