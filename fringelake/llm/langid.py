@@ -11,14 +11,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 #: Buckets that character n-grams of 1 to 3 are hashed into.
 BUCKETS = 1 << 16
-#: Documents that the weights are fitted on at most, dealt evenly over the languages (the documented bound).
-SAMPLE = 2400
-#: Languages at most; further ones, the rarest, are not learned.
-LANGUAGES = 256
+#: Documents that the weights are fitted on at most, dealt evenly over the languages, but EACH of any language
+#: (the documented bound). Every language is learned; the driver holds about 0.6 MB of weights for one.
+SAMPLE, EACH = 2400, 24
 #: Characters worked on at a time.
 STEP = 1 << 20
 
@@ -87,7 +85,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes: int, l1: float, l2: float, alpha: float = 0.5, beta: float = 1.0, epochs: int = 4) -> np.ndarray:
     """Weights (buckets + 1, classes) by follow-the-regularised-leader with elastic-net penalties; the last is a bias."""
-    z, n = np.zeros((BUCKETS + 1, classes)), np.zeros((BUCKETS + 1, classes))
+    z, n = np.zeros((BUCKETS + 1, classes), np.float32), np.zeros((BUCKETS + 1, classes), np.float32)
 
     def weights(at):
         return np.where(np.abs(z[at]) > l1, -(z[at] - np.sign(z[at]) * l1) / ((beta + np.sqrt(n[at])) / alpha + l2), 0.0)
@@ -117,11 +115,11 @@ def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE, l1: float = 0.05, l2: float = 0.1) -> tuple[list[str], np.ndarray, float]:
     """(languages, weights times inverse document frequency, temperature), learned from rows where `learn` holds.
 
-    Document frequencies are of all those rows. Weights are fitted on at most `sample` of them, the first of each
-    language by a hash of the id, and the temperature on every fifth of these, left out of the fit.
+    Document frequencies are of all those rows. Weights are fitted on at most `sample` of them, or EACH of any language
+    where there are many, the first by a hash of the id, and the temperature on every fifth of these, left out of the fit.
     """
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64(F.col("doc_id").cast("string"), F.lit(11)).alias("order"))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sizes = rows.groupBy("lang").count().collect()
     langs = sorted(r["lang"] for r in sizes)
     if not langs:
         return [], np.zeros((BUCKETS + 1, 0)), 1.0
@@ -130,19 +128,17 @@ def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE, l1: float = 0.05,
     for r in rows.select("text").mapInArrow(_document_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         freq[r.bucket] = r.n
     idf = np.log((1 + total) / (1 + freq)) + 1
-    each = max(5, sample // len(langs))
-    # of each language a share of the hash range that holds about `each` rows
-    bound = F.lit(0.0)
-    for r in sizes:
-        bound = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, each / r["count"]))).otherwise(bound)
-    chosen = rows.where((F.col("order").cast("double") / 2.0**64 + 0.5) < bound)
+    each = max(EACH, sample // len(langs))
+    # of each language a share of the hash range that holds somewhat more than `each` rows, of which the first are taken
+    shares = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, 1.5 * each / r["count"]))))
+    chosen = rows.where(F.col("order").cast("double") / 2.0**64 + 0.5 < F.element_at(shares, F.col("lang")))
     got = chosen.select("lang", "text", "order").mapInArrow(_features, "lang string, order long, at binary, n binary").toArrow().sort_by([("order", "ascending"), ("lang", "ascending")])
     index = {x: i for i, x in enumerate(langs)}
     x, y, per = [], [], np.zeros(len(langs), int)
     for lang, at, n in zip(got["lang"], got["at"], got["n"]):
         k = index[lang.as_py()]
         per[k] += 1
-        if per[k] > 2 * each or not at.as_py():
+        if per[k] > each or not at.as_py():
             continue
         a, c = np.frombuffer(at.as_py(), np.uint16).astype(np.int64), np.frombuffer(n.as_py(), np.uint16).astype(float)
         x.append((np.append(a, BUCKETS), np.append(c / c.sum() * idf[a] * SCALE, 1.0)))
@@ -161,50 +157,46 @@ def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE, l1: float = 0.05,
 SCALE = 10.0
 
 
-def _predicted(model, text: int, passed: list[int], names: list[str]):
-    """The `passed` columns of each batch, and the language and score of its column `text`."""
+def _predictor(model):
+    """An Arrow function of the text alone: the language and its score. Other columns stay in the JVM."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    def predicted(text: pa.Array) -> pa.Array:
         langs, w, t = model.value
         table, bias = np.ascontiguousarray(w[:-1], np.float32), w[-1]
-        for b in batches:
-            out, score = [], np.zeros(b.num_rows)
-            for i, x in enumerate(b.column(text)):
-                total, n = 0.0, 0
-                for g in grams(x.as_py() or ""):
-                    total, n = total + table.take(g, axis=0).sum(axis=0, dtype=np.float64), n + len(g)
-                if not n or not langs:
-                    out.append("und")
-                    continue
-                p = _softmax((total / n + bias) / t)
-                out.append(langs[int(p.argmax())])
-                score[i] = p.max()
-            yield pa.RecordBatch.from_arrays([*map(b.column, passed), pa.array(out, pa.string()), pa.array(score)], names)
-
-    return run
+        out, score = [], np.zeros(len(text))
+        for i, x in enumerate(text):
+            total, n = 0.0, 0
+            for g in grams(x.as_py() or ""):
+                total, n = total + table.take(g, axis=0).sum(axis=0, dtype=np.float64), n + len(g)
+            if not n or not langs:
+                out.append("und")
+                continue
+            p = _softmax((total / n + bias) / t)
+            out.append(langs[int(p.argmax())])
+            score[i] = p.max()
+        return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(score)], ["lang_pred", "score"])
+
+    return predicted.asNondeterministic()  # so that a filter on the result is not pushed below it, to score each text twice
 
 
 def identify(docs: DataFrame, held_out: Column, **settings) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score (calibrated probability of lang_pred).
 
-    Learns from rows with a language where `held_out` is false; predictions see the text alone. A text that is null,
-    empty or without a letter is `und` with score 0, as is every text if nothing can be learned (an empty table, no
-    languages). Rows are scored one by one, so ties, repeated rows and other columns change nothing.
+    Learns from rows with a language where `held_out` is false; predictions see the text alone, whole however long. A
+    text that is null, empty or without a letter is `und` with score 0, as is every text if nothing can be learned (an
+    empty table, no languages). Rows are scored one by one, so ties, repeated rows and other columns change nothing.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, ~held_out, **settings))
-    kind = dict(docs.dtypes)["doc_id"]
-    run = _predicted(model, 2, [0, 1], ["doc_id", "held_out", "lang_pred", "score"])
-    return docs.select("doc_id", held_out.alias("held_out"), F.col("text")).mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return with_language(docs.select("doc_id", held_out.alias("held_out"), "text", "lang"), F.col("held_out"), **settings).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def with_language(docs: DataFrame, held_out: Column, **settings) -> DataFrame:
     """Every row of `docs`, all columns, with lang_pred and score as `identify` gives them.
 
-    Rows pass through the scan that scores them, so that nothing is joined and nothing shuffled. Columns named like
-    the two new ones are replaced; nulls, empty tables and repeated rows are as in `identify`.
+    Texts alone go to the workers, and only what is found comes back; nothing is joined and nothing shuffled. Columns
+    named like the two new ones are replaced; nulls, empty tables and repeated rows are as in `identify`.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, ~held_out, **settings))
     rest = docs.drop("lang_pred", "score")
-    names = [*rest.columns, "lang_pred", "score"]
-    schema = StructType([*rest.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return rest.mapInArrow(_predicted(model, rest.columns.index("text"), list(range(len(rest.columns))), names), schema)
+    found = rest.withColumn("__found", _predictor(model)(F.col("text")))
+    return found.select(*rest.columns, F.col("__found.lang_pred").alias("lang_pred"), F.col("__found.score").alias("score"))
