@@ -76,9 +76,9 @@ def near_lines(known: DataFrame, docs: DataFrame, near_words: int) -> DataFrame:
     maybe = materialize(halves.join(shared, "half").select("seal").distinct(), "maybe")
     many = maybe.count()
 
-    asked = known.select("seal", "first").join(_bounded(maybe, many, BROADCAST), "seal").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("first.line", "seal")).alias("asked"))
-    told = docs.select("doc_id", "text").join(_bounded(asked, many, BROADCAST), "doc_id").select("doc_id", F.split("text", "\n").alias("lines"), F.explode("asked").alias("q"))
-    told = told.select(F.col("q.seal").alias("seal"), F.struct("doc_id", F.col("q.line").alias("line")).alias("at"), _words(F.col("lines")[F.col("q.line")]).alias("words"))
+    asked = known.select("seal", "first").join(_bounded(maybe, many, BROADCAST), "seal").groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.told").alias("told")).agg(F.collect_list(F.struct("first.line", "seal")).alias("asked"))
+    told = docs.join(_bounded(asked, many, BROADCAST), ["doc_id", "told"]).select("doc_id", "told", F.split("text", "\n").alias("lines"), F.explode("asked").alias("q"))
+    told = told.select(F.col("q.seal").alias("seal"), F.struct("doc_id", "told", F.col("q.line").alias("line")).alias("at"), _words(F.col("lines")[F.col("q.line")]).alias("words"))
     told = materialize(told.dropDuplicates(["seal"]), "told")
 
     blocks = materialize(told.select("seal", F.explode(_but_one_block(F.col("words"))).alias("b")).select("seal", "b.*"), "blocks")
@@ -105,42 +105,43 @@ def near_lines(known: DataFrame, docs: DataFrame, near_words: int) -> DataFrame:
 
 
 def dropped_lines(docs: DataFrame, least_words: int = 5, near_words: int = 10) -> DataFrame:
-    """(doc_id, lines): the numbers, from 0, of the lines that go from each document that loses any."""
-    docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "told")).where(F.btrim("told", F.lit(" \t\n\x0b\x0c\r")) != "").select("doc_id", "line", _words(F.col("told")).alias("w"))
+    """(doc_id, told, lines): the numbers, from 0, of the lines that go from each text (by its hash `told`) that loses any."""
+    docs = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("told"), "text")
+    lines = docs.select("doc_id", "told", F.posexplode(F.split("text", "\n")).alias("line", "w")).where(F.btrim("w", F.lit(" \t\n\x0b\x0c\r")) != "").select("doc_id", "told", "line", _words(F.col("w")).alias("w"))
     n = F.size("w")
     m0, m1 = _half(n), _half(n - 1)
     ends = lambda m, yes: (F.when(yes, F.xxhash64(F.slice("w", F.lit(1), m))), F.when(yes, F.xxhash64(F.slice("w", n - m + 1, m))))
     (p0, s0), (p1, s1) = ends(m0, n >= near_words), ends(m1, (n >= near_words) & (m1 != m0))
     if least_words > 1:  # the filter would part each line once more
         lines = lines.where(n >= least_words)
-    lines = lines.select("doc_id", "line", F.xxhash64("w").alias("x"), n.alias("n"), m0.alias("m0"), p0.alias("p0"), s0.alias("s0"), m1.alias("m1"), p1.alias("p1"), s1.alias("s1"), F.when(n < near_words, F.xxhash64(F.lit(1), "w")).alias("y"))
+    lines = lines.select("doc_id", "told", "line", F.xxhash64("w").alias("x"), n.alias("n"), m0.alias("m0"), p0.alias("p0"), s0.alias("s0"), m1.alias("m1"), p1.alias("p1"), s1.alias("s1"), F.when(n < near_words, F.xxhash64(F.lit(1), "w")).alias("y"))
     # 128 bits name a line: the hash of its words, and for longer lines that of its length and both ends
     seal = F.struct("x", F.coalesce("y", F.xxhash64("n", "p0", "s0")).alias("y")).alias("seal")
-    lines = materialize(lines.select("doc_id", "line", seal, "m0", "p0", "s0", "m1", "p1", "s1"), "lines")
-    known = lines.groupBy("seal").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("times"), *(F.min(c).alias(c) for c in ("m0", "p0", "s0", "m1", "p1", "s1")))
+    lines = materialize(lines.select("doc_id", "told", "line", seal, "m0", "p0", "s0", "m1", "p1", "s1"), "lines")
+    known = lines.groupBy("seal").agg(F.min(F.struct("doc_id", "told", "line")).alias("first"), F.count("*").alias("times"), *(F.min(c).alias(c) for c in ("m0", "p0", "s0", "m1", "p1", "s1")))
     known = materialize(known, "known")
     near = materialize(near_lines(known, docs, near_words).withColumn("near", F.lit(True)), "near")
     bad = known.select("seal", "first", "times").join(_bounded(near, near.count(), BROADCAST), "seal", "left").where("times > 1 or near").select("seal", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    gone = lines.select("doc_id", "line", "seal").join(bad, "seal").where(F.col("near") | (F.struct("doc_id", "line") != F.col("first")))
-    return materialize(gone.select("doc_id", "line").distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list("line")).alias("lines")), "gone")
+    gone = lines.select("doc_id", "told", "line", "seal").join(bad, "seal").where(F.col("near") | (F.struct("doc_id", "told", "line") != F.col("first")))
+    return materialize(gone.select("doc_id", "told", "line").distinct().groupBy("doc_id", "told").agg(F.array_sort(F.collect_list("line")).alias("lines")), "gone")
 
 
 def line_dedup(docs: DataFrame, least_words: int = 5, near_words: int = 10) -> DataFrame:
     """Every row of `docs`, all columns, with repeated lines taken out of text; and n_lines, n_dropped (long).
 
     Lines part at line feeds and are read as words (runs without ASCII white space). Of lines with `least_words` words
-    or more and the same words, the earliest stays: smallest doc_id, then line number. A line of `near_words` or more
+    or more and the same words, the earliest stays: smallest doc_id, then hash of the text, then line number. A line of `near_words` or more
     also goes if an earlier line of the table is within one word edit (at ten words that is 0.9 of it), whether or not
     that line itself stays. Lines under `least_words` always stay, and blank ones.
 
-    Null texts and rows with a null doc_id pass unchanged (n_lines 0 for a null text). Rows that repeat a doc_id are
-    one document and lose the same lines. Columns named like the two new ones are replaced. Empty in, empty out.
+    Null texts and rows with a null doc_id pass unchanged (n_lines 0 for a null text). Rows that repeat a doc_id with
+    another text are documents of their own; those that repeat doc_id and text are one, and lose the same lines. Very
+    long texts and lines are read whole. Columns named like the two new ones are replaced. Empty in, empty out.
     """
-    gone = dropped_lines(docs, least_words, near_words).select(F.col("doc_id").alias("__id"), F.col("lines").alias("__gone"))
+    gone = dropped_lines(docs, least_words, near_words).select(F.col("doc_id").alias("__id"), F.col("told").alias("__told"), F.col("lines").alias("__gone"))
     rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     lost = gone.agg(F.coalesce(F.sum(F.size("__gone")), F.lit(0))).first()[0]
-    out = docs.select(*rest).join(_bounded(gone, lost, FEW), F.col("doc_id") == F.col("__id"), "left")
+    out = docs.select(*rest).withColumn("__own", F.xxhash64("text")).join(_bounded(gone, lost, FEW), (F.col("doc_id") == F.col("__id")) & (F.col("__own") == F.col("__told")), "left")
     parts = F.split("text", "\n")
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__gone", i)), "\n")
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept).alias("text")

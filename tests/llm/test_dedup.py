@@ -124,19 +124,20 @@ def within_one(a, b):
 def brute_lines(rows):
     """All distinct lines against all earlier ones."""
     first = {}
-    for d, t in sorted((r for r in rows if r[0] is not None and r[1] is not None), key=lambda r: r[0]):
+    told = lambda t: int.from_bytes(xxhash.xxh64_digest(t.encode(), 42), "big", signed=True)
+    for d, h, t in sorted((r[0], told(r[1]), r[1]) for r in rows if r[0] is not None and r[1] is not None):
         for i, line in enumerate(t.split("\n")):
             w = tuple(x.decode() for x in line.encode().split())
             if len(w) >= 5:
-                first.setdefault(w, (d, i))
+                first.setdefault(w, (d, h, i))
     gone = {a for a in first if len(a) >= 10 and any(first[b] < first[a] and len(b) >= 10 and within_one(a, b) for b in first)}
     out = []
     for d, t in rows:
         if d is not None and t is not None:
-            kept = []
+            kept, t0 = [], t
             for i, line in enumerate(t.split("\n")):
                 w = tuple(x.decode() for x in line.encode().split())
-                if len(w) < 5 or (w not in gone and first[w] == (d, i)):
+                if len(w) < 5 or (w not in gone and first[w] == (d, told(t0), i)):
                     kept.append(line)
             t = "\n".join(kept)
         out.append((d, t))
@@ -153,7 +154,12 @@ def line_rows():
         rng.choice([lambda: w.pop(k), lambda: w.insert(k, rng.choice(words)), lambda: w.__setitem__(k, rng.choice(words))])()
         lines.append("  ".join(w))
     rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 6)))) for i in range(150)]
-    return rows + [(900, None), (901, ""), (902, "\n\n"), (903, LONG[:90_000]), (904, LONG[:90_000] + "x"), (None, lines[0]), (905, "x y z\nx y z"), (0, rows[0][1])]
+    return rows + [(900, None), (901, ""), (902, "\n\n"), (903, LONG[:90_000]), (904, LONG[:90_000] + "x"), (None, lines[0]), (905, "x y z\nx y z"), (0, rows[0][1]), (7, "another text of the same id\n" + lines[3]), (7, "and one more that is alone here")]
+
+
+def test_rows_of_one_id_lose_their_own_lines(make):
+    rows = [(1, "alpha beta gamma delta epsilon"), (2, "alpha beta gamma delta epsilon"), (2, "totally unique words stand here now")]
+    assert sorted((r.doc_id, r.text) for r in line_dedup.line_dedup(make(rows)).collect()) == [(1, rows[0][1]), (2, ""), (2, rows[2][1])]
 
 
 def test_line_dedup_is_brute_force(make):

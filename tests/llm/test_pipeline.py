@@ -4,12 +4,13 @@ import random
 from collections import Counter
 
 import corpus_pipeline as cp
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_dedup import brute_lines, classes, line_rows
 from test_learned import langs, mix_rows
 
-from fringelake.llm import langid, mixing, simhash
+from fringelake.llm import langid, mixing, near_copies, simhash
 from fringelake.llm.shared import remainder
 
 
@@ -101,7 +102,7 @@ def brute_near(rows):
     return near, [low.get(group[i]) for i in range(len(rows))]
 
 
-def test_simhash_stage_finds_all_of_similarity_four_fifths(make, spark):
+def near_rows():
     rng = random.Random(6)
     words = ["w%d" % i for i in range(300)]
     rows = [(1000, None), (1001, ""), (1002, "one two"), (1003, "One  two")]
@@ -114,8 +115,36 @@ def test_simhash_stage_finds_all_of_similarity_four_fifths(make, spark):
             rows.append((i * 5 + j, " ".join(near)))
     passage = " ".join(words[:40])
     rows += [(2000 + i, passage + " " + " ".join(rng.choice(words) for _ in range(60))) for i in range(20)]
+    return rows
+
+
+@pytest.mark.parametrize(("hubs", "shard"), [(3, 4096), (0, 4096), (1, 8)])
+def test_simhash_stage_finds_all_of_similarity_four_fifths(make, spark, monkeypatch, hubs, shard):
+    monkeypatch.setattr(near_copies, "HUBS", hubs)
+    monkeypatch.setattr(near_copies, "SHARD", shard)
+    rows = near_rows()
     near, low = brute_near(rows)
     by_bits = {r.doc_id: r.component_id for r in simhash.near_duplicates(make(rows)).collect()}
     assert sum(by_bits[rows[i][0]] != by_bits[rows[j][0]] for i, j in near) > 20  # more than the digests' radius joins
     got = cp.without_near_duplicates(spark, make(rows), "").collect()
     assert texts(got) == texts([r for r, d in zip(rows, low) if r[0] == d])
+
+
+def test_trees_find_all_within_the_radius():
+    rng = random.Random(4)
+    base = rng.getrandbits(64)
+    values = np.array([base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 40))) for _ in range(300)], np.uint64)
+    tree = near_copies.Tree(values)
+    for x in values[:40]:
+        assert sorted(tree.within(x, 20).tolist()) == [i for i, v in enumerate(values.tolist()) if (v ^ int(x)).bit_count() <= 20]
+
+
+@pytest.mark.parametrize("size", [3, 30, 200, 900, 9000])
+def test_sets_of_the_similarity_share_a_key(size):
+    rng = np.random.default_rng(size)
+    keys = near_copies.Keys(0.8, 42)
+    for _ in range(20):
+        every = rng.integers(0, 1 << 64, size, np.uint64)
+        both = set(keys.of(np.sort(every))) & set(keys.of(np.sort(every[: -(-size * 4 // 5)])))
+        assert both
+    assert len(keys.of(np.sort(every))) <= 2 * near_copies.bands(0.8)
