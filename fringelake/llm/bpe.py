@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import re
 import unicodedata
 from array import array
 from collections import deque
@@ -16,13 +17,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Runs and words that one generation of a worker's cache keeps, and prefixes of words, of which all are dropped together.
-KEPT, PREFIXES, PAIRS = 80_000, 100_000, 200_000
+#: Runs and words, together, that one generation of a worker's cache keeps, and prefixes of words, of which all are dropped together.
+KEPT, PREFIXES, PAIRS = 100_000, 100_000, 150_000
 #: Longer runs and words, in bytes, are worked out each time and not kept, so that what is kept is bounded in bytes too.
 LONG = 64
 #: Bits of a token and of a length in the packed state of a prefix.
 TOKEN, SIZE = 20, 7
-CONTROL = regex.compile("[\x1c-\x1f]")
+CONTROL = re.compile("[\x1c-\x1f]")
 
 
 def byte_letters() -> list[str]:
@@ -41,7 +42,7 @@ ADDED = (
 #: Small letters of capitals that Unicode added after version 15.1.
 SMALL = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
 SMALL |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
-CAPITAL = regex.compile("[" + "".join(map(chr, SMALL)) + "]")
+CAPITAL = re.compile("[\u1c89\ua7cb\ua7cc\ua7ce\ua7d2\ua7d4\ua7da\ua7dc\U00010d50-\U00010d65\U00016ea0-\U00016eb8]")
 
 
 @functools.cache
@@ -72,23 +73,23 @@ class Bpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.later = regex.compile("[" + "".join(map(chr, unassigned())) + "]")
+        self.later = frozenset(map(chr, unassigned()))
         self.letters = byte_letters()
         vocab = model["vocab"]
         self.text_of = {i: s for s, i in [*vocab.items(), *self.special.items()]}
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.made = {vocab[a] << 20 | vocab[b]: vocab[a + b] for a, b in pairs}
         self.halves = {t: (p >> 20, p & 0xFFFFF) for p, t in self.made.items()}
+        self.names = np.array([self.text_of.get(i, "") for i in range(max(self.text_of) + 1)], object)
         self.raw = {i: i.to_bytes(4, "little") for i in self.text_of}
         self._whole: dict[int, bool] = {}
         self._build(vocab)
         self.forget()
 
     def forget(self) -> None:
-        """Drop what texts have left behind: a worker that is kept for other tasks keeps the vocabulary alone."""
+        """Drop what texts have left behind."""
         self._fits: dict[int, bool] = {}
         self._runs: list[dict[str, bytes]] = [{}, {}]
-        self._words: list[dict[str, bytes]] = [{}, {}]
         #: prefix of a word -> its state, its last token + 1 and that token's length, packed
         self._prefix: dict[bytes, int] = {b"": 0}
 
@@ -270,7 +271,7 @@ class Bpe:
         return b"".join([raw[i] for i in self.word(word)])
 
     def _split(self, text: str) -> list[str]:
-        if text.isascii() or not self.later.search(text):
+        if text.isascii() or self.later.isdisjoint(text):
             return self.words.findall(text)
         return [text[m.start() : m.end()] for m in self.words.finditer(text.translate(unassigned()))]
 
@@ -278,7 +279,7 @@ class Bpe:
         words = self._split(run)
         if len(words) == 1 and words[0] == run:
             return self._word(run)
-        return b"".join([self._kept(self._words, w, self._word) for w in words])
+        return b"".join([self._kept(self._runs, w, self._word) for w in words])
 
     def raw_ids(self, text: str) -> bytes:
         """Ids of a text as little-endian 32-bit integers."""
@@ -327,13 +328,12 @@ def _encoded(path: str, with_ids: bool):
                 rows = []
                 for x in b.column(1):
                     ids = bpe.raw_ids(x.as_py() or "")
-                    text = bpe.decode(np.frombuffer(ids, "<u4").tolist())
+                    text = " ".join(bpe.names[np.frombuffer(ids, "<u4")].tolist())
                     rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode("utf-8")).hexdigest(), *((np.frombuffer(ids, "<u4").astype(np.int32), text) if with_ids else ())))
                 cols = list(zip(*rows))
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 6 if with_ids else 4]
                 kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names)
-        bpe.forget()
 
     return run
 
@@ -344,8 +344,8 @@ def encode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     Every whole text is normalised and split as the vocabulary file says, each word encoded by `Bpe.word`, and decoded
     again. Special tokens in a text are taken as such. Null counts as empty: 0 tokens and the digests of nothing. Rows
     are independent, so repeated rows, ties, other columns and empty tables need nothing special. Very long texts and
-    words are read whole, in time and memory that grow with their length; a worker keeps a vocabulary between tasks and
-    bounded caches within one.
+    words are read whole, in time and memory that grow with their length; a worker keeps the vocabulary, and caches
+    bounded in bytes, for its next task.
     """
     more = ", ids array<int>, decoded string" if with_ids else ""
     return docs.select("doc_id", "text").mapInArrow(_encoded(path, with_ids), f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
