@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed patterns of what is looked for. Each begins where no longer number or name could.
-EMAIL = r"(?<![\w.+%-])[A-Za-z0-9][\w.+%-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+EMAIL = r"(?<![\w.+%-])[A-Za-z0-9][\w.+%-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,126}+"  # as many labels as a name may have, so that matching needs bounded stack
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d)"
 PHONE = r"(?<![\w(])(?:(?:(?:\+?1[ .-]?)?\(\d{3}\) ?|\+1[ .-]?\d{3}[ .-])\d{3}|(?:1[ .-]?)?[2-9]\d\d[ .-][2-9]\d\d)[ .-]\d{4}(?!\w)"
 SSN = r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\w-])"
@@ -109,18 +109,21 @@ def _ssn(text: Column, key: Column) -> Column:
 
 
 def _phone(text: Column, key: Column) -> Column:
-    """First digits of area and exchange are permuted within 0 to 1 or 2 to 9; a country code, brackets and separators stay."""
+    """The ten digits are permuted, those that begin area and exchange within 0 to 1 or 2 to 9; all else stays.
+
+    The network sees the digits alone, so that one number is one pseudonym in every format.
+    """
     lead = F.regexp_extract(text, r"^(?:\+?1[ .-]?)?", 0)
     rest = F.substr(text, F.length(lead) + 1, F.length(text))
-    chars = _letters(rest)
-    nth = lambda i: F.length(F.regexp_replace(F.substr(rest, F.lit(1), i + 1), r"\D", ""))
-    digit = lambda c: c.rlike("[0-9]")
-    first = lambda i: nth(i).isin(1, 4)
+    chars = _letters(F.regexp_replace(rest, r"\D", ""))
+    first = lambda i: i.isin(0, 3)
     high = lambda c, i: first(i) & ~c.isin("0", "1")
-    values = F.transform(chars, lambda c, i: F.when(~digit(c), 0).otherwise(F.when(digit(c), c).cast("int") - F.when(high(c, i), 2).otherwise(0)))
-    radices = F.transform(chars, lambda c, i: F.when(~digit(c), 1).when(high(c, i), 8).when(first(i), 2).otherwise(10))
-    out = lambda new: F.transform(chars, lambda c, i: F.when(digit(c), (F.element_at(new, i + 1) + F.when(high(c, i), 2).otherwise(0)).cast("string")).otherwise(c))
-    return F.concat(lead, F.array_join(let(feistel(values, radices, key), out), ""))
+    values = F.transform(chars, lambda c, i: c.cast("int") - F.when(high(c, i), 2).otherwise(0))
+    radices = F.transform(chars, lambda c, i: F.when(high(c, i), 8).when(first(i), 2).otherwise(10))
+    told = lambda new: F.zip_with(chars, F.transform(new, lambda v, i: F.struct(v.alias("v"), i.alias("i"))), lambda c, n: (n["v"] + F.when(high(c, n["i"]), 2).otherwise(0)).cast("string"))
+    nth = lambda i: F.length(F.regexp_replace(F.substr(rest, F.lit(1), i + 1), r"\D", ""))
+    out = lambda new: F.transform(_letters(rest), lambda c, i: F.when(c.rlike("[0-9]"), F.element_at(new, nth(i))).otherwise(c))
+    return F.concat(lead, F.array_join(let(let(feistel(values, radices, key), told), out), ""))
 
 
 def _date(text: Column, key: Column) -> Column:
@@ -160,7 +163,7 @@ def pseudonymise(docs: DataFrame, key: str = "fringelake") -> DataFrame:
     both to begin with 2 to 9. Numbers that fail validation stay as they are. `key` is a secret to be given in use.
 
     The text is cut at the matches and put together again in one pass, so a pseudonym is never replaced a second time.
-    Texts without a match, empty and null ones pass unchanged with n_replaced 0. Rows are worked on one by one: ties,
+    Texts without a match, empty and null ones pass unchanged with n_replaced 0; very long ones are read whole. Rows are worked on one by one: ties,
     repeated rows and empty tables need nothing special. A column named n_replaced is replaced.
     """
     rest = [c for c in docs.columns if c != "n_replaced"]

@@ -190,3 +190,19 @@ def test_pii_of_nothing(make):
 
 def test_vocabulary_is_not_in_the_repository():
     assert json.load(open(PATH))["model"]["type"] == "BPE"
+
+
+def test_one_phone_number_is_one_pseudonym_in_every_format(make):
+    rows = [(1, "call 986-555-4218"), (2, "call (986) 555-4218 now"), (3, "+1 986.555.4218"), (4, "1-986 555-4218"), (5, "(017) 555-7713")]
+    got = {r.doc_id: r.text for r in pii.pseudonymise(make(rows)).collect()}
+    digits = {d: re.sub(r"\D", "", t)[-10:] for d, t in got.items()}
+    assert len({digits[d] for d in (1, 2, 3, 4)}) == 1 and digits[1] != "9865554218"
+    for d, t in rows:
+        assert re.sub(r"\d", "9", t) == re.sub(r"\d", "9", got[d])
+    assert digits[1][0] in "23456789" and digits[1][3] in "23456789" and digits[5][0] in "01"
+
+
+def test_addresses_of_many_labels_need_bounded_stack(make):
+    text = "q a@b" + ".c1" * 30_000
+    got = pii.pseudonymise(make([(1, text)])).first()
+    assert got.text.endswith("@b" + ".c1" * 30_000) and got.n_replaced == 1 and len(got.text) == len(text)
