@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, release
 
 #: Hash functions of the filter, each with its own segment of counters.
 PROBES = 3
@@ -18,6 +19,8 @@ PROBES = 3
 PER_ROW, MOST = 16, 1 << 28
 #: Counters per piece in which partial filters travel.
 PIECE = 1 << 16
+#: A group of more rows is dealt into parts; HOT at most are broadcast for that, as more rows raise the bound.
+PART, HOT = 4096, 100_000
 
 
 def _slots(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -67,20 +70,30 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def possibly_repeated(hashes: DataFrame, rows: int) -> list[tuple[np.ndarray, int]]:
-    """First pass: per slice of the hash space, a packed filter that is set where a counter was met twice or more."""
-    slices = max(1, math.ceil(rows * PER_ROW / MOST))
-    bits = max(12, math.ceil(math.log2(max(1, rows / slices) * PER_ROW / PROBES)))
-    found = []
-    for k in range(slices):
-        part = hashes.where(F.pmod("h", F.lit(slices)) == k) if slices > 1 else hashes
-        pieces = part.mapInArrow(_partial(bits), "piece long, many boolean, slots binary").repartition("piece").sortWithinPartitions("piece").mapInArrow(_merged, "piece long, slots binary")
-        twice = np.zeros((PROBES << bits) // 8 + 1, np.uint8)
-        for r in pieces.toLocalIterator():
-            at = np.frombuffer(r.slots, np.uint16).astype(np.int64) + r.piece * PIECE
-            np.bitwise_or.at(twice, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        found.append((twice, bits))
-    return found
+def possibly_repeated(hashes: DataFrame, bits: int) -> np.ndarray:
+    """First pass over one slice: a packed filter that is set where a counter was met twice or more."""
+    pieces = hashes.mapInArrow(_partial(bits), "piece long, many boolean, slots binary").repartition("piece").sortWithinPartitions("piece").mapInArrow(_merged, "piece long, slots binary")
+    twice = np.zeros((PROBES << bits) // 8 + 1, np.uint8)
+    for r in pieces.toLocalIterator():
+        at = np.frombuffer(r.slots, np.uint16).astype(np.int64) + r.piece * PIECE
+        np.bitwise_or.at(twice, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    return twice
+
+
+def _marked(part: DataFrame, twice: np.ndarray, bits: int) -> DataFrame:
+    """Second pass over one slice: whether all counters of a row were met twice. The filter goes once this is written."""
+    shared = part.sparkSession.sparkContext.broadcast(twice)
+
+    @F.pandas_udf("boolean")
+    def maybe(h):
+        import pandas as pd
+
+        held = shared.value
+        return pd.Series(np.logical_and.reduce([held[s >> 3] >> (s & 7).astype(np.uint8) & 1 for s in _slots(h.to_numpy(), bits)]).astype(bool))
+
+    out = materialize(part.withColumn("maybe", maybe("h")), "marked")
+    shared.destroy()
+    return out
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
@@ -88,39 +101,37 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
     Texts are equal if they are after every space, tab, line feed, vertical tab, form feed and carriage return is
     deleted. The row with the most code points, then the smallest doc_id, stays. The text is read once, into a narrow
-    table of digests. Pass one counts 64-bit hashes in a Bloom filter with saturating counters, of bounded size by
-    slicing the hash space; pass two sends the rows whose counters were all met twice to be grouped by SHA-256, and
-    the rest straight through. A false positive costs a shuffled row, never a wrong group.
+    table of digests, parted by slices of the hash space when there are more rows than one filter of bounded size holds.
+    Slice by slice, pass one counts 64-bit hashes in a Bloom filter with saturating counters, and pass two marks the
+    rows whose counters were all met twice; one filter is held at a time. Marked rows are grouped by SHA-256, the rest
+    go straight through. A false positive costs a shuffled row, never a wrong group.
 
     Null texts count as empty; empty texts are equal to each other. Repeated rows of one doc_id share a decision. A
-    null doc_id loses ties. Other columns are ignored; an empty table gives none.
+    null doc_id loses ties. Very long texts are read whole. Other columns are ignored; an empty table gives none.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     bare = F.translate(text, " \t\n\x0b\x0c\r", "")
     narrow = docs.select("doc_id", F.length(text).alias("points"), F.sha2(bare.cast("binary"), 256).alias("text_sha256"))
-    narrow = materialize(narrow.withColumn("h", F.xxhash64("text_sha256")), "digests")
-    spark = docs.sparkSession
-    filters = [spark.sparkContext.broadcast(x) for x in possibly_repeated(narrow.select("h"), narrow.count())]
-
-    @F.pandas_udf("boolean")
-    def maybe(h):
-        import pandas as pd
-
-        hashes = h.to_numpy()
-        out = np.zeros(len(hashes), bool)
-        own = hashes % len(filters)  # NumPy's sign is the divisor's, as pmod's
-        for k, f in enumerate(filters):
-            at = np.flatnonzero(own == k)
-            if len(at):
-                twice, bits = f.value
-                out[at] = np.logical_and.reduce([twice[s >> 3] >> (s & 7).astype(np.uint8) & 1 for s in _slots(hashes[at], bits)])
-        return pd.Series(out)
-
-    marked = materialize(narrow.withColumn("maybe", maybe("h")), "marked")
+    total = docs.count()
+    slices = max(1, math.ceil(total * PER_ROW / MOST))
+    bits = max(12, math.ceil(math.log2(max(1, total / slices) * PER_ROW / PROBES)))
+    narrow = materialize(narrow.withColumn("h", F.xxhash64("text_sha256")).withColumn("slice", F.pmod("h", F.lit(slices)).cast("int")), "digests", *(["slice"] if slices > 1 else []))
+    done = []
+    for k in range(slices):
+        part = narrow.where(F.col("slice") == k) if slices > 1 else narrow
+        done.append(_marked(part, possibly_repeated(part.select("h"), bits), bits))
+    marked = functools.reduce(DataFrame.union, done)
+    release(narrow)
     single = marked.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     rows = marked.where("maybe").select("doc_id", "points", "text_sha256")
     # ~doc_id turns the order round without overflow
     groups = rows.groupBy("text_sha256").agg(F.count("*").alias("group_size"), F.max(F.struct("points", F.bitwise_not("doc_id").alias("turned"))).alias("best"))
-    groups = groups.select("text_sha256", "group_size", F.bitwise_not("best.turned").alias("keep_id"))
-    shared = rows.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    groups = materialize(groups.select("text_sha256", "group_size", F.bitwise_not("best.turned").alias("keep_id")), "groups")
+    # a group of many rows is dealt into parts, each with a copy of what was found, so that it is no one task
+    most = max(PART, total // HOT)
+    hot = F.broadcast(groups.where(F.col("group_size") > most).select("text_sha256", F.ceil(F.col("group_size") / most).cast("int").alias("parts")))
+    rows = rows.join(hot, "text_sha256", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id", "points"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+    parts = F.when(F.col("group_size") > most, F.ceil(F.col("group_size") / most).cast("int")).otherwise(1)
+    groups = groups.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    shared = rows.join(groups, ["text_sha256", "part"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
     return single.unionByName(shared)

@@ -31,12 +31,15 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: its lineage ends there, so a lost executor costs no rerun."""
+def materialize(df: DataFrame, tag: str, *by: str) -> DataFrame:
+    """Write `df` to the shared folder, in folders `by` columns, and read it back.
+
+    Its lineage ends there, so a lost executor costs no rerun.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path).select(*df.columns)
     out._fringelake_path = path
     return out
 
