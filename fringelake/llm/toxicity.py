@@ -18,16 +18,47 @@ SAMPLE = 16_000
 LEAST = 4
 #: Features that the classifier weighs at most.
 SCREENED = 20_000
-#: Words that name groups of people, by kind; a word is swapped for the others of its kind.
-IDENTITY = {
-    "faith": "muslim christian jewish hindu buddhist sikh catholic atheist",
-    "origin": "african asian european american arab mexican indian chinese",
-    "gender": "woman man girl boy female male transgender nonbinary",
-    "orientation": "gay lesbian straight bisexual queer heterosexual homosexual",
-    "age": "young old elderly teenage",
-}
-KIND = {w: k for k, words in IDENTITY.items() for w in words.split()}
-PEERS = {w: [x for x in IDENTITY[k].split() if x != w] for w, k in KIND.items()}
+#: Words that name groups of people, by language and kind; a word is swapped for the others of its row.
+IDENTITY = (
+    "muslim christian jewish hindu buddhist sikh catholic atheist",
+    "muslims christians jews hindus buddhists sikhs catholics atheists",
+    "african asian european american arab mexican indian chinese",
+    "africans asians europeans americans arabs mexicans indians",
+    "woman man girl boy female male transgender nonbinary",
+    "women men girls boys females males",
+    "gay lesbian straight bisexual queer heterosexual homosexual",
+    "young old elderly teenage",
+    "musulman chr\u00e9tien juif hindou bouddhiste catholique ath\u00e9e",
+    "musulmans chr\u00e9tiens juifs hindous bouddhistes catholiques ath\u00e9es",
+    "africain asiatique europ\u00e9en am\u00e9ricain arabe mexicain indien chinois",
+    "femme homme fille gar\u00e7on",
+    "femmes hommes filles gar\u00e7ons",
+    "homosexuel lesbienne bisexuel h\u00e9t\u00e9rosexuel transgenre",
+    "muslime christen juden hindus buddhisten katholiken atheisten",
+    "muslimisch christlich j\u00fcdisch hinduistisch buddhistisch katholisch",
+    "afrikaner asiaten europ\u00e4er amerikaner araber mexikaner inder chinesen",
+    "frau mann m\u00e4dchen junge",
+    "frauen m\u00e4nner",
+    "schwul lesbisch bisexuell heterosexuell queer",
+    "musulm\u00e1n cristiano jud\u00edo hind\u00fa budista cat\u00f3lico ateo",
+    "musulmanes cristianos jud\u00edos hind\u00faes budistas cat\u00f3licos ateos",
+    "africano asi\u00e1tico europeo americano \u00e1rabe mexicano indio chino",
+    "mujer hombre ni\u00f1a ni\u00f1o",
+    "mujeres hombres ni\u00f1as ni\u00f1os",
+    "homosexual lesbiana bisexual heterosexual transg\u00e9nero",
+)
+
+
+def peers(identity: tuple[str, ...]) -> dict[str, list[str]]:
+    """For each term the others of its row; a term of several rows keeps those of the first."""
+    out: dict[str, list[str]] = {}
+    for row in identity:
+        words = row.split()
+        for w in words:
+            out.setdefault(w, [x for x in words if x != w])
+    return out
+
+
 WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -40,19 +71,24 @@ def _hashed(found: set[str]) -> np.ndarray:
     return np.unique(np.fromiter((zlib.crc32(f.encode("utf-8", "surrogatepass")) for f in found), np.uint32, len(found)))
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sampled(identity: tuple[str, ...]):
     """Hashed features of each text, and of the text with each identity term swapped for a peer."""
-    for b in batches:
-        for at in range(0, b.num_rows, 256):
-            part, rows = b.slice(at, 256), []
-            for x, order in zip(part.column(1), part.column(2)):
-                words = set(WORDS.findall((x.as_py() or "").lower()))
-                swaps = []
-                for term in sorted(words & KIND.keys()):
-                    peer = PEERS[term][order.as_py() % len(PEERS[term])]
-                    swaps.append(_hashed(features(words - {term} | {peer})).tobytes())
-                rows.append((_hashed(features(words)).tobytes(), swaps))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.list_(pa.binary()))], ["toxic", "order", "own", "swaps"])
+    others = peers(identity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part, rows = b.slice(at, 256), []
+                for x, order in zip(part.column(1), part.column(2)):
+                    words = set(WORDS.findall((x.as_py() or "").lower()))
+                    swaps = []
+                    for term in sorted(words & others.keys()):
+                        peer = others[term][order.as_py() % len(others[term])]
+                        swaps.append(_hashed(features(words - {term} | {peer})).tobytes())
+                    rows.append((_hashed(features(words)).tobytes(), swaps))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.list_(pa.binary()))], ["toxic", "order", "own", "swaps"])
+
+    return run
 
 
 def _csr(rows: list[np.ndarray], names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +153,7 @@ def train(own: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[int, np.n
     return names[some], w[some], float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE, **settings) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE, identity: tuple[str, ...] = IDENTITY, **settings) -> tuple[np.ndarray, np.ndarray, float]:
     """Weights learned from at most `sample` labelled documents where `learn` (of doc_id) holds.
 
     Several labels of one document count as toxic if any does. The sample's ids are bounded, so they are broadcast and
@@ -129,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE,
     chosen = rows.withColumn("order", F.abs(F.shiftright(order, 1))).where(order.cast("double") / 2.0**64 + 0.5 < sample / max(1, total)) if total > sample else rows.withColumn("order", F.abs(F.shiftright(order, 1)))
     ids = chosen.orderBy("order", "doc_id").limit(sample)
     found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("toxic", F.col("text"), "order")
-    got = found.mapInArrow(_sampled, "toxic int, order long, own binary, swaps array<binary>").toArrow().sort_by([("order", "ascending")])
+    got = found.mapInArrow(_sampled(identity), "toxic int, order long, own binary, swaps array<binary>").toArrow().sort_by([("order", "ascending")])
     own, swaps = [], []
     for i, (x, s) in enumerate(zip(got["own"], got["swaps"])):
         own.append(np.frombuffer(x.as_py(), np.uint32))
@@ -163,8 +199,9 @@ def _scored(model):
 def score(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float = 0.3, **settings) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted (1 from `threshold` on).
 
-    Scores come from words of the whole text alone. Null and empty texts get the score of no words. If no label can be
-    learned from (empty tables, one class only) every text gets the base rate. Labels without a document, null labels
+    Scores come from words of the whole text alone, however long. Null and empty texts get the score of no words. If no label can be
+    learned from (empty tables, one class only) every text gets the base rate. `identity` rows of terms are swapped for
+    each other in the sample, and `penalty` weighs how much that may change a score. Labels without a document, null labels
     and other columns are ignored; repeated rows score alike.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, ~held_out, **settings))

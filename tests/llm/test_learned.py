@@ -74,6 +74,27 @@ def test_toxicity(make, spark):
             assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
 
 
+def test_swaps_lower_scores_of_neutral_mentions(make, spark):
+    """The penalty through score(): neutral texts that name a group fare better with it, toxic ones are still found."""
+    rng = random.Random(12)
+    words, rows, labels = ["word%s" % chr(97 + i) for i in range(26)], [], []
+    for i in range(800):
+        bad = i % 4 == 0
+        text = [rng.choice(words) for _ in range(20)] + (["horrid"] if bad and i % 8 else [])
+        if bad or i % 50 == 1:
+            text.append("muslim")
+        rows.append((i, " ".join(text)))
+        labels.append((i, 1, int(bad)))
+    neutral = [(10_000 + i, " ".join(rng.choice(words) for _ in range(20)) + " muslim") for i in range(60)]
+    table, mean, flagged = spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), {}, {}
+    for penalty in (0.0, 20.0):
+        got = toxicity.score(make(rows + neutral), table, F.lit(False), penalty=penalty).collect()
+        mean[penalty] = sum(r.score for r in got if r.doc_id >= 10_000) / 60
+        flagged[penalty] = sum(r.predicted for r in got if r.doc_id >= 10_000)
+        assert sum(r.predicted for r in got if r.doc_id < 800 and r.doc_id % 8 == 4) == 100
+    assert mean[20.0] < 0.6 * mean[0.0] and flagged[20.0] < flagged[0.0]
+
+
 def test_toxicity_without_labels(make, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.predicted for r in toxicity.score(make([(1, "a"), (2, None)]), none, F.lit(False)).collect()} == {0}
