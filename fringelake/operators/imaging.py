@@ -132,7 +132,7 @@ def laplacian(image: DataFrame, by: list[str]) -> DataFrame:
     return cells.groupBy(*by).agg(F.sum(F.col("l") * F.col("l")).alias("laplacian"))
 
 
-def resample(image: DataFrame, scale: float, npix: int, new_npix: int, new_scale: float) -> DataFrame:
+def resample(image: DataFrame, scale: float, npix: int, new_npix: int, new_scale: float, by: tuple[str, ...] = ()) -> DataFrame:
     """An image on a new grid, flux shared by overlapping area; one row in, the few pixels it overlaps out."""
 
     def spans(i: Column, n: int, m: int) -> Column:
@@ -141,9 +141,9 @@ def resample(image: DataFrame, scale: float, npix: int, new_npix: int, new_scale
         share = lambda j: F.struct(j.cast("int").alias("j"), (F.greatest(F.least(hi, (j - m / 2 + 1) * new_scale) - F.greatest(lo, (j - m / 2) * new_scale), F.lit(0.0)) / scale).alias("s"))
         return F.transform(F.sequence(first.cast("long"), F.greatest(last, first).cast("long")), share)
 
-    out = image.select("value", F.explode(spans(F.col("row"), npix, new_npix)).alias("r"), spans(F.col("col"), npix, new_npix).alias("cs")).select("value", "r", F.explode("cs").alias("c"))
+    out = image.select(*by, "value", F.explode(spans(F.col("row"), npix, new_npix)).alias("r"), spans(F.col("col"), npix, new_npix).alias("cs")).select(*by, "value", "r", F.explode("cs").alias("c"))
     inside = F.col("r.j").between(0, new_npix - 1) & F.col("c.j").between(0, new_npix - 1)
-    return out.where(inside).groupBy(F.col("r.j").alias("row"), F.col("c.j").alias("col")).agg(F.sum(F.col("value") * F.col("r.s") * F.col("c.s")).alias("value"))
+    return out.where(inside).groupBy(*by, F.col("r.j").alias("row"), F.col("c.j").alias("col")).agg(F.sum(F.col("value") * F.col("r.s") * F.col("c.s")).alias("value"))
 
 
 def align(image: DataFrame, truth: DataFrame, max_shift: int) -> DataFrame:
@@ -152,3 +152,61 @@ def align(image: DataFrame, truth: DataFrame, max_shift: int) -> DataFrame:
     moved = image.select("value", "row", "col", F.explode(s).alias("dr")).select("*", F.explode(s).alias("dc")).select("dr", "dc", (F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"), F.col("value").alias("e"))
     both = moved.join(truth.select("row", "col", F.col("value").alias("r")), ["row", "col"])
     return both.groupBy("dr", "dc").agg(F.corr("e", "r").alias("ncc")).orderBy(F.desc_nulls_last("ncc"), "dr", "dc").limit(1)
+
+
+#: Taps of the cubic B-spline that smooths one scale of the starlet transform.
+B3_SPLINE = (1 / 16, 1 / 4, 3 / 8, 1 / 4, 1 / 16)
+
+
+def _smoothed(image: DataFrame, by: list[str], step: int) -> DataFrame:
+    """An image smoothed by the spline with taps `step` pixels apart, one axis at a time; zero beyond its pixels."""
+    for axis in ("row", "col"):
+        taps = F.explode(F.array(*(F.struct((F.col(axis) + (k - 2) * step).alias(axis), (F.col("value") * t).alias("part")) for k, t in enumerate(B3_SPLINE))))
+        other = "col" if axis == "row" else "row"
+        sums = image.select(*by, other, taps.alias("t")).groupBy(*by, other, F.col(f"t.{axis}").alias(axis)).agg(F.sum("t.part").alias("value"))
+        image = image.select(*by, "row", "col").join(sums, [*by, "row", "col"])
+    return image
+
+
+def starlet(image: DataFrame, by: list[str], scales: int = 4) -> DataFrame:
+    """(by, scale, row, col, value): detail planes from 0, finest first, and the rest as plane `scales`."""
+    out, now = None, image.select(*by, "row", "col", "value")
+    for j in range(scales):
+        smooth = _smoothed(now, by, 1 << j)
+        plane = now.join(smooth.withColumnRenamed("value", "smooth"), [*by, "row", "col"]).select(*by, F.lit(j).alias("scale"), "row", "col", (F.col("value") - F.col("smooth")).alias("value"))
+        out, now = plane if out is None else out.unionByName(plane), smooth
+    return out.unionByName(now.select(*by, F.lit(scales).alias("scale"), "row", "col", "value"))
+
+
+def starlet_l1(image: DataFrame, by: list[str], scales: int = 4, epsilon: float = 0.01) -> DataFrame:
+    """(by, starlet_l1): sum of sqrt(s^2 + (epsilon / pixels)^2) over the detail planes."""
+    size = image.groupBy(*by).agg(F.count("*").alias("pixels"))
+    planes = starlet(image, by, scales).where(F.col("scale") < scales).join(size, by)
+    return planes.groupBy(*by).agg(F.sum(F.sqrt(F.pow("value", 2.0) + F.pow(epsilon / F.col("pixels"), 2.0))).alias("starlet_l1"))
+
+
+def centroid(image: DataFrame, by: list[str], nrow: int, ncol: int, scale: float, sigma: float | None = None) -> DataFrame:
+    """(by, x, y): brightness-weighted offsets in mas from the centre (row 0 north, column 0 east), and with `sigma` half their squared whitened sum."""
+    x, y = ((ncol - 1) / 2 - F.col("col")) * scale, ((nrow - 1) / 2 - F.col("row")) * scale
+    out = image.groupBy(*by).agg(F.sum(F.col("value") * x).alias("x"), F.sum(F.col("value") * y).alias("y"))
+    return out if sigma is None else out.withColumn("penalty", (F.pow("x", 2.0) + F.pow("y", 2.0)) / (2 * sigma**2))
+
+
+def primary_beam(grid: DataFrame, freq_hz: float, dish_m: float, factor: float) -> DataFrame:
+    """Pixels (dra, ddec in mas) with the log attenuation -4 ln 2 r^2 / FWHM^2, FWHM = factor c / (frequency dish)."""
+    fwhm = factor * 299792458.0 / (freq_hz * dish_m) / MAS
+    return grid.withColumn("log_beam", (F.pow("dra", 2.0) + F.pow("ddec", 2.0)) * (-4 * math.log(2) / fwhm**2))
+
+
+def smearing_scale(samples: DataFrame) -> DataFrame:
+    """The field in mas beyond which channel widths wash a source out: least wavel^2 / (bandwidth baseline); null without widths."""
+    b = F.hypot("u", "v")
+    return samples.where((b > 0) & (F.col("bandwidth") > 0)).agg(F.min(F.pow("wavel", 2.0) / (F.col("bandwidth") * b) / MAS).alias("smearing"))
+
+
+def field_of_view(samples: DataFrame, largest: float = 500.0) -> DataFrame:
+    """(pixel, field) in mas: half the finest fringe, and the least of `largest`, the coarsest fringe and the smearing field."""
+    b = F.hypot("u", "v")
+    finest, coarsest = F.min(F.when(b > 0, F.col("wavel") / b)), F.max(F.when(b > 0, F.col("wavel") / b))
+    smear = F.min(F.when((b > 0) & (F.col("bandwidth") > 0), F.pow("wavel", 2.0) / (F.col("bandwidth") * b)))
+    return samples.agg((finest / (2 * MAS)).alias("pixel"), F.least(F.lit(float(largest)), coarsest / MAS, smear / MAS).alias("field"))

@@ -152,3 +152,32 @@ def outlier_mixture(loglikes: DataFrame, by: list[str], groups: int, inlier: str
     one = top + F.log((1.0 - F.col("eps")) * F.exp(F.col(inlier) - top) + F.col("eps") * F.exp(F.col(outlier) - top))
     per = loglikes.withColumn("eps", nodes).groupBy(*by, "eps").agg(F.sum(one).alias("t"))
     return logsumexp(per, by, "t", mean=True).withColumnRenamed("logsumexp", "log_mixture")
+
+
+def outlier_probabilities(loglikes: DataFrame, by: list[str], group: str, groups: int, inlier: str = "ll", outlier: str = "ll_out") -> DataFrame:
+    """(by, group, probability): posterior of each group being an outlier, the rate marginalised as in outlier_mixture."""
+    n = groups + 1
+    nodes = F.explode(F.array(*(F.lit(0.5 * (1 - math.cos((2 * j - 1) * math.pi / (2 * n)))) for j in range(1, n + 1))))
+    top = F.greatest(F.col(inlier), F.col(outlier))
+    one = top + F.log((1.0 - F.col("eps")) * F.exp(F.col(inlier) - top) + F.col("eps") * F.exp(F.col(outlier) - top))
+    rows = loglikes.withColumn("eps", nodes).withColumn("term", one)
+    totals = rows.groupBy(*by, "eps").agg(F.sum("term").alias("t"))
+    best = totals.groupBy(*by).agg(F.max("t").alias("most"))
+    weights = totals.join(best, by).select(*by, "eps", F.exp(F.col("t") - F.col("most")).alias("w"))
+    share = F.exp(F.log("eps") + F.col(outlier) - F.col("term"))
+    return rows.join(weights, [*by, "eps"]).groupBy(*by, group).agg((F.sum(F.col("w") * share) / F.sum("w")).alias("probability"))
+
+
+def predictive_summary(predictions: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, mean, spread) of a model observable over posterior draws."""
+    return predictions.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("spread"))
+
+
+def chi2_by(points: DataFrame, by: list[str], value: str, model: Column, error: str) -> DataFrame:
+    """(by, chi2, n) of whitened residuals."""
+    return points.groupBy(*by).agg(F.sum(F.pow((model - F.col(value)) / F.col(error), 2.0)).alias("chi2"), F.count("*").alias("n"))
+
+
+def reason_counts(members: DataFrame, reason: str = "reason") -> DataFrame:
+    """(reason, members) of an ensemble."""
+    return members.groupBy(reason).agg(F.count("*").alias("members"))

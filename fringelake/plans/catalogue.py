@@ -532,13 +532,13 @@ def second_moment_fwhm(spark, sf_dir):
     return rounded(imaging.second_moment_fwhm(rows), 6, "fwhm")
 
 
-@query(f"""WITH {PIXELS}, h AS (SELECT row // 2 AS row, col // 2 AS col, value FROM px WHERE image = 0) SELECT row::INT AS row, col::INT AS col, round(sum(value), 6) AS value FROM h GROUP BY 1, 2""")
+@query(f"""WITH {PIXELS} SELECT image, (row // 2)::INT AS row, (col // 2)::INT AS col, round(sum(value), 6) AS value FROM px GROUP BY ALL""")
 def resample_image(spark, sf_dir):
-    image = derived.pixel_image(spark, sf_dir).where("image = 0")
+    image = derived.pixel_image(spark, sf_dir)
     top = image.agg(F.greatest(F.max("row"), F.max("col")) + 1).first()[0]
     n = top + top % 2
-    out = imaging.resample(image, 1.0, n, n // 2, 2.0).where("value > 0")
-    return rounded(out, 6, "value").select("row", "col", "value")
+    out = imaging.resample(image, 1.0, n, n // 2, 2.0, ("image",)).where("value > 0")
+    return rounded(out, 6, "value").select("image", "row", "col", "value")
 
 
 # Orbits --------------------------------------------------------------------------------------------------------------
@@ -711,3 +711,6 @@ def position_loglike(spark, sf_dir):
     rows = rows.withColumn("cov", F.struct(F.lit(0.8).alias("xx"), F.lit(0.2).alias("xy"), F.lit(0.5).alias("yy")))
     t = F.col("mjd") / F.col("orbit")
     return rounded(orbits.position_loglike(rows, F.col("dra") - F.sin(t) * 2.0, F.col("ddec") - F.cos(t) * 2.0, ["orbit"]), 3, "loglike")
+
+
+from . import catalogue_sky  # noqa: E402, F401  registers further queries

@@ -132,16 +132,182 @@ class LimbDarkenedDisk(Component):
 
         x, w = np.polynomial.legendre.leggauss(self.nodes)
         mus, weights = (x + 1) / 2, w / 2
-        arg = F.hypot(s.u, s.v) * col(self.diam) * (math.pi * MAS)
+        arg = self.spacing(s) * col(self.diam) * (math.pi * MAS)
         top = bottom = F.lit(0.0)
         for mu, wt in zip(mus.tolist(), weights.tolist()):
-            b = F.lit(1.0)
-            for k, c in enumerate(self.u, 1):
-                b = b - col(c) * (1 - mu) ** k
+            b = self.brightness(mu)
             top = top + b * (wt * mu) * special.j0(arg * math.sqrt(1 - mu * mu))
             bottom = bottom + b * (wt * mu)
         return Cx(top / bottom, F.lit(0.0))
 
+    def spacing(self, s: Uv) -> Column:
+        return F.hypot(s.u, s.v)
+
+    def brightness(self, mu: float) -> Column:
+        b = F.lit(1.0)
+        for k, c in enumerate(self.u, 1):
+            b = b - col(c) * (1 - mu) ** k
+        return b
+
+
+@dataclass(frozen=True, kw_only=True)
+class EllipticalLimbDarkenedDisk(LimbDarkenedDisk):
+    """The same with an elliptical outline: `diam` along the position angle, `ratio` times that across it."""
+
+    ratio: Param = 1.0
+    pa: Param = 0.0
+
+    def spacing(self, s):
+        return F.hypot(*deproject(s.u, s.v, self.pa, self.ratio))
+
+
+@dataclass(frozen=True, kw_only=True)
+class QuadraticLimbDarkenedDisk(LimbDarkenedDisk):
+    """The quadratic law by q1, q2 of the unit square: u1 = 2 sqrt(q1) q2, u2 = sqrt(q1) (1 - 2 q2)."""
+
+    q1: Param
+    q2: Param
+
+    def brightness(self, mu):
+        root, q2 = F.sqrt(col(self.q1)), col(self.q2)
+        return F.lit(1.0) - root * q2 * (2 * (1 - mu)) - root * (1.0 - q2 * 2.0) * (1 - mu) ** 2
+
+
+@dataclass(frozen=True, kw_only=True)
+class SquareRootLimbDarkenedDisk(QuadraticLimbDarkenedDisk):
+    """The square-root law by q1, q2: 1 - sqrt(q1) (1 - 2 q2) (1 - mu) - 2 sqrt(q1) q2 (1 - sqrt(mu))."""
+
+    nodes: int = 48
+
+    def brightness(self, mu):
+        root, q2 = F.sqrt(col(self.q1)), col(self.q2)
+        return F.lit(1.0) - root * (1.0 - q2 * 2.0) * (1 - mu) - root * q2 * (2 * (1 - math.sqrt(mu)))
+
+
+@dataclass(frozen=True, kw_only=True)
+class Profile:
+    """A radial brightness; `between` bounds it and Gauss-Legendre nodes carry brightness times radius."""
+
+    nodes: int = 32
+
+    def between(self) -> tuple[Column, Column]:
+        raise NotImplementedError
+
+    def intensity(self, r: Column) -> Column:
+        raise NotImplementedError
+
+    def rings(self) -> list[tuple[Column, Column]]:
+        """(radius in mas, weight) of the thin rings that stand for the profile."""
+        import numpy as np
+
+        lo, hi = self.between()
+        half, out = (hi - lo) / 2.0, []
+        for x, w in zip(*(a.tolist() for a in np.polynomial.legendre.leggauss(self.nodes))):
+            r = lo + half * (x + 1)
+            out.append((r, half * w * r * self.intensity(r)))
+        return out
+
+    def parameters(self) -> set[str]:
+        own = (getattr(self, f.name) for f in fields(self))
+        flat = [y for x in own for y in (x if isinstance(x, tuple) else (x,))]
+        return {x for x in flat if isinstance(x, str)}.union(*(x.parameters() for x in flat if isinstance(x, Profile)))
+
+
+@dataclass(frozen=True, kw_only=True)
+class ThinRing(Profile):
+    radius: Param
+
+    def rings(self):
+        return [(col(self.radius), F.lit(1.0))]
+
+
+@dataclass(frozen=True, kw_only=True)
+class GaussianRing(Profile):
+    """A Gaussian of width `sigma` about `radius`, out to five widths."""
+
+    radius: Param
+    sigma: Param
+
+    def between(self):
+        r, s = col(self.radius), col(self.sigma) * 5.0
+        return F.greatest(r - s, F.lit(0.0)), r + s
+
+    def intensity(self, r):
+        return F.exp(F.pow((r - col(self.radius)) / col(self.sigma), 2.0) * -0.5)
+
+
+@dataclass(frozen=True, kw_only=True)
+class RadialPowerLaw(Profile):
+    """Brightness r ** index between two radii."""
+
+    r_in: Param
+    r_out: Param
+    index: Param = 0.0
+
+    def between(self):
+        return col(self.r_in), col(self.r_out)
+
+    def intensity(self, r):
+        return F.pow(F.greatest(r, F.lit(1e-9)), col(self.index))
+
+
+@dataclass(frozen=True, kw_only=True)
+class ExpTail(Profile):
+    """Brightness exp(-(r - r_in) / scale_length) from r_in out to `cutoff` lengths."""
+
+    r_in: Param
+    scale_length: Param
+    cutoff: float = 10.0
+
+    def between(self):
+        return col(self.r_in), col(self.r_in) + col(self.scale_length) * self.cutoff
+
+    def intensity(self, r):
+        return F.exp((col(self.r_in) - r) / col(self.scale_length))
+
+
+@dataclass(frozen=True, kw_only=True)
+class Gap(Profile):
+    """Another profile with a Gaussian part of depth `depth` taken out about `radius`."""
+
+    base: Profile = field(default_factory=lambda: ThinRing(radius=1.0))
+    radius: Param
+    sigma: Param
+    depth: Param = 1.0
+
+    def rings(self):
+        dip = lambda r: 1.0 - col(self.depth) * F.exp(F.pow((r - col(self.radius)) / col(self.sigma), 2.0) * -0.5)
+        return [(r, w * dip(r)) for r, w in self.base.rings()]
+
+
+@dataclass(frozen=True, kw_only=True)
+class RadialSum(Profile):
+    """Profiles added up as they are."""
+
+    parts: tuple[Profile, ...] = ()
+
+    def rings(self):
+        return [ring for p in self.parts for ring in p.rings()]
+
+
+@dataclass(frozen=True, kw_only=True)
+class RadialDisk(Component):
+    """A radial profile, round or seen at an angle: its Hankel transform by rings of J0."""
+
+    profile: Profile
+    ratio: Param = 1.0
+    pa: Param = 0.0
+
+    def centred(self, s):
+        q = F.hypot(*deproject(s.u, s.v, self.pa, self.ratio)) * (2 * math.pi * MAS)
+        top = bottom = F.lit(0.0)
+        for r, w in self.profile.rings():
+            top, bottom = top + w * special.j0(q * r), bottom + w
+        return Cx(top / bottom, F.lit(0.0))
+
+    def parameters(self):
+        return super().parameters() | self.profile.parameters()
+
 
 @dataclass(frozen=True, kw_only=True)
 class Ring(Component):
@@ -266,3 +432,17 @@ class OrbitalBinary(BinaryCartesian):
 
     def parameters(self):
         return super().parameters() | {x for f in fields(self.orbit) if isinstance(x := getattr(self.orbit, f.name), str)}
+
+
+@dataclass(frozen=True, kw_only=True)
+class Attached(Component):
+    """A component that follows an orbit at each sample's own time."""
+
+    source: Component = field(default_factory=PointSource)
+    orbit: Kepler
+
+    def centred(self, s):
+        return self.source.cvis(s) * offset_phase(s.u, s.v, *self.orbit.relative(s.mjd))
+
+    def parameters(self):
+        return super().parameters() | {x for f in fields(self.orbit) if isinstance(x := getattr(self.orbit, f.name), str)}
