@@ -32,6 +32,12 @@ def j0(x: Column) -> Column:
     return F.when(a <= 3, _horner(y, J0_SMALL)).otherwise(_horner(t, J0_MODULUS) * F.cos(a + _horner(t, J0_PHASE)) / F.sqrt(F.greatest(a, F.lit(3.0))))
 
 
+def hankel(x: Column, radii: list[Column], weights: list[Column]) -> Column:
+    """Sum of weight times J0(x radius) over rings, as a loop over an array: unrolled, many rings pass the limits of generated code."""
+    rings = F.array(*(F.struct(r.cast("double").alias("r"), w.cast("double").alias("w")) for r, w in zip(radii, weights)))
+    return F.aggregate(rings, F.lit(0.0), lambda total, ring: total + ring["w"] * j0(x * ring["r"]))
+
+
 def j1_over_x(x: Column) -> Column:
     """J1(x) / x, 1/2 at 0."""
     a = F.abs(x)

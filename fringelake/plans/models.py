@@ -133,12 +133,9 @@ class LimbDarkenedDisk(Component):
         x, w = np.polynomial.legendre.leggauss(self.nodes)
         mus, weights = (x + 1) / 2, w / 2
         arg = self.spacing(s) * col(self.diam) * (math.pi * MAS)
-        top = bottom = F.lit(0.0)
-        for mu, wt in zip(mus.tolist(), weights.tolist()):
-            b = self.brightness(mu)
-            top = top + b * (wt * mu) * special.j0(arg * math.sqrt(1 - mu * mu))
-            bottom = bottom + b * (wt * mu)
-        return Cx(top / bottom, F.lit(0.0))
+        bright = [self.brightness(mu) * (wt * mu) for mu, wt in zip(mus.tolist(), weights.tolist())]
+        top = special.hankel(arg, [F.lit(math.sqrt(1 - mu * mu)) for mu in mus.tolist()], bright)
+        return Cx(top / sum(bright, F.lit(0.0)), F.lit(0.0))
 
     def spacing(self, s: Uv) -> Column:
         return F.hypot(s.u, s.v)
@@ -300,10 +297,11 @@ class RadialDisk(Component):
 
     def centred(self, s):
         q = F.hypot(*deproject(s.u, s.v, self.pa, self.ratio)) * (2 * math.pi * MAS)
-        top = bottom = F.lit(0.0)
-        for r, w in self.profile.rings():
-            top, bottom = top + w * special.j0(q * r), bottom + w
-        return Cx(top / bottom, F.lit(0.0))
+        rings = self.profile.rings()
+        if len(rings) == 1:
+            return Cx(special.j0(q * rings[0][0]), F.lit(0.0))
+        radii, weights = zip(*rings)
+        return Cx(special.hankel(q, radii, weights) / sum(weights, F.lit(0.0)), F.lit(0.0))
 
     def parameters(self):
         return super().parameters() | self.profile.parameters()
