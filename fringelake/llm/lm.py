@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -11,14 +12,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, release
 
 #: Token that ends each text; no word can hold a space.
 END = b"\n"
-#: Words at most whose counts every worker holds (a few MB, broadcast); the counts of all others are joined.
+#: Words at most that every worker holds with class and count (a few MB, broadcast); all others are joined.
 HEAD = 1 << 17
-#: Word types that are clustered one by one, the most frequent; all other words fall into OTHER types by their last letters.
-TYPES, OTHER = 512, 128
+#: Word types from which exchange clustering makes the classes, the most frequent; all other words are placed into these
+#: classes by the classes before them, and until then, or if seen less than PLACED times, by one of OTHER groups of last letters.
+TYPES, OTHER, PLACED = 512, 128, 4
 #: Classes of the exchange clustering, with one more for the end.
 CLASSES = 48
 #: Distinct words that a task counts before it hands them on.
@@ -49,30 +51,34 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Typed(dict):
-    """Word -> type: its own among the most frequent, else one by the last three bytes. Bounded memory."""
+    """Word -> its own number in the head, else that of its group by the last three bytes. Bounded memory."""
 
     def __init__(self, own: dict[bytes, int]):
         super().__init__(own)
         self.own = own
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > FLUSH:
+        if len(self) > FLUSH + len(self.own):
             self.clear()
             self.update(self.own)
         kind = self[word] = len(self.own) + zlib.crc32(word[-3:]) % OTHER
         return kind
 
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """Numbers of the words of a text, the end standing before the first."""
+        return np.array([self.own[END], *map(self.__getitem__, words)], np.int64)
+
 
 def _pairs(shared):
     """Counts of adjacent types, the end standing before the first word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        typed, n = Typed(own), len(own) + OTHER
-        held, end = np.zeros(n * n, np.int64), own[END]
+        own, kinds = shared.value
+        typed, n = Typed(own), kinds.max() + 1
+        held = np.zeros(n * n, np.int64)
         for b in batches:
             for x in b.column(0):
-                at = np.array([end, *map(typed.__getitem__, _tokens(x.as_py()))], np.int64)
+                at = kinds[typed.numbers(_tokens(x.as_py()))]
                 np.add.at(held, at[:-1] * n + at[1:], 1)
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], ["pair", "n"])
@@ -80,18 +86,102 @@ def _pairs(shared):
     return run
 
 
-def _type_sizes(shared):
+def _befores(shared):
+    """How often each class stands before each word of the head that exchange has not classed."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        typed = Typed(shared.value)
-        words = np.zeros(len(shared.value) + OTHER, np.int64)
+        own, classes, types = shared.value
+        typed, held, waiting = Typed(own), [], 0
+
+        def out():
+            at, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(at // (CLASSES + 1)), pa.array(at % (CLASSES + 1), pa.int32()), pa.array(n)], ["word", "before", "n"])
+
         for b in batches:
-            np.add.at(words, np.array([typed[x.as_py()] for x in b.column(0)], np.int64), 1)
-        at = np.flatnonzero(words)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], ["type", "words"])
+            for x in b.column(0):
+                at = typed.numbers(_tokens(x.as_py()))
+                mine = (at[1:] >= types) & (at[1:] < len(own))
+                held.append(at[1:][mine] * (CLASSES + 1) + classes[at[:-1][mine]])
+                waiting += len(held[-1])
+                if waiting > 10 * FLUSH:
+                    yield out()
+                    held, waiting = [], 0
+        if held:
+            yield out()
 
     return run
 
 
+def _transitions(shared):
+    """Counts of adjacent classes within the head (word null, before * classes + class) and of each class before each other word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, classes = shared.value
+        typed, k, names = Typed(own), CLASSES + 1, ["word", "before", "n"]
+        joint, held = np.zeros(k * k, np.int64), Counter()
+
+        def out():
+            words, befores = zip(*held)
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(befores, pa.int32()), pa.array(held.values(), pa.int64())], names)
+
+        for b in batches:
+            for x in b.column(0):
+                tokens = _tokens(x.as_py())
+                at = typed.numbers(tokens)
+                of, rare = classes[at], at[1:] >= len(own)
+                joint += np.bincount((of[:-1] * k + of[1:])[~rare], minlength=k * k)
+                where = np.flatnonzero(rare)
+                held.update(zip(map(tokens.__getitem__, where.tolist()), of[where].tolist()))
+                if len(held) > FLUSH:
+                    yield out()
+                    held.clear()
+        if held:
+            yield out()
+        at = np.flatnonzero(joint)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.binary()), pa.array(at, pa.int32()), pa.array(joint[at])], names)
+
+    return run
+
+
+def _placed(shared):
+    """The class of each word under which it is likeliest after the classes `befores` that it follows in the corpus.
+
+    The likelihood is that of the class given the one before, times that of the word in the class. Words seen less than
+    PLACED times take the class of their group.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step, sizes, groups = shared.value
+        k = CLASSES + 1
+        for b in batches:
+            if not b.num_rows:
+                continue
+            befores = b.column("befores")
+            each = befores.flatten()
+            row = np.repeat(np.arange(b.num_rows), befores.value_lengths().to_numpy(zero_copy_only=False))
+            seen = np.bincount(row * k + each.field("before").to_numpy(), each.field("n").to_numpy(), b.num_rows * k).reshape(-1, k)
+            c = b.column("c").to_numpy()
+            of = np.argmax((seen @ step)[:, :CLASSES] - c[:, None] * np.log10(sizes[:CLASSES] + c[:, None]), axis=1).astype(np.int32)
+            if groups is not None:
+                for i in np.flatnonzero(c < PLACED):
+                    of[i] = groups[zlib.crc32(b.column("word")[int(i)].as_py()[-3:]) % OTHER]
+            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("c"), pa.array(of), befores], ["word", "c", "class", "befores"])
+
+    return run
+
+
+def _place(seen: DataFrame, kind: str, *model) -> DataFrame:
+    """(word, c, class, befores) from how often each class stands `before` each word."""
+    words = seen.groupBy("word").agg(F.sum("n").alias("c"), F.collect_list(F.struct("before", "n")).alias("befores"))
+    return words.mapInArrow(_placed(seen.sparkSession.sparkContext.broadcast(model)), f"word {kind}, c long, class int, befores array<struct<before: int, n: long>>")
+
+
+def _steps(joint: np.ndarray) -> np.ndarray:
+    """log10 of the probability of each class after each, smoothed towards the class frequencies."""
+    into = (joint.sum(0) + 1) / (joint.sum() + len(joint))
+    return np.log10((joint + 5 * into) / (joint.sum(1, keepdims=True) + 5))
+
+
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
@@ -143,45 +233,55 @@ def exchange(pairs: np.ndarray, fixed: int, classes: int = CLASSES, sweeps: int
 
 
 def _scores(shared):
-    """A row per text with the sums over its head words, and a row per distinct other word of it."""
+    """A row per text with the sums over its head words, and a row per distinct other word of it and class before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, head, of, step, spread = shared.value
-        typed, end, names = Typed(own), own[END], ["rid", "word", "n", "doc"]
+        own, logs, classes, step, spread = shared.value
+        typed, names = Typed(own), ["rid", "word", "before", "own", "n", "doc"]
         doc = pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("rest", pa.float64())])
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
-                rids, words, ns, docs = [], [], [], []
+                rids, words, befores, owns, ns, docs = [], [], [], [], [], []
                 for rid, doc_id, held, x in zip(*(c.to_pylist() for c in whole.slice(at, 256).columns)):
                     tokens = _tokens(x)
-                    kinds = of[np.array([end, *map(typed.__getitem__, tokens)], np.int64)]
-                    rest = float(step[kinds[:-1], kinds[1:]].sum() - spread[kinds[1:]].sum())
-                    logs = list(map(head.get, tokens))
-                    tail = Counter([t for t, v in zip(tokens, logs) if v is None]) if None in logs else {}
-                    logs = [v for v in logs if v is not None]
-                    rids.append(rid), words.append(b" %d" % rid), ns.append(0)
-                    docs.append({"doc_id": doc_id, "held_out": held, "n_tokens": len(tokens), "known": len(logs), "logs": float(np.sum(logs)), "rest": rest})
-                    rids += [rid] * len(tail)
-                    words += tail.keys()
-                    ns += tail.values()
-                    docs += [None] * len(tail)
-                yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(words, pa.binary()), pa.array(ns, pa.int64()), pa.array(docs, doc)], names)
+                    number = typed.numbers(tokens)
+                    of, here = classes[number], number[1:] < len(own)
+                    rest = float((step[of[:-1], of[1:]] - spread[of[1:]])[here].sum())
+                    log = logs[number[1:][here]]
+                    where = np.flatnonzero(~here)
+                    tail = Counter(zip(map(tokens.__getitem__, where.tolist()), of[where].tolist(), of[where + 1].tolist()))
+                    rids.append(rid), words.append(b" %d" % rid), befores.append(0), owns.append(0), ns.append(0)
+                    docs.append({"doc_id": doc_id, "held_out": held, "n_tokens": len(tokens), "known": int((log > 0).sum()), "logs": float(log.sum()), "rest": rest})
+                    if tail:
+                        for column, values in zip((words, befores, owns), zip(*tail)):
+                            column += values
+                        rids += [rid] * len(tail)
+                        ns += tail.values()
+                        docs += [None] * len(tail)
+                yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(words, pa.binary()), pa.array(befores, pa.int32()), pa.array(owns, pa.int32()), pa.array(ns, pa.int64()), pa.array(docs, doc)], names)
 
     return run
 
 
+def _constants(values: np.ndarray) -> Column:
+    """A column holding a bounded array of numbers, folded into the plan once."""
+    return F.from_json(F.lit(json.dumps(values.ravel().tolist())), "array<double>")
+
+
 def score(docs: DataFrame, held_out: Column) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are words (A-Z lower-cased, parted at the six ASCII spaces) and one end per text. Counts are of all tokens
     of all rows where `held_out` is false. base_score is the add-one unigram log10 probability. The model gives a token
-    P(its class | class before) P(token | its class): classes come from exchange clustering of the frequent words and
-    of groups of rarer words by their endings; transitions are smoothed towards the class frequencies; emissions are
-    add-one with one unseen word per class.
-
-    Counts of the most frequent words go to the workers, at most HEAD of them; the other words of each text are joined
-    with their counts. Null and empty texts are one end. Repeated rows are scored each by itself; a null doc_id is
-    kept. With nothing to learn from, all counts are 0. An empty table gives no rows; other columns are ignored.
+    P(its class | class before) P(token | its class). Exchange clustering of the TYPES most frequent words, and of
+    groups of the others by their endings, makes the classes; then every other word seen PLACED times or more is
+    placed by itself into the class that makes it likeliest after the classes before it, however many words there are.
+    Transitions are smoothed towards the class frequencies; emissions are add-one with one unseen word per class.
+
+    The most frequent words go to the workers, at most HEAD of them. The others are joined with their counts and
+    classes, and as the word before another they stand for their group. Null and empty texts are one end. Repeated rows
+    are scored each by itself; a null doc_id is kept. With nothing to learn from, all counts are 0. An empty table
+    gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession.sparkContext
     texts = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.col("text").cast("binary").alias("text"))
@@ -196,38 +296,57 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
             least = n + 1
             break
         held += words
-    head = {bytes(r.word): r.n for r in counts.where(F.col("n") >= least).collect()}
-    ranked = [w for w in sorted(head, key=lambda w: (-head[w], w)) if w != END][:TYPES]
-    own = {w: i for i, w in enumerate([END, *ranked])}
-
-    named = spark.broadcast(own)
-    n = len(own) + OTHER
+    head = {bytes(r.word): r.n for r in counts.where((F.col("n") >= least) | (F.col("word") == F.lit(END))).collect()}
+    ends = head.pop(END, 0)
+    release(counts)
+    ranked = [END, *sorted(head, key=lambda w: (-head[w], w))]
+    own = {w: i for i, w in enumerate(ranked)}
+    types, k = min(len(own), TYPES + 1), CLASSES + 1
+    groups = np.array([types + zlib.crc32(w[-3:]) % OTHER for w in ranked[types:]], np.int64)
+    kinds = np.concatenate([np.arange(types), groups, types + np.arange(OTHER)])
+
+    n = types + OTHER
     pairs = np.zeros(n * n)
+    named = spark.broadcast((own, kinds))
     got = learned.mapInArrow(_pairs(named), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     pairs[got["pair"].to_numpy()] = got["n"].to_numpy()
     pairs = pairs.reshape(n, n)
-    of = exchange(pairs, 0)
-    k = CLASSES + 1
+    of = exchange(pairs, 0, CLASSES)
     member = np.eye(k)[of]
-    joint = member.T @ pairs @ member
-    into = (joint.sum(0) + 1) / (joint.sum() + k)
-    step = np.log10((joint + 5 * into) / (joint.sum(1, keepdims=True) + 5))
-    words = np.zeros(n)
-    for r in counts.select("word").mapInArrow(_type_sizes(named), "type long, words long").groupBy("type").agg(F.sum("words").alias("words")).collect():
-        words[r["type"]] = r.words
-    # the end is one token with nothing unseen beside it
-    spread = np.log10(member.T @ pairs.sum(0) + member.T @ words + 1)
-
-    shared = spark.broadcast((own, {w: float(np.log10(c + 1)) for w, c in head.items()}, of, step, spread))
+    step, sizes = _steps(member.T @ pairs @ member), member.T @ pairs.sum(0)
+
+    # all other words: those of the head first, as they stand before others
+    classes = of[kinds]
+    seen = learned.mapInArrow(_befores(spark.broadcast((own, classes, types))), "word long, before int, n long").groupBy("word", "before").agg(F.sum("n").alias("n"))
+    for r in _place(seen, "long", step, sizes, None).where(F.col("c") >= PLACED).select("word", "class").collect():
+        classes[r["word"]] = r["class"]
+    moves = materialize(learned.mapInArrow(_transitions(spark.broadcast((own, classes))), "word binary, before int, n long").groupBy("word", "before").agg(F.sum("n").alias("n")), "moves")
+    tail = materialize(_place(moves.where("word is not null"), "binary", step, sizes, classes[len(own):]), "tail")
+    joint = np.zeros((k, k))
+    for r in moves.where("word is null").collect():
+        joint.flat[r.before] += r.n
+    for r in tail.select("class", F.explode("befores").alias("b")).groupBy("b.before", "class").agg(F.sum("b.n").alias("n")).collect():
+        joint[r.before, r["class"]] += r.n
+    release(moves)
+    words = np.bincount(classes[1 : len(own)], minlength=k).astype(float)
+    for r in tail.groupBy("class").agg(F.count("*").alias("words")).collect():
+        words[r["class"]] += r.words
+    # one unseen word in each class but that of the end
+    step, spread = _steps(joint), np.log10(joint.sum(0) + words + 1)
+
+    logs = np.log10(1 + np.array([ends, *map(head.__getitem__, ranked[1:])], float))
+    shared = spark.broadcast((own, logs, classes, step, spread))
     doc = "struct<doc_id: long, held_out: boolean, n_tokens: long, known: long, logs: double, rest: double>"
-    rows = texts.select("rid", "doc_id", "held_out", "text").mapInArrow(_scores(shared), f"rid long, word binary, n long, doc {doc}")
-    rare = counts.where(F.col("n") < least).select("word", F.col("n").alias("c"))
-    joined = rows.join(rare, "word", "left")
+    rows = texts.select("rid", "doc_id", "held_out", "text").mapInArrow(_scores(shared), f"rid long, word binary, before int, own int, n long, doc {doc}")
+    joined = rows.join(tail.select("word", "c", "class"), "word", "left")
+    to = F.coalesce("class", "own")
+    rest = F.get(_constants(step), F.col("before") * k + to) - F.get(_constants(spread), to)
     sums = joined.groupBy("rid").agg(
-        F.max("doc").alias("doc"), F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("known"), F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("logs")
-    )
+        F.max("doc").alias("doc"), F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("known"),
+        F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("logs"), F.sum(F.col("n") * rest).alias("rest"),
+    )
     logs = F.col("doc.logs") + F.col("logs")
     return sums.select(
         "doc.doc_id", "doc.held_out", "doc.n_tokens", (F.col("doc.known") + F.col("known")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (logs - F.col("doc.n_tokens") * F.lit(float(np.log10(total + distinct + 1)))).alias("base_score"), (logs + F.col("doc.rest")).alias("score"),
+        (logs - F.col("doc.n_tokens") * F.lit(float(np.log10(total + distinct + 1)))).alias("base_score"), (logs + F.col("doc.rest") + F.col("rest")).alias("score"),
     )

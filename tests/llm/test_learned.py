@@ -152,6 +152,64 @@ def test_class_lm_of_nothing(make):
     assert (one.n_tokens, one.n_known, one.train_tokens) == (2, 0, 0)
 
 
+def brute_class_lm(rows, held):
+    """Scores of the class model by plain loops over all tokens; the classes of the most frequent types are `lm.exchange`'s."""
+    tokens = [[*(t or "").encode().lower().split(), lm.END] for _, t in rows]
+    learned = [x for x, (d, _) in zip(tokens, rows) if not held(d)]
+    c = Counter(w for x in learned for w in x)
+    ranked = sorted((w for w in c if w != lm.END), key=lambda w: (-c[w], w))
+    n = max((n for n in set(c.values()) if sum(v >= n for v in c.values()) > lm.HEAD), default=0)
+    head, core = [w for w in ranked if c[w] > n], {w: i for i, w in enumerate([lm.END, *[w for w in ranked if c[w] > n][: lm.TYPES]])}
+    group = lambda w: len(core) + zlib.crc32(w[-3:]) % lm.OTHER
+    pairs = np.zeros((len(core) + lm.OTHER,) * 2)
+    for x in learned:
+        for a, b in zip([lm.END, *x], x):
+            pairs[core.get(a, group(a)), core.get(b, group(b))] += 1
+    first = lm.exchange(pairs, 0, lm.CLASSES)
+    k, start = lm.CLASSES + 1, lambda w: first[core.get(w, group(w))]
+
+    def smooth(joint):
+        into = [(joint[:, b].sum() + 1) / (joint.sum() + k) for b in range(k)]
+        return [[math.log10((joint[a, b] + 5 * into[b]) / (joint[a].sum() + 5)) for b in range(k)] for a in range(k)]
+
+    def place(words, before):
+        seen = {w: Counter() for w in words}
+        for x in learned:
+            for a, b in zip([lm.END, *x], x):
+                if b in seen:
+                    seen[b][before(a)] += 1
+        fits = lambda w, to: sum(m * step[a][to] for a, m in seen[w].items()) - c[w] * math.log10(size[to] + c[w])
+        return {w: max(range(k - 1), key=lambda to: (round(fits(w, to), 9), -to)) for w in words if c[w] >= lm.PLACED}
+
+    joint = np.zeros((k, k))
+    np.add.at(joint, (first[:, None], first[None, :]), pairs)
+    step, size = smooth(joint), [pairs[:, first == i].sum() for i in range(k)]
+    own = place([w for w in head if w not in core], start)
+    before = lambda w: own.get(w, start(w))
+    own = own | place([w for w in c if w not in core and w not in head], before) if (tail := set(c) - set(head) - set(core)) else own
+    of = lambda w: own.get(w, start(w))
+    after = lambda w: start(w) if w in tail or w not in c else of(w)
+    joint = np.zeros((k, k))
+    for x in learned:
+        for a, b in zip([lm.END, *x], x):
+            joint[after(a), of(b)] += 1
+    step, words = smooth(joint), Counter(of(w) for w in c if w != lm.END)
+    emit = lambda w: math.log10((c[w] + 1) / (joint[:, of(w)].sum() + words[of(w)] + 1))
+    return [sum(step[after(a)][of(b)] + emit(b) for a, b in zip([lm.END, *x], x)) for x in tokens]
+
+
+@pytest.mark.parametrize("head", [lm.HEAD, 60, 20])
+def test_class_lm_against_brute_force(make, monkeypatch, head):
+    for name, value in (("HEAD", head), ("TYPES", 10), ("CLASSES", 4)):
+        monkeypatch.setattr(lm, name, value)
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
+    rows = [(d, t if len(t or "") < 1000 else "a1 b2 " * 800) for d, t in lm_rows()]
+    rows += [(1000 + i, f"c{i % 9} a{i % 50} rare{i} d{i % 17}") for i in range(80)]
+    got = lm.score(make(rows), remainder("doc_id", 7) == 2).collect()
+    want = Counter((d, round(s, 6)) for (d, _), s in zip(rows, brute_class_lm(rows, held)))
+    assert Counter((r.doc_id, round(r.score, 6)) for r in got) == want
+
+
 def test_class_lm_is_a_distribution():
     """Class transitions and emissions with one unseen word per class sum to one."""
     pairs = np.random.default_rng(0).integers(0, 9, (30, 30)).astype(float)
