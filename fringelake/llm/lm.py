@@ -64,22 +64,49 @@ class Typed(dict):
         kind = self[word] = len(self.own) + zlib.crc32(word[-3:]) % OTHER
         return kind
 
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        """Numbers of the words of a text, the end standing before the first."""
-        return np.array([self.own[END], *map(self.__getitem__, words)], np.int64)
+
+def _numbered(shared):
+    """Each text as the numbers of its tokens (32 bits each), and its words outside the head, parted by spaces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        typed, top = Typed(own), len(own)
+        for b in batches:
+            numbers, rare = [], []
+            for x in b.column(3):
+                tokens = _tokens(x.as_py())
+                at = np.fromiter(map(typed.__getitem__, tokens), np.int32, len(tokens))
+                numbers.append(at.tobytes())
+                rare.append(b" ".join(map(tokens.__getitem__, np.flatnonzero(at >= top).tolist())))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(numbers, pa.binary()), pa.array(rare, pa.binary())], ["rid", "doc_id", "held_out", "numbers", "rare"])
+
+    return run
+
+
+def _flat(numbers: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of all tokens of a batch, where each text starts); as every text ends with an end, it also stands before the next."""
+    bounds = np.frombuffer(numbers.buffers()[1], np.int32)[numbers.offset : numbers.offset + len(numbers) + 1]
+    flat = np.frombuffer(numbers.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].view(np.int32)
+    return flat, (bounds[:-1] - bounds[0]) // 4
+
+
+def _with_before(flat: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What `of` gives for the token before each, the end (number 0) for the first, and for each itself."""
+    here = of[flat]
+    return np.concatenate([of[:1], here[:-1]]), here
 
 
 def _pairs(shared):
     """Counts of adjacent types, the end standing before the first word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, kinds = shared.value
-        typed, n = Typed(own), kinds.max() + 1
+        kinds = shared.value
+        n = int(kinds.max()) + 1
         held = np.zeros(n * n, np.int64)
         for b in batches:
-            for x in b.column(0):
-                at = kinds[typed.numbers(_tokens(x.as_py()))]
-                np.add.at(held, at[:-1] * n + at[1:], 1)
+            if b.num_rows:
+                before, here = _with_before(_flat(b.column(0))[0], kinds)
+                np.add.at(held, before * n + here, 1)
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], ["pair", "n"])
 
@@ -90,18 +117,18 @@ def _befores(shared):
     """How often each class stands before each word of the head that exchange has not classed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, classes, types = shared.value
-        typed, held, waiting = Typed(own), [], 0
+        classes, types, top = shared.value
+        held, waiting, k = [], 0, CLASSES + 1
 
         def out():
             at, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(at // (CLASSES + 1)), pa.array(at % (CLASSES + 1), pa.int32()), pa.array(n)], ["word", "before", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(at // k), pa.array(at % k, pa.int32()), pa.array(n)], ["word", "before", "n"])
 
         for b in batches:
-            for x in b.column(0):
-                at = typed.numbers(_tokens(x.as_py()))
-                mine = (at[1:] >= types) & (at[1:] < len(own))
-                held.append(at[1:][mine] * (CLASSES + 1) + classes[at[:-1][mine]])
+            if b.num_rows:
+                flat = _flat(b.column(0))[0]
+                mine = (flat >= types) & (flat < top)
+                held.append(flat[mine].astype(np.int64) * k + _with_before(flat, classes)[0][mine])
                 waiting += len(held[-1])
                 if waiting > 10 * FLUSH:
                     yield out()
@@ -116,8 +143,8 @@ def _transitions(shared):
     """Counts of adjacent classes within the head (word null, before * classes + class) and of each class before each other word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, classes = shared.value
-        typed, k, names = Typed(own), CLASSES + 1, ["word", "before", "n"]
+        classes, top = shared.value
+        k, names = CLASSES + 1, ["word", "before", "n"]
         joint, held = np.zeros(k * k, np.int64), Counter()
 
         def out():
@@ -125,13 +152,16 @@ def _transitions(shared):
             return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(befores, pa.int32()), pa.array(held.values(), pa.int64())], names)
 
         for b in batches:
-            for x in b.column(0):
-                tokens = _tokens(x.as_py())
-                at = typed.numbers(tokens)
-                of, rare = classes[at], at[1:] >= len(own)
-                joint += np.bincount((of[:-1] * k + of[1:])[~rare], minlength=k * k)
-                where = np.flatnonzero(rare)
-                held.update(zip(map(tokens.__getitem__, where.tolist()), of[where].tolist()))
+            if not b.num_rows:
+                continue
+            flat = _flat(b.column(0))[0]
+            before, here = _with_before(flat, classes)
+            rare = flat >= top
+            joint += np.bincount((before * k + here)[~rare], minlength=k * k)
+            words = b" ".join(x for x in b.column(1).to_pylist() if x).split(b" ")
+            befores = before[rare].tolist()
+            for at in range(0, len(befores), FLUSH):
+                held.update(zip(words[at : at + FLUSH], befores[at : at + FLUSH]))
                 if len(held) > FLUSH:
                     yield out()
                     held.clear()
@@ -236,29 +266,35 @@ def _scores(shared):
     """A row per text with the sums over its head words, and a row per distinct other word of it and class before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, logs, classes, step, spread = shared.value
-        typed, names = Typed(own), ["rid", "word", "before", "own", "n", "doc"]
+        logs, classes, step, spread, top = shared.value
+        names = ["rid", "word", "before", "own", "n", "doc"]
         doc = pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("rest", pa.float64())])
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                rids, words, befores, owns, ns, docs = [], [], [], [], [], []
-                for rid, doc_id, held, x in zip(*(c.to_pylist() for c in whole.slice(at, 256).columns)):
-                    tokens = _tokens(x)
-                    number = typed.numbers(tokens)
-                    of, here = classes[number], number[1:] < len(own)
-                    rest = float((step[of[:-1], of[1:]] - spread[of[1:]])[here].sum())
-                    log = logs[number[1:][here]]
-                    where = np.flatnonzero(~here)
-                    tail = Counter(zip(map(tokens.__getitem__, where.tolist()), of[where].tolist(), of[where + 1].tolist()))
-                    rids.append(rid), words.append(b" %d" % rid), befores.append(0), owns.append(0), ns.append(0)
-                    docs.append({"doc_id": doc_id, "held_out": held, "n_tokens": len(tokens), "known": int((log > 0).sum()), "logs": float(log.sum()), "rest": rest})
-                    if tail:
-                        for column, values in zip((words, befores, owns), zip(*tail)):
-                            column += values
-                        rids += [rid] * len(tail)
-                        ns += tail.values()
-                        docs += [None] * len(tail)
-                yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(words, pa.binary()), pa.array(befores, pa.int32()), pa.array(owns, pa.int32()), pa.array(ns, pa.int64()), pa.array(docs, doc)], names)
+            for start in range(0, whole.num_rows, 256):
+                b = whole.slice(start, 256)
+                flat, starts = _flat(b.column(3))
+                before, here = _with_before(flat, classes)
+                rare = flat >= top
+                rest = np.add.reduceat(np.where(rare, 0, step[before, here] - spread[here]), starts)
+                log, known = np.add.reduceat(logs[flat], starts), np.add.reduceat((logs[flat] > 0).astype(np.int64), starts)
+                length = np.diff(np.append(starts, len(flat)))
+                docs = pa.StructArray.from_arrays([b.column(1), b.column(2), pa.array(length, pa.int64()), pa.array(known), pa.array(log), pa.array(rest)], fields=list(doc))
+                rids, n = b.column(0).to_pylist(), b.num_rows
+                zeros = pa.array(np.zeros(n, np.int32))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([b" %d" % rid for rid in rids], pa.binary()), zeros, zeros, zeros.cast(pa.int64()), docs], names)
+                befores, owns, at, rows, counted = before[rare].tolist(), here[rare].tolist(), 0, [], []
+                for rid, words in zip(rids, b.column(4).to_pylist()):
+                    if words:
+                        words = words.split(b" ")
+                        upto = at + len(words)
+                        tail = Counter(zip(words, befores[at:upto], owns[at:upto]))
+                        rows += [rid] * len(tail)
+                        counted += tail.items()
+                        at = upto
+                if rows:
+                    keys, ns = zip(*counted)
+                    words, before_, own_ = zip(*keys)
+                    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(words, pa.binary()), pa.array(before_, pa.int32()), pa.array(own_, pa.int32()), pa.array(ns, pa.int64()), pa.nulls(len(rows), doc)], names)
 
     return run
 
@@ -278,7 +314,8 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     placed by itself into the class that makes it likeliest after the classes before it, however many words there are.
     Transitions are smoothed towards the class frequencies; emissions are add-one with one unseen word per class.
 
-    The most frequent words go to the workers, at most HEAD of them. The others are joined with their counts and
+    The most frequent words go to the workers, at most HEAD of them, which write each text once as numbers of words; all
+    later passes read these. The others are joined with their counts and
     classes, and as the word before another they stand for their group. Null and empty texts are one end. Repeated rows
     are scored each by itself; a null doc_id is kept. With nothing to learn from, all counts are 0. An empty table
     gives no rows; other columns are ignored.
@@ -307,8 +344,9 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
 
     n = types + OTHER
     pairs = np.zeros(n * n)
-    named = spark.broadcast((own, kinds))
-    got = learned.mapInArrow(_pairs(named), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    texts = materialize(texts.mapInArrow(_numbered(spark.broadcast(own)), "rid long, doc_id long, held_out boolean, numbers binary, rare binary"), "numbered")
+    learned, top = texts.where("not held_out").select("numbers", "rare"), len(own)
+    got = learned.select("numbers").mapInArrow(_pairs(spark.broadcast(kinds)), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     pairs[got["pair"].to_numpy()] = got["n"].to_numpy()
     pairs = pairs.reshape(n, n)
     of = exchange(pairs, 0, CLASSES)
@@ -317,27 +355,27 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
 
     # all other words: those of the head first, as they stand before others
     classes = of[kinds]
-    seen = learned.mapInArrow(_befores(spark.broadcast((own, classes, types))), "word long, before int, n long").groupBy("word", "before").agg(F.sum("n").alias("n"))
+    seen = learned.select("numbers").mapInArrow(_befores(spark.broadcast((classes, types, top))), "word long, before int, n long").groupBy("word", "before").agg(F.sum("n").alias("n"))
     for r in _place(seen, "long", step, sizes, None).where(F.col("c") >= PLACED).select("word", "class").collect():
         classes[r["word"]] = r["class"]
-    moves = materialize(learned.mapInArrow(_transitions(spark.broadcast((own, classes))), "word binary, before int, n long").groupBy("word", "before").agg(F.sum("n").alias("n")), "moves")
-    tail = materialize(_place(moves.where("word is not null"), "binary", step, sizes, classes[len(own):]), "tail")
+    moves = materialize(learned.mapInArrow(_transitions(spark.broadcast((classes, top))), "word binary, before int, n long").groupBy("word", "before").agg(F.sum("n").alias("n")), "moves")
+    tail = materialize(_place(moves.where("word is not null"), "binary", step, sizes, classes[top:]), "tail")
     joint = np.zeros((k, k))
     for r in moves.where("word is null").collect():
         joint.flat[r.before] += r.n
     for r in tail.select("class", F.explode("befores").alias("b")).groupBy("b.before", "class").agg(F.sum("b.n").alias("n")).collect():
         joint[r.before, r["class"]] += r.n
     release(moves)
-    words = np.bincount(classes[1 : len(own)], minlength=k).astype(float)
+    words = np.bincount(classes[1:top], minlength=k).astype(float)
     for r in tail.groupBy("class").agg(F.count("*").alias("words")).collect():
         words[r["class"]] += r.words
     # one unseen word in each class but that of the end
     step, spread = _steps(joint), np.log10(joint.sum(0) + words + 1)
 
-    logs = np.log10(1 + np.array([ends, *map(head.__getitem__, ranked[1:])], float))
-    shared = spark.broadcast((own, logs, classes, step, spread))
+    logs = np.log10(1 + np.array([ends, *map(head.__getitem__, ranked[1:]), *[0] * OTHER], float))
+    shared = spark.broadcast((logs, classes, step, spread, top))
     doc = "struct<doc_id: long, held_out: boolean, n_tokens: long, known: long, logs: double, rest: double>"
-    rows = texts.select("rid", "doc_id", "held_out", "text").mapInArrow(_scores(shared), f"rid long, word binary, before int, own int, n long, doc {doc}")
+    rows = texts.mapInArrow(_scores(shared), f"rid long, word binary, before int, own int, n long, doc {doc}")
     joined = rows.join(tail.select("word", "c", "class"), "word", "left")
     to = F.coalesce("class", "own")
     rest = F.get(_constants(step), F.col("before") * k + to) - F.get(_constants(spread), to)
