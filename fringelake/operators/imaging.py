@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import MAS
 from ..plans.grid import evaluate
 
+#: Pixels of an image that are broadcast at once (24 MB), and complex numbers a kernel holds for a batch of baselines (64 MB).
+PIXELS, LATTICE = 1 << 20, 1 << 22
+
 
 def pixels(spark: SparkSession, npix: int, scale: float, value: Column | None = None) -> DataFrame:
     """(pixel, row, col, dra, ddec, value): row 0 north, column 0 east, offsets in mas."""
@@ -75,14 +81,53 @@ def dirty_map(points: DataFrame, grid: DataFrame, weight: str = "imaging_weight"
     return out.select("pixel", (F.col("a") / F.col("b")).alias("value"))
 
 
+def _transform(shared):
+    """Sums over a block of pixels for batches of baselines; trigonometry once per row and column where these are shared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, y, value = shared.value
+        (xs, at_x), (ys, at_y) = np.unique(x, return_inverse=True), np.unique(y, return_inverse=True)
+        lattice = len(xs) * len(ys) <= 4 * len(value)
+        if lattice:
+            dense = np.zeros((len(ys), len(xs)))
+            np.add.at(dense, (at_y, at_x), value)
+        rows = max(1, LATTICE // max(1, len(xs) + len(ys) if lattice else len(value)))
+        turn = -2j * math.pi * MAS
+        for whole in batches:
+            for start in range(0, whole.num_rows, rows):
+                b = whole.slice(start, rows)
+                u, v = (b.column(i).to_numpy(zero_copy_only=False).astype(float)[:, None] for i in (1, 2))
+                if lattice:
+                    sums = ((np.exp(turn * v * ys) @ dense) * np.exp(turn * u * xs)).sum(1)
+                else:
+                    sums = np.exp(turn * (u * x + v * y)) @ value
+                void = b.column(1).is_null().to_numpy(zero_copy_only=False) | b.column(2).is_null().to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sums.real, mask=void), pa.array(sums.imag, mask=void)], ["id", "re", "im"])
+
+    return run
+
+
 def image_dft(image: DataFrame, samples: DataFrame, id: str = "sample_id") -> DataFrame:
-    """(sample_id, re, im): exact transform of an image at every baseline (in wavelengths); the pixels are broadcast.
+    """(sample_id, re, im): exact transform of an image at every baseline (in wavelengths).
 
-    The fold over pixels runs inside each sample's row, so there is no shuffle and no row per pixel and sample.
+    The samples stay where they are and pass through an Arrow kernel. The pixels are counted: up to PIXELS are broadcast
+    whole, a larger image in blocks by a hash of the position, whose sums are added by sample. Pixels without a value
+    count as 0, a baseline without u or v has no transform.
     """
-    px = image.agg(F.collect_list(F.struct("dra", "ddec", "value")).alias("px"))
-    add = lambda trig, sign: F.aggregate("px", F.lit(0.0), lambda s, p: s + p["value"] * trig((F.col("u") * p["dra"] + F.col("v") * p["ddec"]) * (2 * math.pi * MAS)) * sign)
-    return samples.crossJoin(F.broadcast(px)).select(id, add(F.cos, 1.0).alias("re"), add(F.sin, -1.0).alias("im"))
+    spark = samples.sparkSession
+    px = image.where("value is not null").select(*(F.col(c).cast("double").alias(c) for c in ("dra", "ddec", "value")))
+    n = px.count()
+    blocks = 1 if n <= PIXELS else -(-2 * n // PIXELS)  # half full on average, as a hash fills them unevenly
+    kind = samples.schema[id].dataType.simpleString()
+    out = None
+    for i in range(blocks):
+        held = (px if blocks == 1 else px.where(F.pmod(F.xxhash64("dra", "ddec"), F.lit(blocks)) == i)).toArrow()
+        shared = spark.sparkContext.broadcast(tuple(held[c].to_numpy() for c in ("dra", "ddec", "value")))
+        part = samples.select(F.col(id).alias("id"), F.col("u").cast("double").alias("u"), F.col("v").cast("double").alias("v")).mapInArrow(_transform(shared), f"id {kind}, re double, im double")
+        out = part if out is None else out.union(part)
+    if blocks > 1:
+        out = out.groupBy("id").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+    return out.select(F.col("id").alias(id), "re", "im")
 
 
 def beam(samples: DataFrame) -> DataFrame:

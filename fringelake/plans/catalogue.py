@@ -298,7 +298,7 @@ def continuum_normalise(spark, sf_dir):
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, (row_number() OVER (ORDER BY floor(l_extendedprice / 1000 + 0.5) DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice))::INT AS rank FROM lineitem")
 def rank_scores(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").withColumn("index", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
-    return grid.rank_scores(li, "l_extendedprice", "index", 1000.0).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "rank")
+    return grid.rank_scores(li, "l_extendedprice", "index", 1000.0).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.col("rank").cast("int").alias("rank"))
 
 
 @query("""SELECT l_suppkey, l_extendedprice, l_orderkey, k FROM (SELECT *, (row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey))::INT AS k FROM lineitem) WHERE k <= 3""")

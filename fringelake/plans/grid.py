@@ -4,15 +4,21 @@ from __future__ import annotations
 
 import itertools
 import math
+import sys
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, StructType
 
 from ..functions.photometry import observable
 from .models import Component, Uv, samples_uv
 
 #: Rows of a points table that are broadcast at once: 2^17 rows of a few doubles are some 10 MB.
 BLOCK = 1 << 17
+#: Rows from which the bounds of an order's slices are taken.
+SAMPLE = 20_000
 
 
 def axes(spark: SparkSession, **values: list[float]) -> DataFrame:
@@ -139,9 +145,43 @@ def peaks(grid: DataFrame, x: list[float], y: list[float], rival: float, n_peaks
     return out
 
 
+def _slice_of(bounds: np.ndarray):
+    """How many of the sorted bounds are at most a row's (level, index); complex numbers sort by both parts in turn."""
+
+    def find(level: pd.Series, index: pd.Series) -> pd.Series:
+        key = np.empty(len(level), complex)
+        key.real, key.imag = level, index
+        return pd.Series(np.searchsorted(bounds, key, "right").astype("int32"))
+
+    return F.pandas_udf(find, "int")
+
+
 def rank_scores(df: DataFrame, score: str, index: str, quantum: float = 1e-3) -> DataFrame:
-    """Add rank (from 1): scores that are not finite last, then floor(score / quantum + 1/2) downwards, then index."""
+    """Add rank (long, from 1): scores that are not finite last, then floor(score / quantum + 1/2) downwards, then index.
+
+    Rows are dealt into slices of the order, as many as there are shuffle partitions, at bounds taken from a bounded
+    sample; each slice is numbered by itself and shifted by the counted rows of those before it. Where the bounds lie
+    moves work, not ranks. `index` should be unique: a number, or a struct that begins with one, also parts rows of
+    equal scores; any other orderable column leaves these in one slice.
+    """
     s = F.col(score)
     finite = s.isNotNull() & ~F.isnan(s) & (F.abs(s) < float("inf"))
-    order = Window.orderBy(F.desc(finite), F.when(finite, F.floor(s / quantum + 0.5)).desc_nulls_last(), F.col(index))
-    return df.withColumn("rank", F.row_number().over(order))
+    level = F.when(finite, (-F.floor(s / quantum + 0.5)).cast("double")).otherwise(sys.float_info.max)
+    kind, first = df.schema[index].dataType, F.col(index)
+    if isinstance(kind, StructType):
+        kind, first = kind[0].dataType, F.col(f"{index}.{kind.names[0]}")
+    # nulls come first, as in the order; what is not a number is left to the order within a slice
+    number = F.coalesce(F.nanvl(first.cast("double"), F.lit(sys.float_info.max)), F.lit(-sys.float_info.max)) if isinstance(kind, NumericType) else F.lit(0.0)
+    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.count()
+    some = df.select(level.alias("a"), number.alias("b")).sample(min(1.0, SAMPLE / max(rows, 1)), seed=1).limit(2 * SAMPLE).toArrow()
+    keys = np.empty(len(some), complex)
+    keys.real, keys.imag = some["a"].to_numpy(), some["b"].to_numpy()
+    bounds = np.unique(np.sort(keys)[np.arange(1, slices) * len(keys) // slices]) if len(keys) else keys
+    slice_of = _slice_of(bounds)
+    dealt = df.withColumn("__level", level).withColumn("__slice", slice_of("__level", number))
+    before = df.select(slice_of(level, number).alias("__slice")).groupBy("__slice").agg(F.count("*").alias("n"))
+    before = before.select("__slice", F.sum("n").over(Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__slice").orderBy("__level", index))
+    out = dealt.withColumn("__place", place).join(F.broadcast(before), "__slice")
+    return out.withColumn("rank", F.col("__place") + F.coalesce("__before", F.lit(0))).drop("__slice", "__level", "__place", "__before")

@@ -13,7 +13,8 @@ from ..plans.models import Component, Uv
 
 # The four large telescopes' positions east and north in metres.
 UTS = ((-9.925, -20.335), (14.887, 30.502), (44.915, 66.183), (103.306, 43.999))
-LATITUDE = -24.6279
+# Fixed value: the site's geodetic latitude in degrees.
+LATITUDE = -24.6276
 
 
 def tracks(spark: SparkSession, stations=UTS, declination: float = -50.0, hour_angles=(-3.0, -1.5, 0.0, 1.5, 3.0), wavelengths=(2.0e-6, 2.2e-6, 2.4e-6), latitude: float = LATITUDE) -> DataFrame:

@@ -230,3 +230,39 @@ def test_streamed_sessions_are_the_batch_ones(spark, tmp_path):
     q.stop()
     got = sorted((r.k, r.n) for r in spark.sql("select * from sess").collect())
     assert got == [(1, 1), (1, 1), (1, 3), (2, 1), (2, 1), (2, 3)]
+
+
+def test_image_transform_in_blocks_and_off_the_lattice(spark, monkeypatch):
+    import numpy as np
+
+    from fringelake.functions.geometry import MAS
+    from fringelake.operators import imaging
+
+    rng = np.random.default_rng(3)
+    px, uv = rng.normal(0, 5, (50, 3)), rng.normal(0, 3e7, (40, 2))
+    image = spark.createDataFrame([tuple(map(float, p)) for p in px] + [(1.0, 1.0, None)], "dra double, ddec double, value double")
+    rows = spark.createDataFrame([(i, float(u), float(v)) for i, (u, v) in enumerate(uv)] + [(99, None, 1.0)], "sample_id long, u double, v double")
+    want = np.exp(-2j * np.pi * MAS * (uv[:, :1] * px[:, 0] + uv[:, 1:] * px[:, 1])) @ px[:, 2]
+    for most in (imaging.PIXELS, 16):
+        monkeypatch.setattr(imaging, "PIXELS", most)
+        got = {r.sample_id: r for r in imaging.image_dft(image, rows).collect()}
+        assert got[99].re is None and len(got) == 41
+        assert np.allclose([got[i].re + 1j * got[i].im for i in range(40)], want, atol=1e-9)
+    assert imaging.image_dft(image.limit(0), rows).where("re = 0 and im = 0").count() == 40
+
+
+def test_ranks_do_not_depend_on_slices(spark, monkeypatch):
+    import random
+
+    from fringelake.plans import grid
+
+    rng = random.Random(4)
+    rows = [(i, rng.choice([1.0, 1.0, rng.random(), None, float("nan"), float("-inf")])) for i in range(500)]
+    finite = lambda s: s is not None and s == s and abs(s) != float("inf")
+    want = [i for i, s in sorted(rows, key=lambda r: (not finite(r[1]), -int(r[1] / 1e-3 + 0.5) if finite(r[1]) else 0, r[0]))]
+    df = spark.createDataFrame(rows, "i long, score double")
+    for sample in (grid.SAMPLE, 20):
+        monkeypatch.setattr(grid, "SAMPLE", sample)
+        got = grid.rank_scores(df, "score", "i").collect()
+        assert [r.i for r in sorted(got, key=lambda r: r.rank)] == want and sorted(r.rank for r in got) == list(range(1, 501))
+    assert grid.rank_scores(df.limit(0), "score", "i").collect() == []
