@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, exact_dedup, langid, line_dedup, lm, mixing, pii, simhash, toxicity
+from . import ann, bpe, exact_dedup, langid, line_dedup, lm, mixing, pii, simhash, toxicity, turns
 from .shared import remainder, table
 
 
@@ -59,13 +59,17 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op13_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_ann, op3_exact_dedup, op4_toxicity, op5_bpe, op6_language_id, op7_line_dedup, op8_pii, op9_class_lm, op10_mixing, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_ann, op3_exact_dedup, op4_toxicity, op5_bpe, op6_language_id, op7_line_dedup, op8_pii, op9_class_lm, op10_mixing, op13_turns, pipeline)}
 
 ORACLES = {
     "op3_exact_dedup": r"""
@@ -87,4 +91,40 @@ ORACLES = {
         o AS (SELECT *, sum(size) OVER (ORDER BY finish, source IS NOT NULL, source, key, doc_id, e ROWS UNBOUNDED PRECEDING) AS run FROM f),
         k AS (SELECT doc_id, sum(size)::BIGINT AS taken FROM o WHERE run <= (SELECT sum(target) FROM t) GROUP BY 1)
         SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM c LEFT JOIN k USING (doc_id)""",
+    # states and costs of the edits as tables, one step of the recursion a row, the best kept by a window
+    "op13_turns": r"""
+        WITH RECURSIVE crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+            lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v FROM range(256) r(i))),
+        named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+            coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+        hashed AS (SELECT *, xor(4294967295, list_reduce([4294967295] || list_transform(range(1, length(key) + 1), lambda i: ascii(key[i])::BIGINT),
+            lambda c, b: xor(c // 256, t[1 + xor(c % 256, b)]))) % 20 AS kind FROM named, crc),
+        after AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+            CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+            FROM hashed, range(2) r(x) WHERE kind <> 0 AND (kind = 3 OR x = 0)),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS n,
+            row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth FROM after),
+        judged AS (SELECT *, role[1] AS initial, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY n) AS before,
+            CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+                WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE 'none' END AS fault FROM placed),
+        counted AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) AS rows,
+            count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+            count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY 1),
+        puts(f, m, put, put_cost, added) AS (VALUES (0, 0, '', 0, []::VARCHAR[]), (1, 1, '', 0, []), (2, 2, '', 0, []), (3, 3, '', 0, []), (0, 2, 'I', 5, ['user:']), (1, 2, 'I', 5, ['user:']),
+            (3, 2, 'I', 5, ['user:']), (2, 3, 'I', 5, ['assistant:']), (0, 3, 'II', 10, ['user:', 'assistant:']), (1, 3, 'II', 10, ['user:', 'assistant:'])),
+        edits(m, g, edit, edit_cost, fits, role_set) AS (VALUES (0, 0, 'D', 2, NULL, NULL), (1, 1, 'D', 2, NULL, NULL), (2, 2, 'D', 2, NULL, NULL), (3, 3, 'D', 2, NULL, NULL),
+            (0, 1, 'K', 0, 's', NULL), (0, 2, 'K', 0, 'u', NULL), (1, 2, 'K', 0, 'u', NULL), (3, 2, 'K', 0, 'u', NULL), (2, 3, 'K', 0, 'a', NULL),
+            (0, 2, 'R', 1, NULL, 'user'), (1, 2, 'R', 1, NULL, 'user'), (3, 2, 'R', 1, NULL, 'user'), (2, 3, 'R', 1, NULL, 'assistant')),
+        walk AS (SELECT conv_id, 0 AS n, 0 AS state, 0 AS cost, '' AS audit, []::VARCHAR[] AS lines FROM counted
+            UNION ALL
+            SELECT * FROM (SELECT w.conv_id, w.n + 1 AS n, g AS state, cost + put_cost + edit_cost + CASE WHEN edit <> 'D' AND fault = 'truncated' THEN 5 ELSE 0 END AS cost, audit || put || edit AS audit,
+                CASE WHEN edit = 'D' THEN lines || added ELSE lines || added || [coalesce(role_set, role) || ':' || text] END AS lines
+            FROM walk w JOIN judged j ON j.n = w.n + 1 AND j.conv_id IS NOT DISTINCT FROM w.conv_id JOIN puts ON f = w.state JOIN edits e ON e.m = puts.m
+            WHERE (edit = 'D' OR fault NOT IN ('blank', 'duplicate')) AND (fits IS NULL OR fits = initial))
+            QUALIFY row_number() OVER (PARTITION BY conv_id, state ORDER BY cost, audit) = 1),
+        ends AS (SELECT w.conv_id, cost + put_cost AS cost, audit || put AS audit, lines || added AS lines FROM walk w JOIN counted c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND w.n = c.rows
+            JOIN puts ON f = w.state WHERE m IN (0, 3) QUALIFY row_number() OVER (PARTITION BY w.conv_id ORDER BY w.cost + put_cost, w.audit || put) = 1)
+        SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+            coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM o.conv_id""",
 }
