@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, exact_dedup, langid, line_dedup, lm, mixing, pii, simhash, toxicity, turns
+from . import ann, bpe, compression, exact_dedup, langid, line_dedup, lm, mixing, pii, simhash, toxicity, turns, whitening
 from .shared import remainder, table
 
 
@@ -59,6 +59,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.quality(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.repair(table(spark, sf_dir, "conversations"))
 
@@ -69,7 +77,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_ann, op3_exact_dedup, op4_toxicity, op5_bpe, op6_language_id, op7_line_dedup, op8_pii, op9_class_lm, op10_mixing, op13_turns, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_ann, op3_exact_dedup, op4_toxicity, op5_bpe, op6_language_id, op7_line_dedup, op8_pii, op9_class_lm, op10_mixing, op11_compression, op12_whitening, op13_turns, pipeline)}
 
 ORACLES = {
     "op3_exact_dedup": r"""
