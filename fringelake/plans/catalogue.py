@@ -713,4 +713,4 @@ def position_loglike(spark, sf_dir):
     return rounded(orbits.position_loglike(rows, F.col("dra") - F.sin(t) * 2.0, F.col("ddec") - F.cos(t) * 2.0, ["orbit"]), 3, "loglike")
 
 
-from . import catalogue_sky  # noqa: E402, F401  registers further queries
+from . import catalogue_search, catalogue_sky  # noqa: E402, F401  register further queries
