@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from ..functions.cx import real
 from ..functions.geometry import offset_phase
+from ..operators import gridding, imaging
+from ..operators.lattice import Lattice
 from . import derived, grid, limits, models
-from .catalogue import AXES, K2, query, rounded
-from .derived import SAMPLES
+from .catalogue import AXES, K2, MAS, query, rounded
+from .derived import PIXELS, RADIO, SAMPLES
 
 # Limits --------------------------------------------------------------------------------------------------------------
 
@@ -77,3 +79,36 @@ def absil_limits_one_pass(spark, sf_dir):
     s = models.samples_uv()
     sums = limits.companion_sums(derived.samples(spark, sf_dir), cells, offset_phase(s.u, s.v, "dra", "ddec"), real(1.0), n_points=20)
     return _shown(limits.limits_from_sums(sums, 3.0, BOUNDS), cells)
+
+
+# Sums over grids -----------------------------------------------------------------------------------------------------
+
+#: Pixels in mas for the images of the parts table, whose side is that of the largest image.
+SIDE, SCALE = "(SELECT max(greatest(row, col)) + 1 FROM px)", 5.0
+
+
+def _side(px) -> int:
+    return px.agg(F.max(F.greatest("row", "col"))).first()[0] + 1
+
+
+@query(f"""WITH {RADIO}, {PIXELS}, uv AS (SELECT DISTINCT u, v FROM radio), side AS (SELECT {SIDE} AS n),
+    m AS (SELECT image, u, v, sum(value * cos(p)) AS mr, -sum(value * sin(p)) AS mi FROM (SELECT image, u, v, value / 1000.0::DOUBLE AS value, (u * ((n - 1) / 2.0::DOUBLE - col) + v * ((n - 1) / 2.0::DOUBLE - row)) * {SCALE * 2 * math.pi * MAS!r}::DOUBLE AS p FROM px, uv, side) GROUP BY ALL)
+    SELECT image, ddid, count(*) AS n, round(sum(weight * (pow(re - mr, 2) + pow(im - mi, 2))) / count(*), 5) AS chi2 FROM radio JOIN m USING (u, v) GROUP BY ALL""")
+def toeplitz_chi2(spark, sf_dir):
+    """Ten images against every visibility by spectral window, from the lattice of pixel differences."""
+    px = derived.pixel_image(spark, sf_dir)
+    lattice = Lattice.of(derived.radio(spark, sf_dir), _side(px), SCALE)
+    return lattice.chi2(px, gain=1e-3).select("image", "ddid", "n", F.round(F.col("chi2") / F.col("n"), 5).alias("chi2"))
+
+
+@query(f"""WITH {SAMPLES}, {PIXELS}, side AS (SELECT {SIDE} AS n), im AS (SELECT row, col, sum(value) / sum(sum(value)) OVER () AS value FROM px GROUP BY ALL), uv AS (SELECT DISTINCT u, v, wavel FROM samples),
+    m AS (SELECT u, v, wavel, sum(value * cos(p)) AS re, -sum(value * sin(p)) AS im FROM (SELECT u, v, wavel, value, (u / wavel * ((n - 1) / 2.0::DOUBLE - col) + v / wavel * ((n - 1) / 2.0::DOUBLE - row)) * {SCALE * 2 * math.pi * MAS!r}::DOUBLE AS p FROM im, uv, side) GROUP BY ALL)
+    SELECT channel, count(*) AS n, round(avg(re), 6) AS re, round(avg(im), 6) AS im, round(avg(re * re + im * im), 6) AS v2 FROM samples JOIN m USING (u, v, wavel) GROUP BY 1""")
+def gridded_visibilities(spark, sf_dir):
+    """The transform of the parts' summed image at every sample, by a compact kernel on a fine grid."""
+    px = derived.pixel_image(spark, sf_dir)
+    one = imaging.unit_sum(px.groupBy("row", "col").agg(F.sum("value").alias("value")))
+    s = derived.samples(spark, sf_dir).withColumns({"u": F.col("u") / F.col("wavel"), "v": F.col("v") / F.col("wavel")})
+    z = gridding.image_visibilities(one, s, _side(px), SCALE).join(s.select("sample_id", "channel"), "sample_id")
+    out = z.groupBy("channel").agg(F.count("*").alias("n"), F.avg("re").alias("re"), F.avg("im").alias("im"), F.avg(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("v2"))
+    return rounded(out, 6, "re", "im", "v2")
