@@ -11,6 +11,7 @@ from ..functions.geometry import offset_phase
 from ..operators import gridding, imaging
 from ..operators.lattice import Lattice
 from . import derived, grid, limits, models
+from .arrow import Arrow, station_modes
 from .catalogue import AXES, K2, MAS, query, rounded
 from .derived import PIXELS, RADIO, SAMPLES
 
@@ -112,3 +113,37 @@ def gridded_visibilities(spark, sf_dir):
     z = gridding.image_visibilities(one, s, _side(px), SCALE).join(s.select("sample_id", "channel"), "sample_id")
     out = z.groupBy("channel").agg(F.count("*").alias("n"), F.avg("re").alias("re"), F.avg("im").alias("im"), F.avg(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("v2"))
     return rounded(out, 6, "re", "im", "v2")
+
+
+# Marginal nuisances --------------------------------------------------------------------------------------------------
+
+
+def _arrow_sql() -> str:
+    """Gram entries in long form, swept one pivot at a time: the stations of every frame, then the spanning columns."""
+    a = "CASE WHEN k < 3 THEN 0 WHEN k < 5 THEN 1 ELSE 2 END"
+    b = "CASE WHEN k < 3 THEN k + 1 WHEN k < 5 THEN k - 1 ELSE 3 END"
+    ctes = f"""WITH {SAMPLES}, r AS (SELECT sample_id, sample_id // 6 AS frame, sample_id % 6 AS k, (value - 0.5::DOUBLE) / error AS x, 0.5::DOUBLE * 0.2::DOUBLE / error AS gain, 0.3::DOUBLE / error AS s1, 0.2::DOUBLE * (wavel / 3e-6::DOUBLE - 1) / error AS s2 FROM samples),
+    long AS (SELECT sample_id, frame, {a} AS i, gain AS v FROM r UNION ALL SELECT sample_id, frame, {b}, gain FROM r UNION ALL SELECT sample_id, frame, 4, s1 FROM r UNION ALL SELECT sample_id, frame, 5, s2 FROM r UNION ALL SELECT sample_id, frame, 6, x FROM r),
+    here AS (SELECT DISTINCT frame, i FROM long), met AS (SELECT p.frame, p.i, q.i AS j, sum(p.v * q.v) AS v FROM long p JOIN long q USING (sample_id) GROUP BY ALL),
+    pairs AS (SELECT a.frame, a.i, b.i AS j, coalesce(v, 0) AS v FROM here a JOIN here b ON a.frame = b.frame LEFT JOIN met m ON m.frame = a.frame AND m.i = a.i AND m.j = b.i),
+    g0 AS (SELECT scale2, frame, i, j, v + CASE WHEN i = j AND i < 4 THEN scale2 ELSE 0 END AS v FROM pairs, unnest([0.5::DOUBLE, 1, 4]) t(scale2))"""
+    sweep = lambda source, k, key: f"SELECT e.{key.replace(', ', ', e.')}, e.i, e.j, e.v - coalesce(l.v * u.v / p.v, 0) AS v FROM {source} e LEFT JOIN {source} p ON p.i = {k} AND p.j = {k} AND {' AND '.join(f'p.{x} = e.{x}' for x in key.split(', '))} LEFT JOIN {source} l ON l.i = e.i AND l.j = {k} AND {' AND '.join(f'l.{x} = e.{x}' for x in key.split(', '))} LEFT JOIN {source} u ON u.i = {k} AND u.j = e.j AND {' AND '.join(f'u.{x} = e.{x}' for x in key.split(', '))} WHERE e.i > {k} AND e.j > {k}"
+    for k in range(4):
+        ctes += f", g{k + 1} AS ({sweep(f'g{k}', k, 'scale2, frame')})"
+    ctes += ", h4 AS (SELECT scale2, i, j, sum(v) + CASE WHEN i = j AND i < 6 THEN scale2 ELSE 0 END AS v FROM g4 GROUP BY scale2, i, j)"
+    for k in (4, 5):
+        ctes += f", h{k + 1} AS ({sweep(f'h{k}', k, 'scale2')})"
+    pivots = " UNION ALL ".join([f"SELECT scale2, v FROM g{k} WHERE i = {k} AND j = {k}" for k in range(4)] + [f"SELECT scale2, v FROM h{k} WHERE i = {k} AND j = {k}" for k in (4, 5)])
+    return f"""{ctes}, n AS (SELECT scale2, 0.5::DOUBLE * sum(ln(v) - ln(scale2)) AS norm FROM ({pivots}) GROUP BY 1)
+    SELECT h6.scale2, round(v / h6.scale2, 4) AS chi2, round(norm, 5) AS norm, round(-0.5::DOUBLE * v / h6.scale2 - norm - 0.5::DOUBLE * (SELECT count(*) FROM samples) * ln(2 * pi() * h6.scale2), 4) AS loglike FROM h6 JOIN n USING (scale2)"""
+
+
+@query(_arrow_sql())
+def gain_marginal_loglike(spark, sf_dir):
+    """Four stations' gains in every frame and two scales over all frames, marginalised at three noise scales."""
+    s, b = derived.samples(spark, sf_dir), derived.baselines(spark, sf_dir).drop("phi")
+    rows = s.join(b, "sample_id").withColumn("model", F.lit(0.5))
+    rows = rows.select(((F.col("value") - 0.5) / F.col("error")).alias("x"), F.col("frame").alias("block"), station_modes(0.1).alias("modes"), (0.3 / F.col("error")).alias("s1"), ((F.col("wavel") / 3e-6 - 1.0) * 0.2 / F.col("error")).alias("s2"))
+    arrow = Arrow.of(rows, spanning=("s1", "s2"))
+    found = [(t, *(round(v, d) for v, d in zip(arrow.at(t).values(), (4, 5, 4)))) for t in (0.5, 1.0, 4.0)]
+    return spark.createDataFrame(found, "scale2 double, chi2 double, norm double, loglike double")
