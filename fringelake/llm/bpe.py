@@ -17,6 +17,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import returning_memory
+
 #: Runs and words, together, that one generation of a worker's cache keeps, and prefixes of words, of which all are dropped together.
 KEPT, PREFIXES, PAIRS = 100_000, 100_000, 150_000
 #: Longer runs and words, in bytes, are worked out each time and not kept, so that what is kept is bounded in bytes too.
@@ -348,4 +350,4 @@ def encode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     bounded in bytes, for its next task.
     """
     more = ", ids array<int>, decoded string" if with_ids else ""
-    return docs.select("doc_id", "text").mapInArrow(_encoded(path, with_ids), f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
+    return docs.select("doc_id", "text").mapInArrow(returning_memory(_encoded(path, with_ids)), f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
