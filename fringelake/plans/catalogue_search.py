@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cx import real
 from ..functions.geometry import offset_phase
-from ..operators import gridding, imaging
+from ..operators import arcs, gridding, imaging, orbits
 from ..operators.lattice import Lattice
 from . import derived, grid, limits, models
 from .arrow import Arrow, station_modes
@@ -147,3 +147,18 @@ def gain_marginal_loglike(spark, sf_dir):
     arrow = Arrow.of(rows, spanning=("s1", "s2"))
     found = [(t, *(round(v, d) for v, d in zip(arrow.at(t).values(), (4, 5, 4)))) for t in (0.5, 1.0, 4.0)]
     return spark.createDataFrame(found, "scale2 double, chi2 double, norm double, loglike double")
+
+
+# Orbits --------------------------------------------------------------------------------------------------------------
+
+
+@query()
+def cycle_counts(spark, sf_dir):
+    """Periods between 200 and 1,000 days that yearly means of all orders admit, and the bands of whole turns among them."""
+    o = derived.table(spark, sf_dir, "orders")
+    day = F.datediff("o_orderdate", F.lit("1992-01-01").cast("date")).cast("double")
+    years = o.groupBy(F.year("o_orderdate").alias("year")).agg(F.avg(day).alias("mjd"), (F.avg("o_totalprice") / 2000.0).alias("dra"), (F.avg("o_custkey") / 10.0).alias("ddec"), F.lit(0.5).alias("sxx"), F.lit(0.1).alias("sxy"), F.lit(0.4).alias("syy"))
+    arc = arcs.arc_of(years)
+    found, _ = arcs.unwrap_cycles(spark, arc, (200.0, 1000.0), eccs=[0.0, 0.3, 0.6])
+    bands = orbits.alias_bands(spark, float(arc.t.max() - arc.t.min()), 200.0, 1000.0)
+    return arcs.admitted_bands(bands, found).select("n", F.round("p_low", 4).alias("p_low"), F.round("p_high", 4).alias("p_high"))
