@@ -10,7 +10,7 @@ from ..functions.cx import real
 from ..functions.geometry import offset_phase
 from ..operators import arcs, gridding, imaging, orbits
 from ..operators.lattice import Lattice
-from . import derived, grid, limits, models
+from . import derived, grid, limits, models, particles
 from .arrow import Arrow, station_modes
 from .catalogue import AXES, K2, MAS, query, rounded
 from .derived import PIXELS, RADIO, SAMPLES
@@ -162,3 +162,17 @@ def cycle_counts(spark, sf_dir):
     found, _ = arcs.unwrap_cycles(spark, arc, (200.0, 1000.0), eccs=[0.0, 0.3, 0.6])
     bands = orbits.alias_bands(spark, float(arc.t.max() - arc.t.min()), 200.0, 1000.0)
     return arcs.admitted_bands(bands, found).select("n", F.round("p_low", 4).alias("p_low"), F.round("p_high", 4).alias("p_high"))
+
+
+# Particles -----------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH w AS (SELECT o_orderkey, floor(exp(ln(o_totalprice) - max(ln(o_totalprice)) OVER ()) * 1099511627776 + 0.5)::HUGEINT AS units, count(*) OVER () AS n FROM orders),
+    p AS (SELECT *, sum(units) OVER (ORDER BY o_orderkey % 64, o_orderkey)::HUGEINT AS upto, sum(units) OVER ()::HUGEINT AS total FROM w),
+    x AS (SELECT *, floor(total * 0.5::DOUBLE)::HUGEINT AS start FROM p)
+    SELECT o_orderkey, (greatest(0, (upto * n - start + total - 1) // total) - greatest(0, ((upto - units) * n - start + total - 1) // total))::BIGINT AS draws FROM x""")
+def resampled_particles(spark, sf_dir):
+    """As many systematic draws from the orders as there are, by their price."""
+    o = derived.table(spark, sf_dir, "orders").select("o_orderkey", F.log("o_totalprice").alias("lw"))
+    found = particles.resample(o, "lw", o.count(), id="o_orderkey", offset=0.5, slice_of=F.pmod("o_orderkey", F.lit(64)))
+    return found.select("o_orderkey", "draws")
