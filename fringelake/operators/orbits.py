@@ -28,6 +28,17 @@ def alias_bands(spark: SparkSession, span: float, p_min: float, p_max: float) ->
     return spark.range(first, last + 1).select(F.col("id").alias("n"), low.alias("p_low"), high.alias("p_high")).where("p_low < p_high")
 
 
+def alias_bands_of(spans: DataFrame, span: str, p_min: float, p_max: float) -> DataFrame:
+    """The bands of `alias_bands` for every row's span: the columns of `spans` with n, p_low and p_high."""
+    s = F.col(span).cast("double")
+    whole = F.sequence(F.floor(s / p_max + 0.5).cast("long"), F.floor(s / p_min + 0.5).cast("long"))
+    rows = spans.where(s > 0).select("*", F.explode(whole).alias("n"))
+    n = F.col("n").cast("double")
+    low = F.greatest(s / (n + 0.5), F.lit(float(p_min)))
+    high = F.least(F.when(n == 0, F.lit(float(p_max))).otherwise(s / (n - 0.5)), F.lit(float(p_max)))
+    return rows.withColumns({"p_low": low, "p_high": high}).where("p_low < p_high")
+
+
 def gram(epochs: DataFrame, grid: DataFrame, dra: str = "dra", ddec: str = "ddec", sigma: str = "sigma", t: str = "mjd") -> DataFrame:
     """Sums that a least-squares fit of A, B, F, G needs for every trial (orbit_id, period, ecc, t_peri).
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from ..functions import harmonics
 from ..functions.cx import real
 from ..functions.geometry import offset_phase
 from ..operators import arcs, gridding, imaging, orbits
@@ -208,3 +210,69 @@ def injection_recovery(spark, sf_dir):
     found = injection.recovery(derived.samples(spark, sf_dir), planted, 4, grid.axes(spark, **CELLS), _FLUX_LADDER, noise=_noise)
     # a place and its reflection are one
     return found.select("draw", F.round("delta_chi2", 3).alias("delta_chi2"), F.abs("dra").alias("dra"), (F.col("ddec") * F.signum("dra")).alias("ddec"), "flux")
+
+
+# Harmonics -----------------------------------------------------------------------------------------------------------
+
+_C, _S, _INC, _PA, _OPENING = (0.4, -0.2, 0.1), (0.1, 0.3, 0.0), 50.0, 30.0, 0.2
+
+
+def _multipole_sql() -> str:
+    """Every ring of the profile as 64 points of its azimuth, on the distinct baselines."""
+    x, w = (a.tolist() for a in np.polynomial.legendre.leggauss(16))
+    nodes = ", ".join(f"({2 + 2 * (a + 1)!r}::DOUBLE, {2 * b!r}::DOUBLE)" for a, b in zip(x, w))
+    bright = "1 + " + " + ".join(f"({c} * cos({m + 1} * t) + {s} * sin({m + 1} * t))" for m, (c, s) in enumerate(zip(_C, _S)))
+    i, p = math.radians(_INC), math.radians(_PA)
+    return f"""WITH {SAMPLES}, uv AS (SELECT channel, wavel, u / wavel AS p, v / wavel AS q, count(*) AS n FROM samples GROUP BY ALL),
+    rings AS (SELECT r, w * r * exp(-0.5 * pow((r - 4) / 0.4, 2)) AS w FROM (VALUES {nodes}) z(r, w)),
+    spots AS (SELECT w * ({bright}) AS b, r * cos(t) AS a, r * sin(t) * {math.cos(i)!r}::DOUBLE + r * {_OPENING * math.sin(i)!r}::DOUBLE AS o FROM rings, (SELECT k * 2 * pi() / 64 AS t FROM range(64) k(k))),
+    sky AS (SELECT b / sum(b) OVER () AS b, a * {math.sin(p)!r}::DOUBLE + o * {math.cos(p)!r}::DOUBLE AS e, a * {math.cos(p)!r}::DOUBLE - o * {math.sin(p)!r}::DOUBLE AS north FROM spots),
+    z AS (SELECT channel, p, q, any_value(n) AS n, sum(b * cos((p * e + q * north) * {K2})) AS re, sum(b * sin((p * e + q * north) * {K2})) AS im FROM uv, sky GROUP BY channel, p, q)
+    SELECT channel, round(sum(n * (re * re + im * im)) / sum(n), 6) AS v2, round(sum(n * re) / sum(n), 6) AS re, round(sum(n * im) / sum(n), 6) AS im FROM z GROUP BY 1"""
+
+
+@query(_multipole_sql())
+def multipole_disk(spark, sf_dir):
+    """A flared disk with three azimuthal orders, on the samples' distinct baselines and averaged by channel."""
+    disk = models.MultipoleDisk(profile=models.GaussianRing(radius=4.0, sigma=0.4, nodes=16), c=_C, s=_S, inc=_INC, pa=_PA, opening=_OPENING)
+    uv = derived.samples(spark, sf_dir).groupBy("channel", "u", "v", "wavel").agg(F.count("*").alias("n"))
+    z = disk.cvis(models.samples_uv())
+    rows = uv.select("channel", "n", z.re.alias("re"), z.im.alias("im"))
+    mean = lambda x: F.sum(F.col("n") * x) / F.sum("n")
+    out = rows.groupBy("channel").agg(mean(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("v2"), mean(F.col("re")).alias("re"), mean(F.col("im")).alias("im"))
+    return rounded(out, 6, "v2", "re", "im")
+
+
+@query("SELECT p_partkey, round(v[1], 7) AS i1_re, round(v[2], 7) AS i1_im, round(pow(v[3], 2) + pow(v[4], 2), 7) AS i2_power FROM (SELECT p_partkey, [" + ", ".join(f"list_sum(list_transform(range(256), lambda k: {f}({m} * k * 2 * pi() / 256) * exp(kappa * (cos(k * 2 * pi() / 256 - t0) - 1)))) * {s} / norm" for m in (1, 2) for f, s in (("cos", 1), ("sin", -1))) + "] AS v FROM (SELECT p_partkey, p_retailprice / 500.0::DOUBLE AS kappa, p_size / 10.0::DOUBLE AS t0, list_sum(list_transform(range(256), lambda k: exp(p_retailprice / 500.0::DOUBLE * (cos(k * 2 * pi() / 256 - p_size / 10.0::DOUBLE) - 1)))) AS norm FROM part))")
+def von_mises_profiles(spark, sf_dir):
+    """The first two harmonics of a von Mises profile for every part: price as concentration, size as direction."""
+    h = harmonics.von_mises_harmonics(F.col("p_retailprice") / 500.0, F.col("p_size") / 10.0, 2)
+    rows = derived.table(spark, sf_dir, "part").select("p_partkey", h.alias("h"))
+    power = F.pow(F.get("h", F.lit(2))["re"], 2.0) + F.pow(F.get("h", F.lit(2))["im"], 2.0)
+    return rows.select("p_partkey", F.round(F.get("h", F.lit(1))["re"], 7).alias("i1_re"), F.round(F.get("h", F.lit(1))["im"], 7).alias("i1_im"), F.round(power, 7).alias("i2_power"))
+
+
+# Searches of bands and fields, over tables ---------------------------------------------------------------------------
+
+
+@query("""WITH s AS (SELECT o_custkey, max(d) - min(d) AS span FROM (SELECT o_custkey, date_diff('day', DATE '1992-01-01', o_orderdate::DATE)::DOUBLE AS d FROM orders) GROUP BY 1 HAVING max(d) > min(d))
+    SELECT o_custkey, count(*) AS bands, round(sum(least(CASE WHEN n = 0 THEN 400 ELSE span / (n - 0.5::DOUBLE) END, 400) - greatest(span / (n + 0.5::DOUBLE), 100)), 6) AS width
+    FROM (SELECT o_custkey, span, unnest(range(floor(span / 400 + 0.5::DOUBLE)::BIGINT, floor(span / 100 + 0.5::DOUBLE)::BIGINT + 1)) AS n FROM s)
+    WHERE greatest(span / (n + 0.5::DOUBLE), 100) < least(CASE WHEN n = 0 THEN 400 ELSE span / (n - 0.5::DOUBLE) END, 400) GROUP BY 1""")
+def alias_bands_of_spans(spark, sf_dir):
+    """Bands of whole turns between 100 and 400 days over the span of each customer's orders."""
+    day = F.datediff("o_orderdate", F.lit("1992-01-01").cast("date")).cast("double")
+    spans = derived.table(spark, sf_dir, "orders").groupBy("o_custkey").agg((F.max(day) - F.min(day)).alias("span")).where("span > 0")
+    bands = orbits.alias_bands_of(spans, "span", 100.0, 400.0)
+    return bands.groupBy("o_custkey").agg(F.count("*").alias("bands"), F.round(F.sum(F.col("p_high") - F.col("p_low")), 6).alias("width"))
+
+
+@query(f"""WITH {PIXELS}, side AS (SELECT {SIDE} AS n), b AS (SELECT image, value, pow(((n - 1) / 2.0::DOUBLE - col) * 40, 2) + pow(((n - 1) / 2.0::DOUBLE - row) * 40, 2) AS r2 FROM px, side)
+    SELECT image, round(sum(value * exp(-4 * ln(2) * r2 / pow(1.13::DOUBLE * 299792458 / (230e9 * 12) / {MAS!r}::DOUBLE, 2))) / sum(value), 8) AS kept FROM b GROUP BY 1""")
+def primary_beam_of_images(spark, sf_dir):
+    """Share of every image's flux that a dish of 12 m at 230 GHz keeps."""
+    px = derived.pixel_image(spark, sf_dir)
+    half = (_side(px) - 1) / 2.0
+    placed = px.withColumns({"dra": (half - F.col("col")) * 40.0, "ddec": (half - F.col("row")) * 40.0})
+    lit = imaging.primary_beam(placed, 230e9, 12.0, 1.13)
+    return lit.groupBy("image").agg(F.round(F.sum(F.col("value") * F.exp("log_beam")) / F.sum("value"), 8).alias("kept"))

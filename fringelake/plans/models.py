@@ -8,7 +8,7 @@ from dataclasses import dataclass, field, fields
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions import special
+from ..functions import harmonics, special
 from ..functions.cx import Cx, Number, col, real
 from ..functions.geometry import MAS, deproject, gaussian_taper, offset_phase, rotate, sinc
 from ..functions.orbits import Kepler
@@ -351,6 +351,44 @@ class Crescent(Component):
         return (large - small) / (out * out - inn * inn)
 
 
+@dataclass(frozen=True, kw_only=True)
+class MultipoleDisk(Component):
+    """A disk of a radial profile whose rings have harmonics 1 + sum of c_m cos m t + s_m sin m t, m from 1, seen inclined.
+
+    t is the azimuth in the disk from the major axis towards pa + 90 degrees. Rings lie `opening` times their radius above
+    the plane. All orders of a ring come from one downward recurrence.
+    """
+
+    profile: Profile
+    c: tuple[float, ...] = ()
+    s: tuple[float, ...] = ()
+    inc: Param = 0.0
+    pa: Param = 0.0
+    opening: Param = 0.0
+
+    def centred(self, s):
+        pairs = self.profile.rings()
+        rings = F.array(*(F.struct(r.cast("double").alias("r"), w.cast("double").alias("w")) for r, w in pairs))
+        inc = F.radians(col(self.inc))
+        minor, major = deproject(s.u, s.v, self.pa, 1.0)
+        short = minor * F.cos(inc)
+        q, phi = F.hypot(short, major) * (2 * math.pi * MAS), F.atan2(short, major)
+        lift = minor * F.sin(inc) * col(self.opening) * (-2 * math.pi * MAS)
+
+        def add(total: Column, ring: Column) -> Column:
+            c, n = F.cos(lift * ring["r"]), F.sin(lift * ring["r"])
+            turned = lambda z: F.struct((total["re"] + ring["w"] * (z["re"] * c - z["im"] * n)).alias("re"), (total["im"] + ring["w"] * (z["re"] * n + z["im"] * c)).alias("im"), (total["w"] + ring["w"]).alias("w"))
+            # a ring's sum is worked out once and then turned
+            return F.transform(F.array(harmonics.ring_harmonics(q * ring["r"], phi, list(self.c), list(self.s))), turned)[0]
+
+        none = F.struct(*(F.lit(0.0).alias(k) for k in ("re", "im", "w")))
+        total = F.aggregate(rings, none, add)
+        return Cx(total["re"] / total["w"], total["im"] / total["w"])
+
+    def parameters(self) -> set[str]:
+        return {p for p in (self.flux, self.dra, self.ddec, self.inc, self.pa, self.opening) if isinstance(p, str)} | self.profile.parameters()
+
+
 @dataclass(frozen=True, kw_only=True)
 class System(Component):
     """Components weighted by flux, then moved together."""
