@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -99,10 +100,10 @@ def normal(*keys) -> Column:
     return F.sqrt(F.log(1.0 - uniform(F.lit(1), *keys)) * -2.0) * F.cos(uniform(F.lit(2), *keys) * (2 * math.pi))
 
 
-def gaussian_null(samples: DataFrame, prediction: Column, draws: int, seed: int = 0, id: str = "sample_id", error: str = "error") -> DataFrame:
-    """`draws` noisy copies of a prediction on each sample, drawn by (seed, draw, sample)."""
+def gaussian_null(samples: DataFrame, prediction: Column, draws: int, seed: int = 0, id: str = "sample_id", error: str = "error", noise: Callable[[Column], Column] | None = None) -> DataFrame:
+    """`draws` noisy copies of a prediction on each sample, drawn by (seed, draw, sample), or with `noise(draw)`."""
     out = samples.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    return out.withColumn("value", prediction + F.col(error) * normal(F.lit(seed), "draw", id))
+    return out.withColumn("value", prediction + F.col(error) * (noise(F.col("draw")) if noise else normal(F.lit(seed), "draw", id)))
 
 
 def sign_flip_null(samples: DataFrame, prediction: Column, draws: int, seed: int = 0, id: str = "sample_id") -> DataFrame:

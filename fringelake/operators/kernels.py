@@ -45,15 +45,50 @@ def whiten_closures(residual: np.ndarray, sigma: np.ndarray, legs: np.ndarray) -
     return (vectors[:, keep].T @ (residual / sigma)) / np.sqrt(values[keep])
 
 
+def closure_norm(sigma: np.ndarray, legs: np.ndarray) -> float:
+    """Half the log pseudo-determinant of a group's covariance: of R in its row space, and of D between its vectors."""
+    t = incidence(legs)
+    values, vectors = np.linalg.eigh(t @ t.T / 3)
+    keep = values > 1e-9 * values.max()
+    between = vectors[:, keep].T @ (sigma[:, None] ** 2 * vectors[:, keep])
+    return 0.5 * float(np.log(values[keep]).sum() + np.linalg.slogdet(between)[1])
+
+
 def closure_chi2(rows: DataFrame, group: str = "frame") -> DataFrame:
-    """(group, chi2, rank) of correlated closure residuals (residual, sigma, s1, s2, s3), one kernel call a group."""
+    """(group, chi2, penalty, log_norm, rank) of correlated closure residuals (residual, sigma, s1, s2, s3) of each group.
+
+    chi2 is of the whitened sines, whose false minimum at half a turn the penalty removes: the sum of squares of
+    (1 - cos r) / sigma. The log likelihood is -chi2 / 2 - penalty / 2 - log_norm - rank ln(2 pi) / 2. One kernel call a
+    group, which is a frame's triangles.
+    """
 
-    def kernel(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        z = whiten_closures(np.sin(pdf["residual"].to_numpy()), pdf["sigma"].to_numpy(), pdf[["s1", "s2", "s3"]].to_numpy())
-        return pd.DataFrame({group: [key[0]], "chi2": [float(z @ z)], "rank": [len(z)]})
+    def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        r, sigma, legs = pdf["residual"].to_numpy(), pdf["sigma"].to_numpy(), pdf[["s1", "s2", "s3"]].to_numpy()
+        z = whiten_closures(np.sin(r), sigma, legs)
+        penalty = 2 * np.sin(r / 2) ** 2 / sigma
+        return pd.DataFrame({group: [key[0]], "chi2": [float(z @ z)], "penalty": [float(penalty @ penalty)], "log_norm": [closure_norm(sigma, legs)], "rank": [len(z)]})
 
     kind = dict(rows.dtypes)[group]
-    return rows.select(group, "residual", "sigma", "s1", "s2", "s3").groupBy(group).applyInPandas(kernel, f"{group} {kind}, chi2 double, rank long")
+    return rows.select(group, "residual", "sigma", "s1", "s2", "s3").groupBy(group).applyInPandas(kernel, f"{group} {kind}, chi2 double, penalty double, log_norm double, rank long")
+
+
+def closure_draws(rows: DataFrame, draws: int, group: str = "frame", id: str = "tri_id", seed: int = 0) -> DataFrame:
+    """(group, id, draw, residual): closure residuals drawn from each group's covariance, by the seed and the group's ids.
+
+    Draws lie in the covariance's own space: triangles that close on each other stay consistent.
+    """
+
+    def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(id)
+        t = incidence(pdf[["s1", "s2", "s3"]].to_numpy())
+        rng = np.random.default_rng([seed, *(int(x) & 0xFFFFFFFF for x in pdf[id])])
+        # each baseline's own noise, of a third of the variance, adds up to R along the legs
+        x = pdf["sigma"].to_numpy()[:, None] * (t @ rng.normal(size=(t.shape[1], draws))) / np.sqrt(3)
+        n = len(pdf)
+        return pd.DataFrame({group: np.repeat(pdf[group].to_numpy(), draws), id: np.repeat(pdf[id].to_numpy(), draws), "draw": np.tile(np.arange(draws), n), "residual": x.ravel()})
+
+    kinds = dict(rows.dtypes)
+    return rows.select(group, id, "sigma", "s1", "s2", "s3").groupBy(group).applyInPandas(kernel, f"{group} {kinds[group]}, {id} {kinds[id]}, draw long, residual double")
 
 
 def whiten_modes(x: np.ndarray, modes: np.ndarray) -> tuple[np.ndarray, float]:
@@ -81,7 +116,7 @@ def mode_posterior(x: np.ndarray, modes: np.ndarray) -> tuple[np.ndarray, np.nda
 def gain_loglike(rows: DataFrame, group: str, design: list[str]) -> DataFrame:
     """(group, loglike) of whitened residuals z with nuisance modes in the columns `design`, already scaled by width."""
 
-    def kernel(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         z, log_det = whiten_modes(pdf["z"].to_numpy(), pdf[design].to_numpy())
         return pd.DataFrame({group: [key[0]], "loglike": [float(-0.5 * z @ z - log_det - 0.5 * len(z) * np.log(2 * np.pi))]})
 

@@ -134,27 +134,56 @@ def detection_statistics(spark, sf_dir):
     return rounded(rounded(detection.max_statistics(sums, ["draw"]), 3, "delta_chi2"), 4, "max_snr")
 
 
-@query()
+#: Noise that both engines can draw: a sum of three uniform numbers, of unit variance, from the fractions of sines.
+_SINE = ("12.9898", "78.233", "37.719", "43758.5453")
+
+
+def noise_sql(k: str, i: str) -> str:
+    a, b, c, d = (f"{x}::DOUBLE" for x in _SINE)
+    return "2.0 * (" + " + ".join(f"(abs(sin({i} * {a} + {k} * {b} + {j} * {c}) * {d}) % 1)" for j in range(3)) + " - 1.5::DOUBLE)"
+
+
+def noise_of(k, id: str = "sample_id"):
+    a, b, c, d = map(float, _SINE)
+    part = lambda j: F.abs(F.sin(F.col(id) * a + k * b + j * c) * d) % 1
+    return (part(0) + part(1) + part(2) - 1.5) * 2.0
+
+
+@query(f"""WITH {SAMPLES}, d AS (SELECT sample_id, u / wavel AS p, v / wavel AS q, error, -1 AS draw, value FROM samples UNION ALL
+        SELECT sample_id, u / wavel, v / wavel, error, k, 1 + error * {noise_sql('k', 'sample_id')} FROM samples, range(20) r(k)),
+    g AS (SELECT draw, x, y, 2 * (cos((p * x + q * y) * {K2}) - 1) AS s, value - 1 AS r, error AS e FROM d, unnest([-5.0::DOUBLE, 5]) a(x), unnest([-5.0::DOUBLE, 5]) b(y)),
+    t AS (SELECT draw, x, y, sum(s * r / (e * e)) AS b, sum(s * s / (e * e)) AS c FROM g GROUP BY ALL)
+    SELECT draw::INT AS draw, round(max(CASE WHEN b > 0 THEN b * b / c ELSE 0 END), 4) AS delta_chi2, round(max(b / sqrt(c)), 5) AS max_snr FROM t GROUP BY 1""")
 def injection_false_alarm(spark, sf_dir):
-    """Nulls by hashed Gaussian noise on each user's samples, searched at four offsets; false alarms of the observed."""
+    """Twenty nulls and the observation, searched at four offsets: the statistics that false alarms are counted from."""
     s = models.samples_uv()
     points = grid.axes(spark, dra=[-5.0, 5.0], ddec=[-5.0, 5.0])
     slope = (geometry.offset_phase(s.u, s.v, "dra", "ddec").re - 1.0) * 2.0
     rows = derived.samples(spark, sf_dir)
-    drawn = rows.withColumn("draw", F.lit(-1)).unionByName(detection.gaussian_null(rows, F.lit(1.0), 20))
+    drawn = rows.withColumn("draw", F.lit(-1)).unionByName(detection.gaussian_null(rows, F.lit(1.0), 20, noise=noise_of))
     s2 = F.col("error") * F.col("error")
     sums = grid.evaluate(drawn, points, {"b": slope * (F.col("value") - 1.0) / s2, "c": slope * slope / s2}, ("draw", "point_id"), 4)
-    return detection.max_statistics(sums, ["draw"])
+    return rounded(rounded(detection.max_statistics(sums, ["draw"]), 4, "delta_chi2"), 5, "max_snr")
+
+
+def log_gamma_tail(a: str, x: str, terms: int = 4000) -> str:
+    """SQL of ln Q(a, x), the upper incomplete gamma function, for x of a or more: a continued fraction, from its end."""
+    fraction = f"list_reduce([({x}) + {2 * terms + 1} - ({a})] || range({terms}, 0, -1)::DOUBLE[], lambda t, k: ({x}) + 2 * k - 1 - ({a}) + k * (({a}) - k) / t)"
+    return f"(-({x}) + ({a}) * ln({x}) - lgamma({a}) - ln({fraction}))"
 
 
-@query()
+@query(f"""WITH RECURSIVE {GRID_SQL}, n AS (SELECT count(*) / 2.0::DOUBLE AS h FROM samples), top AS (SELECT max(loglike) AS best FROM ll),
+    tail AS (SELECT dra, ddec, flux, greatest({log_gamma_tail('h', 'h * loglike / best')}, ln(2e-300::DOUBLE)) AS q FROM ll, n, top),
+    z AS (SELECT 0 AS i, *, 0.0::DOUBLE AS lo, 40.0::DOUBLE AS hi FROM tail UNION ALL SELECT i + 1, dra, ddec, flux, q, CASE WHEN more THEN m ELSE lo END, CASE WHEN more THEN hi ELSE m END FROM
+        (SELECT *, (lo + hi) / 2 AS m, {log_gamma_tail('0.5::DOUBLE', 'pow((lo + hi) / 2, 2) / 2', 600)} > q AS more FROM z WHERE i < 45))
+    SELECT dra, ddec, flux, round((lo + hi) / 2, 4) AS nsigma FROM z WHERE i = 45""")
 def companion_limits(spark, sf_dir):
     """Significance of each grid point's chi-square against the best one's, by the incomplete gamma function."""
     ll = _binary(spark, sf_dir)
     n = derived.samples(spark, sf_dir).count()
     best = ll.agg(F.max("loglike").alias("best"))
     chi2r = lambda c: F.col(c) * (-2.0 / n)
-    return ll.crossJoin(F.broadcast(best)).select("dra", "ddec", "flux", special.nsigma(chi2r("loglike"), chi2r("best"), F.lit(float(n))).alias("nsigma"))
+    return ll.crossJoin(F.broadcast(best)).select("dra", "ddec", "flux", special.nsigma(chi2r("loglike"), chi2r("best"), F.lit(float(n))).alias("nsigma")).withColumn("nsigma", F.round("nsigma", 4))
 
 
 # Selection and errors ------------------------------------------------------------------------------------------------
@@ -228,14 +257,24 @@ def closure_phase_sum(spark, sf_dir):
     return rounded(joins.closure_phases(tri, b.select("sample_id", "phi")), 6, "closure").select("tri_id.*", "closure")
 
 
-@query()
+#: Triangles of four stations close on each other along (1, -1, 1, -1) / 2, and R is 4/3 across it; two that share a
+#: baseline correlate by a third.
+_SINES = "sin(closure) / 0.1::DOUBLE"
+
+
+@query(f"""WITH {BASELINES}, t AS (SELECT x.frame, CASE WHEN (x.station_b = 1 AND y.station_b = 2) OR (x.station_a = 0 AND x.station_b = 2) THEN 1 ELSE -1 END AS side, x.phi + y.phi - z.phi AS closure FROM baselines x
+    JOIN baselines y ON y.frame = x.frame AND y.station_a = x.station_b JOIN baselines z ON z.frame = x.frame AND z.station_a = x.station_a AND z.station_b = y.station_b),
+    s AS (SELECT frame, count(*) AS m, sum(pow({_SINES}, 2)) AS yy, sum(side * {_SINES}) AS along, sum({_SINES}) AS y, sum(pow(2 * pow(sin(closure / 2), 2) / 0.1::DOUBLE, 2)) AS penalty FROM t GROUP BY 1)
+    SELECT frame, round(CASE m WHEN 1 THEN yy WHEN 2 THEN 9.0::DOUBLE / 8 * (yy * 4 / 3 - y * y / 3) ELSE 0.75::DOUBLE * (yy - along * along / 4) END, 5) AS chi2, round(penalty, 5) AS penalty,
+    round(CASE m WHEN 1 THEN 0 WHEN 2 THEN ln(8.0::DOUBLE / 9) / 2 ELSE 1.5::DOUBLE * ln(4.0::DOUBLE / 3) END + least(m, 3) * ln(0.1::DOUBLE), 6) AS log_norm, least(m, 3)::BIGINT AS rank FROM s""")
 def closure_chi2(spark, sf_dir):
     """Whitened chi-square of correlated closure residuals by frame, in a dense kernel a group."""
     b = derived.baselines(spark, sf_dir)
     seen = b.select("frame", F.explode(F.array("station_a", "station_b")).alias("station")).distinct()
     tri = joins.closure_triangles(b, joins.all_triangles(seen, ["frame"])).withColumn("tri_id", F.xxhash64("frame", "a", "b", "c"))
     phases = joins.closure_phases(tri, b.select("sample_id", "phi"))
-    return kernels.closure_chi2(tri.join(phases, "tri_id").select("frame", F.col("closure").alias("residual"), F.lit(0.1).alias("sigma"), "s1", "s2", "s3"))
+    out = kernels.closure_chi2(tri.join(phases, "tri_id").select("frame", F.col("closure").alias("residual"), F.lit(0.1).alias("sigma"), "s1", "s2", "s3"))
+    return rounded(rounded(out, 5, "chi2", "penalty"), 6, "log_norm")
 
 
 @query("""WITH e AS (SELECT event_id, user_id, event_type, epoch_us(ts)::DOUBLE / 86400000000.0::DOUBLE AS t FROM events), l AS (SELECT * FROM e WHERE event_type = 'error'), r AS (SELECT * FROM e WHERE event_type <> 'error'),

@@ -14,18 +14,12 @@ from ..operators import arcs, gridding, imaging, orbits
 from ..operators.lattice import Lattice
 from . import derived, grid, injection, limits, models, particles
 from .arrow import Arrow, station_modes
-from .catalogue import AXES, K2, MAS, query, rounded
+from .catalogue import AXES, K2, MAS, log_gamma_tail, noise_of, noise_sql, query, rounded
 from .derived import PIXELS, RADIO, SAMPLES
 
 # Limits --------------------------------------------------------------------------------------------------------------
 
 
-def log_gamma_tail(a: str, x: str, terms: int = 4000) -> str:
-    """ln Q(a, x) of the upper incomplete gamma function for x of a or more: a continued fraction, from its end."""
-    fraction = f"list_reduce([({x}) + {2 * terms + 1} - ({a})] || range({terms}, 0, -1)::DOUBLE[], lambda t, k: ({x}) + 2 * k - 1 - ({a}) + k * (({a}) - k) / t)"
-    return f"(-({x}) + ({a}) * ln({x}) - lgamma({a}) - ln({fraction}))"
-
-
 #: ln of twice the normal tail beyond three standard deviations, and the flux ladder of a quarter of a decade.
 TAIL, LOW, STEPS = math.log(math.erfc(3 / math.sqrt(2))), -4.0, 16
 
@@ -184,22 +178,9 @@ def resampled_particles(spark, sf_dir):
 
 _FLUX_LADDER = [0.003, 0.01, 0.03]
 _PLANTED = [(0, 10.0, 5.0, 0.02), (1, -5.0, 10.0, 0.02), (2, 5.0, -10.0, 0.004), (3, 10.0, -5.0, 0.004)]
-#: Noise that both engines can draw: a sum of three uniform numbers, of unit variance, from the fractions of sines.
-_FRACTION = "(abs(sin({id} * 12.9898 + {k} * 78.233 + {j} * 37.719) * 43758.5453) % 1)"
-
-
-def _noise_sql(k: str, i: str) -> str:
-    return "2.0 * (" + " + ".join(_FRACTION.format(id=i, k=k, j=j).replace("12.9898", "12.9898::DOUBLE").replace("78.233", "78.233::DOUBLE").replace("37.719", "37.719::DOUBLE").replace("43758.5453", "43758.5453::DOUBLE") for j in range(3)) + " - 1.5::DOUBLE)"
-
-
-def _noise(k):
-    part = lambda j: F.abs(F.sin(F.col("sample_id") * 12.9898 + k * 78.233 + j * 37.719) * 43758.5453) % 1
-    return (part(0) + part(1) + part(2) - 1.5) * 2.0
-
-
 @query(f"""WITH {SAMPLES}, draws(k, tx, ty, tf) AS (VALUES {', '.join(f'({k}, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE)' for k in range(4))}, {', '.join(f'({4 + k}, {x}::DOUBLE, {y}::DOUBLE, {f}::DOUBLE)' for k, x, y, f in _PLANTED)}),
     p AS (SELECT sample_id, u / wavel AS p, v / wavel AS q, error FROM samples),
-    d AS (SELECT sample_id, p, q, error, k, (1 + 2 * tf * cos((p * tx + q * ty) * {K2}) + tf * tf) / pow(1 + tf, 2) + error * {_noise_sql('k', 'sample_id')} AS d FROM p, draws),
+    d AS (SELECT sample_id, p, q, error, k, (1 + 2 * tf * cos((p * tx + q * ty) * {K2}) + tf * tf) / pow(1 + tf, 2) + error * {noise_sql('k', 'sample_id')} AS d FROM p, draws),
     pts AS (SELECT x, y FROM unnest([-10.0::DOUBLE, -5, 5, 10]) a(x), unnest([-10.0::DOUBLE, -5, 0, 5, 10]) b(y)),
     g AS (SELECT k, x, y, f, sum(pow((1 - d) / error, 2) - pow(((1 + 2 * f * c + f * f) / pow(1 + f, 2) - d) / error, 2)) AS gain FROM (SELECT d.*, x, y, cos((p * x + q * y) * {K2}) AS c FROM d, pts), unnest({_FLUX_LADDER}::DOUBLE[]) t(f) GROUP BY ALL),
     b AS (SELECT k, greatest(max(gain), 0) AS delta_chi2, arg_max([x, y, f], gain) AS best FROM g GROUP BY 1)
@@ -207,7 +188,7 @@ def _noise(k):
 def injection_recovery(spark, sf_dir):
     """Four observations of a star alone and four with a companion, simulated at every sample and searched on a grid."""
     planted = spark.createDataFrame(_PLANTED, "draw long, dra double, ddec double, flux double")
-    found = injection.recovery(derived.samples(spark, sf_dir), planted, 4, grid.axes(spark, **CELLS), _FLUX_LADDER, noise=_noise)
+    found = injection.recovery(derived.samples(spark, sf_dir), planted, 4, grid.axes(spark, **CELLS), _FLUX_LADDER, noise=noise_of)
     # a place and its reflection are one
     return found.select("draw", F.round("delta_chi2", 3).alias("delta_chi2"), F.abs("dra").alias("dra"), (F.col("ddec") * F.signum("dra")).alias("ddec"), "flux")
 
