@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -12,10 +13,12 @@ from ..functions.cx import real
 from ..functions.geometry import offset_phase
 from ..operators import arcs, gridding, imaging, orbits
 from ..operators.lattice import Lattice
+from ..sources import oifits_source
 from . import derived, grid, injection, limits, models, particles
 from .arrow import Arrow, station_modes
 from .catalogue import AXES, K2, MAS, log_gamma_tail, noise_of, noise_sql, query, rounded
-from .derived import PIXELS, RADIO, SAMPLES
+from .derived import BASELINES, PIXELS, RADIO, SAMPLES
+from .work import shared_dir
 
 # Limits --------------------------------------------------------------------------------------------------------------
 
@@ -257,3 +260,35 @@ def primary_beam_of_images(spark, sf_dir):
     placed = px.withColumns({"dra": (half - F.col("col")) * 40.0, "ddec": (half - F.col("row")) * 40.0})
     lit = imaging.primary_beam(placed, 230e9, 12.0, 1.13)
     return lit.groupBy("image").agg(F.round(F.sum(F.col("value") * F.exp("log_beam")) / F.sum("value"), 8).alias("kept"))
+
+
+# Files ---------------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {SAMPLES}, b AS (SELECT sample_id, frame, station_a, station_b FROM ({BASELINES.removeprefix('baselines AS (').removesuffix(')')})),
+    r AS (SELECT s.*, frame, station_a AS a, station_b AS b FROM samples s JOIN b USING (sample_id) WHERE event_type IN ('click', 'view'))
+    SELECT event_type AS target, 'CH' || channel AS insname, count(*) AS n, round(sum(value), 6) AS v2, round(sum(error), 6) AS error, round(sum(u), 4) AS u, round(sum(mjd), 4) AS mjd, sum(a + 10 * b)::BIGINT AS stations,
+        round(sum(sqrt(value)), 6) AS amp, round(sum(sin(value)), 6) AS phi FROM r GROUP BY 1, 2""")
+def oifits_round_trip(spark, sf_dir):
+    """All events as OIFITS files with squared visibilities, amplitudes and phases, read back for two targets, extras on their samples."""
+    s = derived.samples(spark, sf_dir).join(derived.baselines(spark, sf_dir).drop("phi"), "sample_id")
+    kind = lambda k, value: F.struct(F.lit(k).alias("kind"), value.alias("value"))
+    v = F.col("value")
+    none = F.lit(None).cast("double")
+    rows = s.withColumn("k", F.explode(F.array(kind("v2", v), kind("amp", F.sqrt(v)), kind("phi", F.sin(v))))).select(
+        F.concat(F.lit("part"), (F.col("user_id") % 16).cast("string")).alias("file"), "k.kind", F.concat(F.lit("CH"), F.col("channel").cast("string")).alias("insname"), F.col("sample_id").alias("row"), F.lit(0).alias("channel"), "wavel", (F.col("wavel") * 0.01).alias("bandwidth"),
+        "mjd", F.col("sample_id").cast("double").alias("time"), F.lit(0.0).alias("exposure"), F.col("station_a").alias("sta1"), F.col("station_b").alias("sta2"), F.lit(-1).alias("sta3"), "u", "v", none.alias("u2"), none.alias("v2"), "k.value", "error", F.lit(False).alias("flag"), F.col("event_type").alias("target"),
+    )
+    path = f"{shared_dir(spark)}/oifits-{uuid.uuid4().hex}"
+    oifits_source.write(rows, path).agg(F.sum("rows")).first()
+    oifits_source.register(spark)
+    long = spark.read.format("oifits").load(path).where("target in ('click', 'view')")
+    extras = [oifits_source.aligned_extras(long, k).groupBy("sample_id").agg(F.max("value").alias(k)) for k in ("amp", "phi")]
+    vis = oifits_source.sample_ids(long)
+    for e in extras:
+        vis = vis.join(e, "sample_id", "left")
+    total = lambda x, d: F.round(F.sum(x), d)
+    out = vis.groupBy("target", "insname").agg(
+        F.count("*").alias("n"), total("value", 6).alias("v2"), total("error", 6).alias("error"), total("u", 4).alias("u"), total("mjd", 4).alias("mjd"), F.sum((F.col("sta1") + F.col("sta2") * 10).cast("long")).alias("stations"), total("amp", 6).alias("amp"), total("phi", 6).alias("phi"),
+    )
+    return out

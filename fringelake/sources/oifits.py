@@ -20,29 +20,36 @@ KINDS = {"v2": ("OI_VIS2", "VIS2DATA", "VIS2ERR", 1.0), "amp": ("OI_VIS", "VISAM
 TOLERANCE = 1e-4
 
 
+def long_rows(name: str, kind: str, t: fits.Table, wavelengths: list[fits.Table]) -> pd.DataFrame:
+    """Every row and channel of one table, as one kind of observable."""
+    _, value, error, scale = KINDS[kind]
+    ins = str(t.header.get("INSNAME", "")).strip()
+    wave, band = next((w.columns["EFF_WAVE"].astype(float), w.columns["EFF_BAND"].astype(float)) for w in wavelengths if str(w.header.get("INSNAME", "")).strip() == ins)
+    c, n, k = t.columns, len(t.columns["MJD"]), len(wave)
+    wide = lambda x: np.repeat(np.asarray(x), k)
+    each = lambda x: np.asarray(x, float).reshape(n, k).ravel()
+    sta = np.asarray(c["STA_INDEX"]).reshape(n, -1) if "STA_INDEX" in c else np.full((n, 3), -1)
+    sta = np.pad(sta, ((0, 0), (0, 3 - sta.shape[1])), constant_values=-1)
+    uv = lambda *names: wide(next((c[x] for x in names if x in c), np.full(n, np.nan)).astype(float))
+    d = {"file": name, "kind": kind, "insname": ins, "row": wide(np.arange(n)), "channel": np.tile(np.arange(k), n), "wavel": np.tile(wave, n), "bandwidth": np.tile(band, n), "mjd": wide(c["MJD"]).astype(float), "time": wide(c.get("TIME", np.zeros(n))).astype(float), "exposure": wide(c.get("INT_TIME", np.zeros(n))).astype(float)}
+    d |= {f"sta{i + 1}": wide(sta[:, i]).astype(np.int32) for i in range(3)} | {"u": uv("UCOORD", "U1COORD"), "v": uv("VCOORD", "V1COORD"), "u2": uv("U2COORD"), "v2": uv("V2COORD")}
+    d |= {"value": each(c[value]) * scale, "error": each(c[error]) * scale, "flag": np.asarray(c.get("FLAG", np.zeros((n, k), bool)), bool).reshape(n, k).ravel()}
+    return pd.DataFrame(d)
+
+
 def rows_of(name: str, content: bytes, target: str | None = None, insname: str | None = None) -> pd.DataFrame:
     """Every row and channel of a file's observable tables, long."""
     tables = fits.read(content)
     targets = {int(i): str(n).strip() for t in tables if t.name == "OI_TARGET" for i, n in zip(t.columns["TARGET_ID"], t.columns["TARGET"])}
-    waves = {str(t.header.get("INSNAME", "")).strip(): (t.columns["EFF_WAVE"].astype(float), t.columns["EFF_BAND"].astype(float)) for t in tables if t.name == "OI_WAVELENGTH"}
+    waves = [t for t in tables if t.name == "OI_WAVELENGTH"]
     out = []
-    for kind, (table, value, error, scale) in KINDS.items():
+    for kind, (table, value, _, _) in KINDS.items():
         for t in tables:
-            ins = str(t.header.get("INSNAME", "")).strip()
-            if t.name != table or value not in t.columns or (insname and ins != insname):
+            if t.name != table or value not in t.columns or (insname and str(t.header.get("INSNAME", "")).strip() != insname):
                 continue
-            wave, band = waves[ins]
-            c, n, k = t.columns, len(t.columns["MJD"]), len(wave)
-            keep = np.array([target is None or targets.get(int(i)) == target for i in c["TARGET_ID"]])
-            wide = lambda x: np.repeat(np.asarray(x), k)
-            each = lambda x: np.asarray(x, float).reshape(n, k).ravel()
-            sta = np.asarray(c["STA_INDEX"]).reshape(n, -1) if "STA_INDEX" in c else np.full((n, 3), -1)
-            sta = np.pad(sta, ((0, 0), (0, 3 - sta.shape[1])), constant_values=-1)
-            uv = lambda *names: wide(next((c[x] for x in names if x in c), np.full(n, np.nan)).astype(float))
-            d = {"file": name, "kind": kind, "insname": ins, "row": wide(np.arange(n)), "channel": np.tile(np.arange(k), n), "wavel": np.tile(wave, n), "bandwidth": np.tile(band, n), "mjd": wide(c["MJD"]).astype(float), "time": wide(c.get("TIME", np.zeros(n))).astype(float), "exposure": wide(c.get("INT_TIME", np.zeros(n))).astype(float)}
-            d |= {f"sta{i + 1}": wide(sta[:, i]).astype(np.int32) for i in range(3)} | {"u": uv("UCOORD", "U1COORD"), "v": uv("VCOORD", "V1COORD"), "u2": uv("U2COORD"), "v2": uv("V2COORD")}
-            d |= {"value": each(c[value]) * scale, "error": each(c[error]) * scale, "flag": np.asarray(c.get("FLAG", np.zeros((n, k), bool)), bool).reshape(n, k).ravel()}
-            out.append(pd.DataFrame(d)[wide(keep)])
+            pdf = long_rows(name, kind, t, waves)
+            keep = np.array([target is None or targets.get(int(i)) == target for i in t.columns["TARGET_ID"]], bool)
+            out.append(pdf[np.repeat(keep, len(pdf) // max(1, len(keep)))])
     names = [x.split()[0] for x in ROW.split(", ")]
     return pd.concat(out)[names] if out else pd.DataFrame(columns=names)
 
@@ -101,3 +108,38 @@ def build(wave: np.ndarray, band: np.ndarray, vis2: dict[str, np.ndarray], t3: d
         c |= {f"{x}{i}COORD": np.asarray(t3[f"{x.lower()}{i}"], float) for i in (1, 2) for x in ("U", "V")} | {"STA_INDEX": np.asarray(t3["sta"], np.int16), "FLAG": np.zeros((m, k), bool)}
         tables.append(fits.Table("OI_T3", head, c))
     return fits.write(tables)
+
+
+def build_long(pdf: pd.DataFrame) -> bytes:
+    """An OIFITS file of long rows of one file (`target` beside the columns of ROW): a table for each kind of rows and instrument."""
+    names = sorted(set(pdf["target"].astype(str)))
+    number = {n: i + 1 for i, n in enumerate(names)}
+    tables = [fits.Table("OI_TARGET", {"OI_REVN": 2}, {"TARGET_ID": np.arange(1, len(names) + 1, dtype=np.int16), "TARGET": np.array(names, object)})]
+    for ins, own in pdf.groupby("insname", sort=True):
+        head = {"OI_REVN": 2, "ARRNAME": "ARRAY", "INSNAME": str(ins), "DATE-OBS": "2024-01-01"}
+        waves = own.groupby("channel")[["wavel", "bandwidth"]].first()
+        k = len(waves)
+        tables.append(fits.Table("OI_WAVELENGTH", head, {"EFF_WAVE": waves["wavel"].to_numpy(np.float64), "EFF_BAND": waves["bandwidth"].to_numpy(np.float64)}))
+        for table in dict.fromkeys(v[0] for v in KINDS.values()):
+            parts = {kind: own[own["kind"] == kind].sort_values(["row", "channel"], kind="stable") for kind, v in KINDS.items() if v[0] == table and (own["kind"] == kind).any()}
+            # kinds of one table whose rows are the same share it; others have one each
+            groups: dict[tuple, list[str]] = {}
+            for kind, x in parts.items():
+                groups.setdefault(tuple(x["row"]), []).append(kind)
+            for kinds in groups.values():
+                first = parts[kinds[0]]
+                rows = first[first["channel"] == first["channel"].min()]
+                n = len(rows)
+                get = lambda c: rows[c].to_numpy(float)
+                c = {"TARGET_ID": rows["target"].astype(str).map(number).to_numpy(np.int16), "TIME": get("time"), "MJD": get("mjd"), "INT_TIME": get("exposure")}
+                for kind in kinds:
+                    _, value, error, scale = KINDS[kind]
+                    c |= {value: parts[kind]["value"].to_numpy(float).reshape(n, k) / scale, error: parts[kind]["error"].to_numpy(float).reshape(n, k) / scale}
+                if table == "OI_T3":
+                    c |= {"U1COORD": get("u"), "V1COORD": get("v"), "U2COORD": get("u2"), "V2COORD": get("v2")}
+                elif table != "OI_FLUX":
+                    c |= {"UCOORD": get("u"), "VCOORD": get("v")}
+                stations = rows[["sta1", "sta2", "sta3"][: {"OI_T3": 3, "OI_FLUX": 1}.get(table, 2)]].to_numpy(np.int16)
+                c |= {"STA_INDEX": stations[:, 0] if table == "OI_FLUX" else stations, "FLAG": first["flag"].to_numpy(bool).reshape(n, k)}
+                tables.append(fits.Table(table, head, c))
+    return fits.write(tables)
