@@ -193,3 +193,17 @@ def test_empty_table(make, f):
 
 def test_dedup_of_one_row(make):
     assert [tuple(r)[:1] for r in simhash.near_duplicates(make([(4, "only")])).collect()] == [(4,)]
+
+
+def test_very_many_equal_lines_take_time_that_grows_with_them(make):
+    """100,000 equal lines of one text, and as many that stay, take seconds."""
+    import time
+
+    from fringelake.llm import line_dedup
+
+    lines = ["the same five words here"] * 100_000 + [f"line number {i} has its own words" for i in range(1000)]
+    began = time.time()
+    (row,) = line_dedup.line_dedup(make([(1, "\n".join(lines))])).select("text", "n_lines", "n_dropped").collect()
+    assert row.n_lines == 101_000 and row.n_dropped == 99_999
+    assert row.text == "\n".join(lines[99_999:])
+    assert time.time() - began < 40
