@@ -204,23 +204,32 @@ B3_SPLINE = (1 / 16, 1 / 4, 3 / 8, 1 / 4, 1 / 16)
 
 
 def _smoothed(image: DataFrame, by: list[str], step: int) -> DataFrame:
-    """An image smoothed by the spline with taps `step` pixels apart, one axis at a time; zero beyond its pixels."""
-    for axis in ("row", "col"):
-        taps = F.explode(F.array(*(F.struct((F.col(axis) + (k - 2) * step).alias(axis), (F.col("value") * t).alias("part")) for k, t in enumerate(B3_SPLINE))))
-        other = "col" if axis == "row" else "row"
-        sums = image.select(*by, other, taps.alias("t")).groupBy(*by, other, F.col(f"t.{axis}").alias(axis)).agg(F.sum("t.part").alias("value"))
-        image = image.select(*by, "row", "col").join(sums, [*by, "row", "col"])
+    """`value` smoothed by the spline with taps `step` pixels apart, one axis at a time; zero beyond the image's pixels.
+
+    `kept` goes along with its pixel: a pixel's own row carries it, taps carry none, and where no row does there is no
+    pixel. So an axis is one shuffle and the image is read once.
+    """
+    kind = image.schema["kept"].dataType
+    for axis, other in (("row", "col"), ("col", "row")):
+        tap = lambda at, part, kept: F.struct(at.cast("int").alias(axis), part.alias("part"), kept.cast(kind).alias("kept"))
+        taps = [tap(F.col(axis) + (k - 2) * step, F.col("value") * t, F.lit(None)) for k, t in enumerate(B3_SPLINE)]
+        rows = image.select(*by, other, F.explode(F.array(*taps, tap(F.col(axis), F.lit(0.0), F.col("kept")))).alias("t"))
+        sums = rows.groupBy(*by, other, F.col(f"t.{axis}").alias(axis)).agg(F.sum("t.part").alias("value"), F.max("t.kept").alias("kept"))
+        image = sums.where("kept is not null").select(*by, "row", "col", "value", "kept")
     return image
 
 
 def starlet(image: DataFrame, by: list[str], scales: int = 4) -> DataFrame:
-    """(by, scale, row, col, value): detail planes from 0, finest first, and the rest as plane `scales`."""
-    out, now = None, image.select(*by, "row", "col", "value")
+    """(by, scale, row, col, value): detail planes from 0, finest first, and the rest as plane `scales`.
+
+    All planes of a pixel travel in its row, so that the image is scanned once and shuffled twice a scale.
+    """
+    now = image.select(*by, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("value").cast("double").alias("value"), F.array().cast("array<double>").alias("planes"))
     for j in range(scales):
-        smooth = _smoothed(now, by, 1 << j)
-        plane = now.join(smooth.withColumnRenamed("value", "smooth"), [*by, "row", "col"]).select(*by, F.lit(j).alias("scale"), "row", "col", (F.col("value") - F.col("smooth")).alias("value"))
-        out, now = plane if out is None else out.unionByName(plane), smooth
-    return out.unionByName(now.select(*by, F.lit(scales).alias("scale"), "row", "col", "value"))
+        kept = F.struct(F.col("value").alias("now"), F.col("planes").alias("planes"))
+        smooth = _smoothed(now.select(*by, "row", "col", "value", kept.alias("kept")), by, 1 << j)
+        now = smooth.select(*by, "row", "col", "value", F.concat(F.col("kept.planes"), F.array(F.col("kept.now") - F.col("value"))).alias("planes"))
+    return now.select(*by, F.posexplode(F.concat("planes", F.array("value"))).alias("scale", "value"), "row", "col").select(*by, "scale", "row", "col", "value")
 
 
 def starlet_l1(image: DataFrame, by: list[str], scales: int = 4, epsilon: float = 0.01) -> DataFrame:

@@ -583,14 +583,27 @@ def resample_image(spark, sf_dir):
 # Orbits --------------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT range::BIGINT AS i, round(1 / (1 / 20.0::DOUBLE + range / (ceil((1 / 20.0::DOUBLE - 1 / 900.0::DOUBLE) * 9 * 300) ) * (1 / 900.0::DOUBLE - 1 / 20.0::DOUBLE)), 8) AS period FROM range((ceil((1 / 20.0::DOUBLE - 1 / 900.0::DOUBLE) * 9 * 300) + 1)::BIGINT)")
+def _span(spark, sf_dir) -> float:
+    """Days from the first order to the last."""
+    o = table(spark, sf_dir, "orders").select(F.datediff("o_orderdate", F.lit("1992-01-01").cast("date")).alias("d"))
+    return float(o.agg(F.max("d") - F.min("d")).first()[0])
+
+
+SPAN = "span AS (SELECT date_diff('day', min(o_orderdate)::DATE, max(o_orderdate)::DATE)::DOUBLE AS s FROM orders)"
+
+
+@query(f"""WITH {SPAN}, n AS (SELECT ceil((1 / 20.0::DOUBLE - 1 / 900.0::DOUBLE) * 9 * s) AS n FROM span)
+    SELECT i, round(1 / (1 / 20.0::DOUBLE + i / n * (1 / 900.0::DOUBLE - 1 / 20.0::DOUBLE)), 8) AS period FROM (SELECT n, unnest(range(n::BIGINT + 1)) AS i FROM n)""")
 def period_grid(spark, sf_dir):
-    return rounded(orbits.period_grid(spark, 300.0, 20.0, 900.0), 8, "period")
+    """Trial periods of 20 to 900 days over the span of all orders."""
+    return rounded(orbits.period_grid(spark, _span(spark, sf_dir), 20.0, 900.0), 8, "period")
 
 
-@query("""SELECT range::BIGINT AS n, round(greatest(300 / (range + 0.5::DOUBLE), 20), 8) AS p_low, round(least(CASE WHEN range = 0 THEN 900 ELSE 300 / (range - 0.5::DOUBLE) END, 900), 8) AS p_high FROM range(0, 16) WHERE greatest(300 / (range + 0.5::DOUBLE), 20) < least(CASE WHEN range = 0 THEN 900 ELSE 300 / (range - 0.5::DOUBLE) END, 900)""")
+@query(f"""WITH {SPAN}, b AS (SELECT n, greatest(s / (n + 0.5::DOUBLE), 20) AS p_low, least(CASE WHEN n = 0 THEN 900 ELSE s / (n - 0.5::DOUBLE) END, 900) AS p_high
+    FROM (SELECT s, unnest(range(floor(s / 900 + 0.5::DOUBLE)::BIGINT, floor(s / 20 + 0.5::DOUBLE)::BIGINT + 1)) AS n FROM span)) SELECT n, round(p_low, 8) AS p_low, round(p_high, 8) AS p_high FROM b WHERE p_low < p_high""")
 def alias_bands(spark, sf_dir):
-    return rounded(orbits.alias_bands(spark, 300.0, 20.0, 900.0), 8, "p_low", "p_high")
+    """Bands of whole turns of 20 to 900 days over the span of all orders."""
+    return rounded(orbits.alias_bands(spark, _span(spark, sf_dir), 20.0, 900.0), 8, "p_low", "p_high")
 
 
 ORBIT = kepler.Kepler(period=700.0, t_peri=-120.0, ecc=0.3, inc=50.0, omega=60.0, Omega=120.0, a=20.0)

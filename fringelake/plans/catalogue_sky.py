@@ -202,12 +202,12 @@ def _smooth_sql(source: str, step: int) -> str:
     return f"""SELECT p.image, p.row, p.col, sum(a.w * b.w * coalesce(s.value, 0)) AS value FROM {source} p, taps a, taps b LEFT JOIN {source} s ON s.image = p.image AND s.row = p.row + a.d * {step} AND s.col = p.col + b.d * {step} GROUP BY ALL"""
 
 
-@query(f"""WITH {PIXELS}, {_TAPS}, c0 AS (SELECT image, row, col, value FROM px), sizes AS (SELECT image, count(*) AS n FROM px GROUP BY 1), c1 AS ({_smooth_sql('c0', 1)}), c2 AS ({_smooth_sql('c1', 2)}),
-    d AS (SELECT image, row, col, c0.value - c1.value AS s FROM c0 JOIN c1 USING (image, row, col) UNION ALL SELECT image, row, col, c1.value - c2.value FROM c1 JOIN c2 USING (image, row, col))
+@query(f"""WITH {PIXELS}, {_TAPS}, c0 AS (SELECT image, row, col, value FROM px), sizes AS (SELECT image, count(*) AS n FROM px GROUP BY 1), {', '.join(f"c{j + 1} AS ({_smooth_sql(f'c{j}', 1 << j)})" for j in range(4))},
+    d AS ({' UNION ALL '.join(f'SELECT image, row, col, c{j}.value - c{j + 1}.value AS s FROM c{j} JOIN c{j + 1} USING (image, row, col)' for j in range(4))})
     SELECT image, round(sum(sqrt(s * s + pow(0.01 / n, 2))), 5) AS starlet_l1 FROM d JOIN sizes USING (image) GROUP BY 1""")
 def starlet_norms(spark, sf_dir):
-    """Smoothed L1 norm of two starlet planes of each image."""
-    return rounded(imaging.starlet_l1(derived.pixel_image(spark, sf_dir), ["image"], 2), 5, "starlet_l1")
+    """Smoothed L1 norm of the four starlet planes of each image."""
+    return rounded(imaging.starlet_l1(derived.pixel_image(spark, sf_dir), ["image"]), 5, "starlet_l1")
 
 
 @query(f"""WITH {PIXELS}, c AS (SELECT image, sum(value * (9.5 - col) * 0.5) AS x, sum(value * (9.5 - row) * 0.5) AS y FROM px GROUP BY 1) SELECT image, round(x, 5) AS x, round(y, 5) AS y, round((x * x + y * y) / 8, 3) AS penalty FROM c""")
@@ -216,9 +216,12 @@ def centroid_penalties(spark, sf_dir):
     return out.select("image", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"), F.round("penalty", 3).alias("penalty"))
 
 
-@query(f"""SELECT range AS pixel, round(-4 * ln(2::DOUBLE) * (pow(3.5 - range % 8, 2) + pow(3.5 - range // 8, 2)) * 1e6 / pow(1.13 * 299792458.0::DOUBLE / (2.3e11::DOUBLE * 12) / {M}, 2), 8) AS log_beam FROM range(64)""")
+@query(f"""WITH {PIXELS} SELECT DISTINCT row, col, round(-4 * ln(2::DOUBLE) * (pow(9.5 - col, 2) + pow(9.5 - row, 2)) * 1e6 / pow(1.13 * 299792458.0::DOUBLE / (2.3e11::DOUBLE * 12) / {M}, 2), 8) AS log_beam FROM px""")
 def primary_beam_map(spark, sf_dir):
-    return rounded(imaging.primary_beam(imaging.pixels(spark, 8, 1000.0), 2.3e11, 12.0, 1.13), 8, "log_beam").select("pixel", "log_beam")
+    """The beam's log attenuation at every pixel that the parts' images have."""
+    px = derived.pixel_image(spark, sf_dir).select("row", "col").distinct()
+    placed = px.withColumns({"dra": (9.5 - F.col("col")) * 1000.0, "ddec": (9.5 - F.col("row")) * 1000.0})
+    return rounded(imaging.primary_beam(placed, 2.3e11, 12.0, 1.13), 8, "log_beam").select("row", "col", "log_beam")
 
 
 # Statistics ----------------------------------------------------------------------------------------------------------
