@@ -14,7 +14,7 @@ from ..functions.geometry import offset_phase
 from ..operators import arcs, gridding, imaging, orbits
 from ..operators.lattice import Lattice
 from ..sources import oifits_source
-from . import derived, grid, injection, limits, models, particles
+from . import cleaning, derived, grid, injection, limits, models, particles
 from .arrow import Arrow, station_modes
 from .catalogue import AXES, K2, MAS, log_gamma_tail, noise_of, noise_sql, query, rounded
 from .derived import BASELINES, PIXELS, RADIO, SAMPLES
@@ -292,3 +292,14 @@ def oifits_round_trip(spark, sf_dir):
         F.count("*").alias("n"), total("value", 6).alias("v2"), total("error", 6).alias("error"), total("u", 4).alias("u"), total("mjd", 4).alias("mjd"), F.sum((F.col("sta1") + F.col("sta2") * 10).cast("long")).alias("stations"), total("amp", 6).alias("amp"), total("phi", 6).alias("phi"),
     )
     return out
+
+
+# CLEAN ---------------------------------------------------------------------------------------------------------------
+
+
+@query()
+def restored_map(spark, sf_dir):
+    """All visibilities cleaned in three rounds and seen by the beam of the main lobe, on 24 x 24 pixels."""
+    points = derived.radio(spark, sf_dir).withColumn("imaging_weight", F.col("weight"))
+    found = cleaning.clean(points, 24, 2.0, rounds=3, patch=8, tile=12)
+    return rounded(found.restored(cleaning.Beam(4.0, 3.0, 20.0)), 6, "value")
