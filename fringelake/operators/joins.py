@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,13 +37,21 @@ def closure_phases(triangles: DataFrame, phases: DataFrame) -> DataFrame:
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_t: str, right_t: str, tolerance: float, right_id: str) -> DataFrame:
     """Each left row with the right row of its keys nearest in time within `tolerance`; first id on ties; left outer.
 
-    Time is cut into bins of the tolerance, so a row meets only three bins of the other side in an equi-join; what is
-    kept is a grouped minimum. `left` needs a column left_id.
+    Time is cut into bins of the tolerance, and the right rows, one for each time, are laid into their bin and the two
+    beside it. A bin's rows of both sides are then walked in time, forwards and backwards, with the last right row seen,
+    so that a crowded bin costs a sort and no pairs. `left` needs a column left_id; null keys and times match nothing.
     """
-    a = left.withColumn("__bin", F.explode(F.array(*((F.floor(F.col(left_t) / tolerance) + d) for d in (-1, 0, 1)))))
-    b = right.withColumn("__bin", F.floor(F.col(right_t) / tolerance)).select(*keys, "__bin", F.col(right_t).alias("__t"), F.col(right_id).alias("__id"))
-    near = a.join(b, [*keys, "__bin"]).where(F.abs(F.col(left_t) - F.col("__t")) <= tolerance)
-    best = near.groupBy("left_id").agg(F.min(F.struct(F.abs(F.col(left_t) - F.col("__t")).alias("d"), "__id")).alias("m")).select("left_id", F.col("m.__id").alias(right_id), F.col("m.d").alias("distance"))
+    there = lambda t: functools.reduce(operator.and_, [F.col(c).isNotNull() for c in (*keys, t)])
+    once = right.where(there(right_t)).groupBy(*keys, F.col(right_t).alias("__t")).agg(F.min(right_id).alias("__id"))
+    b = once.withColumn("__bin", F.explode(F.array(*(F.floor(F.col("__t") / tolerance) + d for d in (-1, 0, 1)))))
+    b = b.select(*keys, "__bin", "__t", F.struct("__t", "__id").alias("__seen"), F.lit(0).alias("__side"))
+    a = left.where(there(left_t)).select(*keys, F.floor(F.col(left_t) / tolerance).alias("__bin"), F.col(left_t).alias("__t"), F.lit(1).alias("__side"), "left_id")
+    both = a.unionByName(b, allowMissingColumns=True)
+    walk = lambda order: F.last("__seen", ignorenulls=True).over(Window.partitionBy(*keys, "__bin").orderBy(order, "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    seen = both.withColumn("__before", walk(F.asc("__t"))).withColumn("__after", walk(F.desc("__t"))).where("__side = 1")
+    near = lambda c: F.when(F.abs(F.col(f"{c}.__t") - F.col("__t")) <= tolerance, F.struct(F.abs(F.col(f"{c}.__t") - F.col("__t")).alias("d"), F.col(f"{c}.__id").alias("id")))
+    found = seen.select("left_id", F.least(near("__before"), near("__after")).alias("m")).where("m is not null")
+    best = found.groupBy("left_id").agg(F.min("m").alias("m")).select("left_id", F.col("m.id").alias(right_id), F.col("m.d").alias("distance"))
     return left.join(best, "left_id", "left")
 
 
