@@ -19,6 +19,15 @@ def test_special_functions():
     assert special.ndtr(1.959963984540054) == pytest.approx(0.975, abs=1e-14)
     assert special.ndtri([1e-12, 0.5, 0.975]) == pytest.approx([-7.034483825301131, 0, 1.959963984540054], abs=1e-9)
     assert special.gammaincc(1.0, [0.0, 1.0, 30.0]) == pytest.approx([1, math.exp(-1), math.exp(-30)], rel=1e-12)
+    # of a large shape: beside the median, as plain series with terms enough have it, and far out
+    for a, x in ((50_000.0, 49_950.0), (300_000.0, 300_000.0), (300_000.0, 301_500.0)):
+        term, total, n = 1 / a, 1 / a, 0
+        while term > 1e-18 * total:
+            n += 1
+            term *= x / (a + n)
+            total += term
+        assert special.gammaincc(a, [x])[0] == pytest.approx(1 - total * math.exp(a * math.log(x) - x - math.lgamma(a)), abs=2e-9)
+    assert special.gammaincc(18e6, [0.0, 18e6, 1e300]) == pytest.approx([1, 0.5 - 1 / (3 * math.sqrt(2 * math.pi * 18e6)), 0], abs=1e-9)
     assert special.chi2ppf([0.95], 1)[0] == pytest.approx(3.841458820694124, rel=1e-9)
     assert special.chi2ppf([0.95], 10)[0] == pytest.approx(18.307038053275146, rel=1e-9)
     low, high = special.clopper_pearson(0, 10)
