@@ -88,7 +88,13 @@ SIDE, SCALE = "(SELECT max(greatest(row, col)) + 1 FROM px)", 5.0
 
 
 def _side(px) -> int:
-    return px.agg(F.max(F.greatest("row", "col"))).first()[0] + 1
+    return max(_shape(px))
+
+
+def _shape(px) -> tuple[int, int]:
+    """Rows and columns of the images."""
+    rows, cols = px.agg(F.max("row"), F.max("col")).first()
+    return rows + 1, cols + 1
 
 
 @query(f"""WITH {RADIO}, {PIXELS}, uv AS (SELECT DISTINCT u, v FROM radio), side AS (SELECT {SIDE} AS n),
@@ -97,7 +103,8 @@ def _side(px) -> int:
 def toeplitz_chi2(spark, sf_dir):
     """Ten images against every visibility by spectral window, from the lattice of pixel differences."""
     px = derived.pixel_image(spark, sf_dir)
-    lattice = Lattice.of(derived.radio(spark, sf_dir), _side(px), SCALE)
+    shape = _shape(px)
+    lattice = Lattice.of(derived.radio(spark, sf_dir), max(shape), SCALE, shape=shape)
     return lattice.chi2(px, gain=1e-3).select("image", "ddid", "n", F.round(F.col("chi2") / F.col("n"), 5).alias("chi2"))
 
 
@@ -105,12 +112,15 @@ def toeplitz_chi2(spark, sf_dir):
     m AS (SELECT u, v, wavel, sum(value * cos(p)) AS re, -sum(value * sin(p)) AS im FROM (SELECT u, v, wavel, value, (u / wavel * ((n - 1) / 2.0::DOUBLE - col) + v / wavel * ((n - 1) / 2.0::DOUBLE - row)) * {SCALE * 2 * math.pi * MAS!r}::DOUBLE AS p FROM im, uv, side) GROUP BY ALL)
     SELECT channel, count(*) AS n, round(avg(re), 6) AS re, round(avg(im), 6) AS im, round(avg(re * re + im * im), 6) AS v2 FROM samples JOIN m USING (u, v, wavel) GROUP BY 1""")
 def gridded_visibilities(spark, sf_dir):
-    """The transform of the parts' summed image at every sample, by a compact kernel on a fine grid."""
+    """The transform of the parts' summed image at every sample's baseline, by a compact kernel on a fine grid."""
     px = derived.pixel_image(spark, sf_dir)
     one = imaging.unit_sum(px.groupBy("row", "col").agg(F.sum("value").alias("value")))
-    s = derived.samples(spark, sf_dir).withColumns({"u": F.col("u") / F.col("wavel"), "v": F.col("v") / F.col("wavel")})
-    z = gridding.image_visibilities(one, s, _side(px), SCALE).join(s.select("sample_id", "channel"), "sample_id")
-    out = z.groupBy("channel").agg(F.count("*").alias("n"), F.avg("re").alias("re"), F.avg("im").alias("im"), F.avg(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("v2"))
+    shape = _shape(px)
+    s = derived.samples(spark, sf_dir).where("u is not null and v is not null").withColumns({"u": F.col("u") / F.col("wavel"), "v": F.col("v") / F.col("wavel")})
+    uv = s.groupBy("channel", "u", "v").agg(F.count("*").alias("n")).select(F.struct("channel", "n").alias("at"), "u", "v")
+    z = gridding.image_visibilities(one, uv, max(shape), SCALE, id="at", shape=shape).select("at.*", "re", "im")
+    mean = lambda x: F.sum(F.col("n") * x) / F.sum("n")
+    out = z.groupBy("channel").agg(F.sum("n").alias("n"), mean(F.col("re")).alias("re"), mean(F.col("im")).alias("im"), mean(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("v2"))
     return rounded(out, 6, "re", "im", "v2")
 
 

@@ -77,3 +77,18 @@ def test_the_lattice_gives_the_direct_chi_square(spark, npix):
         direct = sum(v[i, j] * v[i + a, j + b] for i in range(npix) for j in range(npix) if 0 <= i + a < npix and 0 <= j + b < npix)
         assert x == pytest.approx(direct, abs=1e-9)
     lattice.drop()
+
+
+@pytest.mark.parametrize("rows, cols", [(7, 3), (2, 6)])
+def test_a_narrow_image_has_a_narrow_grid_about_the_same_middle(spark, rows, cols):
+    npix = max(rows, cols)
+    inside = (F.col("row") < rows) & (F.col("col") < cols)
+    px, p = image(spark, npix).where(inside).withColumn("image", F.lit(1)), points(spark, 45)
+    assert gridding.image_grid(px, (rows, cols)).count() == gridding.grid_size(rows) * gridding.grid_size(cols)
+    s = p.select(F.monotonically_increasing_id().alias("sample_id"), "u", "v").localCheckpoint()
+    wide, narrow = ({r.sample_id: (r.re, r.im) for r in gridding.image_visibilities(px, s, npix, SCALE, **k).collect()} for k in ({}, {"shape": (rows, cols)}))
+    assert all(narrow[k] == pytest.approx(z, abs=1e-6) for k, z in wide.items())
+    square, lattice = Lattice.of(p, npix, SCALE), Lattice.of(p, npix, SCALE, shape=(rows, cols))
+    assert lattice.beam.df.count() == 3 * (2 * rows - 1) * (2 * cols - 1) and lattice.cross.df.count() == 3 * rows * cols
+    found, want = ({r.ddid: r.chi2 for r in x.chi2(px, gain=0.9).collect()} for x in (lattice, square))
+    assert found == pytest.approx(want, rel=1e-7)
