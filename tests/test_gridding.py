@@ -92,3 +92,9 @@ def test_a_narrow_image_has_a_narrow_grid_about_the_same_middle(spark, rows, col
     assert lattice.beam.df.count() == 3 * (2 * rows - 1) * (2 * cols - 1) and lattice.cross.df.count() == 3 * rows * cols
     found, want = ({r.ddid: r.chi2 for r in x.chi2(px, gain=0.9).collect()} for x in (lattice, square))
     assert found == pytest.approx(want, rel=1e-7)
+
+
+def test_a_grid_of_some_megabytes_is_joined_and_not_broadcast():
+    """The grid that passes through the driver stays under 8 MB: the parts' image at 60 times sf0.1 is joined."""
+    assert gridding.CELLS * 16 < 8e6
+    assert gridding.grid_size(6000) * gridding.grid_size(20) > gridding.CELLS
