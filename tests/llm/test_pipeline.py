@@ -148,3 +148,26 @@ def test_sets_of_the_similarity_share_a_key(size):
         both = set(keys.of(np.sort(every))) & set(keys.of(np.sort(every[: -(-size * 4 // 5)])))
         assert both
     assert len(keys.of(np.sort(every))) <= 2 * near_copies.bands(0.8)
+
+
+@pytest.mark.parametrize("hubs", [3, 0])
+def test_every_candidate_comes_from_a_walk_of_a_tree(make, spark, tmp_path, monkeypatch, hubs):
+    """Trees that find nothing leave every text, however the shards' members meet."""
+    proposed, links = getattr(near_copies, "_proposed", None), near_copies._shard_links
+
+    def blind(kernel, *settings):
+        def run(batches):
+            within, near_copies.Tree.within = near_copies.Tree.within, lambda self, x, radius: np.zeros(0, np.int64)
+            try:
+                yield from kernel(*settings)(batches)
+            finally:
+                near_copies.Tree.within = within
+
+        return run
+
+    monkeypatch.setattr(near_copies, "HUBS", hubs)
+    monkeypatch.setattr(near_copies, "_proposed", raising=False, value=lambda *a: blind(proposed, *a))
+    monkeypatch.setattr(near_copies, "_shard_links", lambda *a: blind(links, *a))
+    rows = list({r[1]: r for r in near_rows() if r[0] < 150}.values())
+    assert len(brute_near(rows)[0]) > 20
+    assert cp.without_near_duplicates(spark, make(rows), "").count() == len(rows)
