@@ -6,7 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def incidence(legs: np.ndarray) -> np.ndarray:
@@ -58,18 +60,42 @@ def closure_chi2(rows: DataFrame, group: str = "frame") -> DataFrame:
     """(group, chi2, penalty, log_norm, rank) of correlated closure residuals (residual, sigma, s1, s2, s3) of each group.
 
     chi2 is of the whitened sines, whose false minimum at half a turn the penalty removes: the sum of squares of
-    (1 - cos r) / sigma. The log likelihood is -chi2 / 2 - penalty / 2 - log_norm - rank ln(2 pi) / 2. One kernel call a
-    group, which is a frame's triangles.
+    (1 - cos r) / sigma. The log likelihood is -chi2 / 2 - penalty / 2 - log_norm - rank ln(2 pi) / 2. A group, which is
+    a frame's triangles, is one row of lists; the groups of a batch whose legs meet alike are whitened together.
     """
-
-    def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        r, sigma, legs = pdf["residual"].to_numpy(), pdf["sigma"].to_numpy(), pdf[["s1", "s2", "s3"]].to_numpy()
-        z = whiten_closures(np.sin(r), sigma, legs)
-        penalty = 2 * np.sin(r / 2) ** 2 / sigma
-        return pd.DataFrame({group: [key[0]], "chi2": [float(z @ z)], "penalty": [float(penalty @ penalty)], "log_norm": [closure_norm(sigma, legs)], "rank": [len(z)]})
-
     kind = dict(rows.dtypes)[group]
-    return rows.select(group, "residual", "sigma", "s1", "s2", "s3").groupBy(group).applyInPandas(kernel, f"{group} {kind}, chi2 double, penalty double, log_norm double, rank long")
+    triangles = F.sort_array(F.collect_list(F.struct("s1", "s2", "s3", "residual", "sigma")))
+    lists = rows.groupBy(group).agg(triangles.alias("t")).select(group, *(F.col(f"t.{c}").alias(c) for c in ("s1", "s2", "s3", "residual", "sigma")))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            many = b.column("residual").value_lengths().to_numpy(zero_copy_only=False)
+            start = np.cumsum(many) - many
+            flat = {c: b.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("s1", "s2", "s3", "residual", "sigma")}
+            out = np.zeros((b.num_rows, 4))
+            for m in np.unique(many).tolist():
+                own = np.flatnonzero(many == m)
+                at = start[own, None] + np.arange(m)
+                legs = np.stack([flat[c][at] for c in ("s1", "s2", "s3")], axis=2).reshape(len(own), 3 * m)
+                # samples by their rank in the group, so that groups whose legs meet alike are equal
+                order = np.argsort(legs, axis=1, kind="stable")
+                ranks = np.zeros(legs.shape, np.int64)
+                np.put_along_axis(ranks, order, np.cumsum(np.diff(np.take_along_axis(legs, order, 1), axis=1, prepend=np.take_along_axis(legs, order, 1)[:, :1]) != 0, axis=1), 1)
+                shapes, which = np.unique(ranks, axis=0, return_inverse=True)
+                for k, shape in enumerate(shapes):
+                    here = own[which.ravel() == k]
+                    r, sigma = (flat[c][start[here, None] + np.arange(m)] for c in ("residual", "sigma"))
+                    t = incidence(shape.reshape(m, 3))
+                    values, vectors = np.linalg.eigh(t @ t.T / 3)
+                    keep = values > 1e-9 * values.max()
+                    z = (np.sin(r) / sigma) @ (vectors[:, keep] / np.sqrt(values[keep]))
+                    between = np.einsum("ik,gi,il->gkl", vectors[:, keep], sigma**2, vectors[:, keep])
+                    out[here] = np.stack([(z * z).sum(axis=1), ((2 * np.sin(r / 2) ** 2 / sigma) ** 2).sum(axis=1), 0.5 * (np.log(values[keep]).sum() + np.linalg.slogdet(between)[1]), np.full(len(here), keep.sum())], axis=1)
+            yield pa.RecordBatch.from_arrays([b.column(group), *(pa.array(out[:, i]) for i in range(3)), pa.array(out[:, 3].astype(np.int64))], [group, "chi2", "penalty", "log_norm", "rank"])
+
+    return lists.mapInArrow(kernel, f"`{group}` {kind}, chi2 double, penalty double, log_norm double, rank long")
 
 
 def closure_draws(rows: DataFrame, draws: int, group: str = "frame", id: str = "tri_id", seed: int = 0) -> DataFrame:
