@@ -18,8 +18,11 @@ def radial_profile(df: DataFrame, value: str, r: Column, r_max: float, bins: int
     spark = df.sparkSession
     at = F.when(r == r_max, bins - 1).otherwise(F.floor(r / r_max * bins)).cast("int")
     fine = df.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(F.col(value)) < float("inf")) & (r >= 0) & (r <= r_max)).select(at.alias("bin"), F.col(value).alias("x"))
-    quantile = lambda q: F.percentile("x", q)
-    stats = fine.groupBy("bin").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), quantile(0.5).alias("median"), quantile(0.16).alias("q16"), quantile(0.84).alias("q84"), F.count("*").alias("n"))
+    stats = fine.groupBy("bin").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.count("*").alias("n"))
+    # equal values are counted first, so that what a group gathers is its distinct values, once for all quantiles
+    counts = fine.groupBy("bin", "x").agg(F.count("*").alias("c"))
+    found = counts.groupBy(F.col("bin").alias("__bin")).agg(F.percentile("x", [0.5, 0.16, 0.84], F.col("c")).alias("q"))
+    stats = stats.join(found, F.col("bin") == F.col("__bin")).select("bin", "mean", "std", "n", *(F.col("q")[i].alias(k) for i, k in enumerate(("median", "q16", "q84"))))
     every = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
     return every.join(stats, "bin", "left").select("bin", ((F.col("bin") + 0.5) * (r_max / bins)).alias("radius"), "mean", "std", "median", "q16", "q84", F.coalesce("n", F.lit(0)).alias("n"))
 
