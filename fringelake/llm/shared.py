@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: The characters that part words, as a Java and DuckDB class; bytes.split() parts at the same six.
@@ -48,6 +48,13 @@ def materialize(df: DataFrame, tag: str, *by: str) -> DataFrame:
     return out
 
 
+def counted(df: DataFrame, tag: str, **sums: Column) -> tuple[DataFrame, dict[str, int]]:
+    """materialize(), with the number of `rows` and aggregates `sums` of what was written, taken along in the same job."""
+    seen = Observation()
+    out = materialize(df.observe(seen, F.count(F.lit(1)).alias("rows"), *(F.coalesce(x, F.lit(0)).alias(k) for k, x in sums.items())), tag)
+    return out, seen.get
+
+
 def release(df: DataFrame) -> None:
     """Delete a table that materialize() wrote and that no result reads any more."""
     path = getattr(df, "_fringelake_path", None)
@@ -92,21 +99,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Large-star hangs every larger neighbour on a node's smallest neighbour, small-star the smaller ones; both are a
     grouped minimum (combined before the shuffle) and an equi-join whose hot side adaptive execution can split, so a
     hub with a third of all links stays spread. Each round is written to the shared folder and the last one dropped.
+    The minima of a round tell, without a round more, that all edges are stars: every node is then smaller than its
+    neighbours or has one neighbour alone.
     """
     now = edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct()
-    now, state = materialize(now, "edges"), None
+    now = materialize(now, "edges")
     while True:
-        row = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(row) == state or row[0] == 0:
-            break
-        state = tuple(row)
-        both = now.select(F.col("a").alias("n"), F.col("b").alias("m")).union(now.select("b", "a"))
-        least = both.groupBy("n").agg(F.min("m").alias("low")).select("n", F.least("n", "low").alias("low"))
-        large = both.join(least, "n").where("m > n").select(F.col("m").alias("a"), F.col("low").alias("b")).distinct()
+        both = now.select(F.explode(F.array(F.struct(F.col("a").alias("n"), F.col("b").alias("m")), F.struct(F.col("b").alias("n"), F.col("a").alias("m")))).alias("e")).select("e.*")
+        least = both.groupBy("n").agg(F.min("m").alias("low"), F.count("*").alias("many")).select("n", F.least("n", "low").alias("low"), ((F.col("low") < F.col("n")) & (F.col("many") > 1)).alias("open"))
+        least, seen = counted(least, "least", open=F.count_if("open"))
+        if not seen["open"]:
+            release(now)
+            return least.select(F.col("n").alias("node"), F.col("low").alias("root"))
+        large = both.join(least.select("n", "low"), "n").where("m > n").select(F.col("m").alias("a"), F.col("low").alias("b")).distinct()
         lows = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(lows, "a").select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")).select("e.*")
         after = materialize(small.where("a != b").distinct(), "edges")
         release(now)
+        release(least)
         now = after
-    hung = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return hung.union(now.select("b", "b").distinct())
