@@ -108,38 +108,3 @@ def build(wave: np.ndarray, band: np.ndarray, vis2: dict[str, np.ndarray], t3: d
         c |= {f"{x}{i}COORD": np.asarray(t3[f"{x.lower()}{i}"], float) for i in (1, 2) for x in ("U", "V")} | {"STA_INDEX": np.asarray(t3["sta"], np.int16), "FLAG": np.zeros((m, k), bool)}
         tables.append(fits.Table("OI_T3", head, c))
     return fits.write(tables)
-
-
-def build_long(pdf: pd.DataFrame) -> bytes:
-    """An OIFITS file of long rows of one file (`target` beside the columns of ROW): a table for each kind of rows and instrument."""
-    names = sorted(set(pdf["target"].astype(str)))
-    number = {n: i + 1 for i, n in enumerate(names)}
-    tables = [fits.Table("OI_TARGET", {"OI_REVN": 2}, {"TARGET_ID": np.arange(1, len(names) + 1, dtype=np.int16), "TARGET": np.array(names, object)})]
-    for ins, own in pdf.groupby("insname", sort=True):
-        head = {"OI_REVN": 2, "ARRNAME": "ARRAY", "INSNAME": str(ins), "DATE-OBS": "2024-01-01"}
-        waves = own.groupby("channel")[["wavel", "bandwidth"]].first()
-        k = len(waves)
-        tables.append(fits.Table("OI_WAVELENGTH", head, {"EFF_WAVE": waves["wavel"].to_numpy(np.float64), "EFF_BAND": waves["bandwidth"].to_numpy(np.float64)}))
-        for table in dict.fromkeys(v[0] for v in KINDS.values()):
-            parts = {kind: own[own["kind"] == kind].sort_values(["row", "channel"], kind="stable") for kind, v in KINDS.items() if v[0] == table and (own["kind"] == kind).any()}
-            # kinds of one table whose rows are the same share it; others have one each
-            groups: dict[tuple, list[str]] = {}
-            for kind, x in parts.items():
-                groups.setdefault(tuple(x["row"]), []).append(kind)
-            for kinds in groups.values():
-                first = parts[kinds[0]]
-                rows = first[first["channel"] == first["channel"].min()]
-                n = len(rows)
-                get = lambda c: rows[c].to_numpy(float)
-                c = {"TARGET_ID": rows["target"].astype(str).map(number).to_numpy(np.int16), "TIME": get("time"), "MJD": get("mjd"), "INT_TIME": get("exposure")}
-                for kind in kinds:
-                    _, value, error, scale = KINDS[kind]
-                    c |= {value: parts[kind]["value"].to_numpy(float).reshape(n, k) / scale, error: parts[kind]["error"].to_numpy(float).reshape(n, k) / scale}
-                if table == "OI_T3":
-                    c |= {"U1COORD": get("u"), "V1COORD": get("v"), "U2COORD": get("u2"), "V2COORD": get("v2")}
-                elif table != "OI_FLUX":
-                    c |= {"UCOORD": get("u"), "VCOORD": get("v")}
-                stations = rows[["sta1", "sta2", "sta3"][: {"OI_T3": 3, "OI_FLUX": 1}.get(table, 2)]].to_numpy(np.int16)
-                c |= {"STA_INDEX": stations[:, 0] if table == "OI_FLUX" else stations, "FLAG": first["flag"].to_numpy(bool).reshape(n, k)}
-                tables.append(fits.Table(table, head, c))
-    return fits.write(tables)

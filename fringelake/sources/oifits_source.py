@@ -1,4 +1,4 @@
-"""OIFITS as a Spark data source: a partition a file, filters pushed into the reader, files written by their tasks.
+"""OIFITS as a Spark data source: a partition a piece of a file, filters pushed into the reader, files written by their tasks.
 
     register(spark)
     rows = spark.read.format("oifits").option("pushdown", "true").load("/data/night").where("target = 'HD 1' and kind = 'v2'")
@@ -16,11 +16,13 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
+from ..plans.work import Table
 from . import fits, oifits
 
 ROW = oifits.ROW + ", target string"
@@ -29,6 +31,9 @@ NAMES = [x.split()[0] for x in ROW.split(", ")]
 PUSHED = ("target", "insname", "kind")
 #: Days within which rows count as one exposure where a file gives no exposure times.
 TOLERANCE = 1e-4
+#: Rows times channels that a task reads, or writes at a time.
+VALUES = 50_000
+OBSERVED = {v[0] for v in oifits.KINDS.values()}
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
@@ -50,8 +55,38 @@ def _files(path: str) -> list[str]:
     return [head + n for n in names]
 
 
-class File(InputPartition):
-    pass
+class Piece(InputPartition):
+    """Rows of the tables of a file: (place of the table among its tables, first row, last row)."""
+
+    def __init__(self, path: str, spans: list[tuple[int, int, int]]):
+        self.path, self.spans = path, spans
+
+
+def pieces(path: str, values: int = 0) -> list[Piece]:
+    """A file in pieces of `values` numbers of rows and channels, by its headers alone; small tables share a piece."""
+    values = values or VALUES
+    system, at = _open(path)
+    with system.open_input_file(at) as f:
+        parts = fits.parts(f)
+    channels = {_ins(p.header): p.rows for p in parts if p.name == "OI_WAVELENGTH"}
+    out, room = [], 0
+    for i, p in enumerate(parts):
+        if p.name not in OBSERVED:
+            continue
+        first, each = 0, max(1, channels.get(_ins(p.header), 1))
+        while first < p.rows:
+            if room < each:
+                out.append(Piece(path, []))
+                room = max(values, each)
+            last = min(p.rows, first + room // each)
+            out[-1].spans.append((i, first, last))
+            room -= (last - first) * each
+            first = last
+    return out
+
+
+def _ins(header: dict) -> str:
+    return str(header.get("INSNAME", "")).strip()
 
 
 class OifitsReader(DataSourceReader):
@@ -60,16 +95,14 @@ class OifitsReader(DataSourceReader):
         self.wanted: dict[str, set[str]] = {}
 
     def partitions(self) -> list[InputPartition]:
-        return [File(p) for p in _files(self.path)]
+        return [x for p in _files(self.path) for x in pieces(p)]
 
-    def read(self, partition: File | None) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Piece | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # what Spark hands over where there are no partitions
             return
-        system, at = _open(partition.value)
-        with system.open_input_stream(at) as f:
-            pdf = rows_of(partition.value, f.read(), self.wanted)
-        for start in range(0, len(pdf), 10_000):
-            yield pa.RecordBatch.from_pandas(pdf.iloc[start : start + 10_000], schema=_SCHEMA, preserve_index=False)
+        for pdf in rows_of(partition, self.wanted):
+            for start in range(0, len(pdf), 10_000):
+                yield pa.RecordBatch.from_pandas(pdf.iloc[start : start + 10_000], schema=_SCHEMA, preserve_index=False)
 
 
 class PushingReader(OifitsReader):
@@ -107,30 +140,31 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(OifitsSource)
 
 
-def rows_of(name: str, content: bytes, wanted: dict[str, set[str]]) -> pd.DataFrame:
-    """The wanted rows and channels of a file; a table of another kind or instrument is not unpacked. Absent numbers become null."""
-    tables = fits.read(content)
-    targets = {int(i): str(n).strip() for t in tables if t.name == "OI_TARGET" for i, n in zip(t.columns["TARGET_ID"], t.columns["TARGET"])}
+def rows_of(piece: Piece, wanted: dict[str, set[str]]) -> Iterator[pd.DataFrame]:
+    """The wanted rows and channels of a piece; a table of another kind or instrument is not read. Absent numbers become null."""
+    system, at = _open(piece.path)
     keep = lambda kind, value: kind not in wanted or value in wanted[kind]
     kinds = {k: v for k, v in oifits.KINDS.items() if keep("kind", k)}
-    names = {v[0] for v in kinds.values()}
-    held = [t for t in tables if t.name == "OI_WAVELENGTH" or (t.name in names and keep("insname", str(t.header.get("INSNAME", "")).strip()))]
-    out = []
-    for kind in kinds:
-        for t in held:
-            if t.name != kinds[kind][0]:
+    with system.open_input_file(at) as f:
+        parts = fits.parts(f)
+        small = [fits.rows_of(f, p) for p in parts if p.name in ("OI_TARGET", "OI_WAVELENGTH")]
+        targets = {int(i): str(n).strip() for t in small if t.name == "OI_TARGET" for i, n in zip(t.columns["TARGET_ID"], t.columns["TARGET"])}
+        waves = [t for t in small if t.name == "OI_WAVELENGTH"]
+        for i, first, last in piece.spans:
+            own = [k for k, v in kinds.items() if v[0] == parts[i].name]
+            if not own or not keep("insname", _ins(parts[i].header)):
                 continue
-            waves = [w for w in held if w.name == "OI_WAVELENGTH"]
+            t = fits.rows_of(f, parts[i], first, last)
             ids = np.array([targets.get(int(i)) for i in t.columns["TARGET_ID"]], object)
             chosen = np.array([keep("target", x) for x in ids], bool)
-            if not chosen.any() or kinds[kind][1] not in t.columns:
-                continue
-            part = fits.Table(t.name, t.header, {c: np.asarray(x)[chosen] for c, x in t.columns.items()})
-            pdf = oifits.long_rows(name, kind, part, waves)
-            # rows keep the numbers they have in the file's table
-            pdf["row"] = np.flatnonzero(chosen)[pdf["row"].to_numpy()]
-            out.append(pdf.assign(target=np.repeat(ids[chosen], len(pdf) // len(ids[chosen]))))
-    return pd.concat(out)[NAMES] if out else pd.DataFrame(columns=NAMES)
+            for kind in own:
+                if not chosen.any() or kinds[kind][1] not in t.columns:
+                    continue
+                part = fits.Table(t.name, t.header, {c: np.asarray(x)[chosen] for c, x in t.columns.items()})
+                pdf = oifits.long_rows(piece.path, kind, part, waves)
+                # rows keep the numbers they have in the file's table
+                pdf["row"] = first + np.flatnonzero(chosen)[pdf["row"].to_numpy()]
+                yield pdf.assign(target=np.repeat(ids[chosen], len(pdf) // len(ids[chosen])))[NAMES]
 
 
 def exposures(long: DataFrame) -> DataFrame:
@@ -190,22 +224,144 @@ def frame_means(long: DataFrame) -> DataFrame:
     return framed.withColumn("frame_mjd", F.avg("mjd").over(Window.partitionBy("file", "target", "insname", "frame"))).drop("__new", "tolerance")
 
 
+#: What the channels of a row of a file share; the row comes first, as sorts tell most rows apart by it.
+SHARED = ["row", "mjd", "time", "exposure", "sta1", "sta2", "sta3", "u", "v", "u2", "v2", "target"]
+#: Kinds that stand second in a table that they may share.
+SECOND = ("phi", "t3amp")
+
+
+def _copies(cells: str) -> Column:
+    """Rows that the cells of one row fill: more than one if a channel is there again."""
+    channels = F.transform(cells, lambda c: c["channel"])
+    each = F.transform(F.array_distinct(channels), lambda c: F.size(F.filter(channels, lambda x: x == c)))
+    return F.when(F.size(cells) == 0, 0).when(F.size(F.array_distinct(channels)) == F.size(cells), 1).otherwise(F.array_max(each)).cast("long")
+
+
+class _Written:
+    """A file that is written as its rows come in: tables by instrument, kind and row, whose lengths are known before."""
+
+    def __init__(self, path: str, name: str, head: dict):
+        self.name = name if name.endswith((".fits", ".oifits")) else f"{name}.fits"
+        self.system, self.at = _open(path)
+        self.system.create_dir(self.at, recursive=True)
+        self.part = f"{self.at}/.{self.name}.{np.random.default_rng().integers(1 << 62):x}"
+        self.f = self.system.open_output_stream(self.part)
+        self.number = {n: i + 1 for i, n in enumerate(head["targets"])}
+        self.channels = {w["insname"]: [c["channel"] for c in w["waves"]] for w in head["instruments"]}
+        self.lengths = {(t["insname"], t["name"], k): t["lengths"][k] for t in head["tables"] for k in (0, 1)}
+        self.now, self.size, self.rows = None, 0, 0
+        targets = {"TARGET_ID": np.arange(1, len(self.number) + 1, dtype=np.int16), "TARGET": np.array(head["targets"], object)}
+        tables = [fits.Table("OI_TARGET", {"OI_REVN": 2}, targets)]
+        for w in head["instruments"]:
+            waves = {c: np.array([x[k] for x in w["waves"]], float) for c, k in (("EFF_WAVE", "wavel"), ("EFF_BAND", "bandwidth"))}
+            tables.append(fits.Table("OI_WAVELENGTH", self.header(w["insname"]), waves))
+        self.f.write(fits.write(tables))
+
+    def header(self, ins: str) -> dict:
+        return {"OI_REVN": 2, "ARRNAME": "ARRAY", "INSNAME": ins, "DATE-OBS": "2024-01-01"}
+
+    def add(self, b: pa.RecordBatch, ins: str, name: str, second: int) -> None:
+        kinds = [k for k, v in oifits.KINDS.items() if v[0] == name]
+        cells = [b.column(c) for c in ("one", "two")]
+        held = [(k, c) for k, c in zip(kinds, cells) if pc.sum(pc.list_value_length(c)).as_py()]
+        channels, times = self.channels[ins], b.column("copies").to_numpy()
+        n, first = int(times.sum()), np.cumsum(times) - times
+        wide = lambda c: np.repeat(b.column(c).to_numpy(zero_copy_only=False), times)
+        get = lambda c: wide(c).astype(float)
+        c = {"TARGET_ID": np.array([self.number[x] for x in wide("target")], np.int16), "TIME": get("time"), "MJD": get("mjd"), "INT_TIME": get("exposure")}
+        flag = np.ones((n, len(channels)), bool)
+        for kind, x in held:
+            _, value, error, scale = oifits.KINDS[kind]
+            row = np.repeat(np.arange(len(x)), pc.fill_null(pc.list_value_length(x), 0).to_numpy())
+            channel, values, errors, flags = (y.to_numpy(zero_copy_only=False) for y in x.flatten().flatten())
+            place = np.searchsorted(channels, channel)
+            new = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(place, prepend=-1) != 0))
+            again = np.arange(len(row)) - np.repeat(new, np.diff(new, append=len(row)))
+            at = first[row] + again, place
+            for column, y in ((value, values), (error, errors)):
+                c[column] = np.full(flag.shape, np.nan)
+                c[column][at] = y / scale
+            if kind == held[0][0]:
+                flag[at] = flags
+            self.rows += len(row)
+        if name == "OI_T3":
+            c |= {"U1COORD": get("u"), "V1COORD": get("v"), "U2COORD": get("u2"), "V2COORD": get("v2")}
+        elif name != "OI_FLUX":
+            c |= {"UCOORD": get("u"), "VCOORD": get("v")}
+        stations = np.stack([wide(f"sta{i + 1}").astype(np.int16) for i in range({"OI_T3": 3, "OI_FLUX": 1}.get(name, 2))], axis=1)
+        c |= {"STA_INDEX": stations[:, 0] if name == "OI_FLUX" else stations, "FLAG": flag}
+        table = fits.Table(name, self.header(ins), c)
+        if self.now != (ins, name, second):
+            self.end()
+            self.now = ins, name, second
+            self.f.write(fits.start(table, self.lengths[self.now]))
+        body = fits.rows(table)
+        self.size += len(body)
+        self.f.write(body)
+
+    def end(self) -> None:
+        self.f.write(fits.padding(self.size))
+        self.size = 0
+
+    def close(self) -> pa.RecordBatch:
+        self.end()
+        self.f.close()
+        self.system.move(self.part, f"{self.at}/{self.name}")
+        return pa.RecordBatch.from_pydict({"file": [self.name], "rows": [self.rows]})
+
+
 def write(long: DataFrame, path: str) -> DataFrame:
-    """(file, rows): long rows written as one OIFITS file for each value of `file`, in the folder `path`, by the file's task.
+    """(file, rows): long rows written as one OIFITS file for each value of `file`, in the folder `path`; written when it returns.
 
     `file` names are taken without their folders, with `.fits` put on where it is missing. A file is written under
     another name and moved when it is whole, so that a task that is run again leaves one file. Tables are one for each
-    kind and instrument; VIS and T3 tables hold amplitudes and phases together where rows have both.
+    kind and instrument; VIS and T3 tables hold amplitudes and phases together where all rows have both, with equal
+    flags. Spark gathers the channels of a row, counts and sorts the rows; a file's task writes them as they come, some
+    thousands at a time. A channel that a row lacks is flagged, without a value.
     """
-    def task(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        name = posixpath.basename(str(key[0]))
-        name = name if name.endswith((".fits", ".oifits")) else f"{name}.fits"
-        system, at = _open(path)
-        system.create_dir(at, recursive=True)
-        part = f"{at}/.{name}.{np.random.default_rng().integers(1 << 62):x}"
-        with system.open_output_stream(part) as f:
-            f.write(oifits.build_long(pdf))
-        system.move(part, f"{at}/{name}")
-        return pd.DataFrame({"file": [name], "rows": [len(pdf)]})
-
-    return long.groupBy("file").applyInPandas(task, "file string, rows long")
+    names = F.create_map(*(F.lit(x) for k, v in oifits.KINDS.items() for x in (k, v[0])))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None")).alias(c)
+    long = long.withColumns({c: text(c) for c in ("file", "insname", "target")})
+    cell = F.struct(*(F.col(c).cast(t).alias(c) for c, t in (("channel", "int"), ("value", "double"), ("error", "double"))), F.coalesce("flag", F.lit(False)).alias("flag"))
+    cells = lambda which: F.array_sort(F.collect_list(F.when(which, cell)))
+    by, second = ["file", "insname", "name"], F.col("kind").isin(*SECOND)
+    rows = long.withColumn("name", names[F.col("kind")]).where("name is not null").groupBy(*SHARED, *by).agg(cells(~second).alias("one"), cells(second).alias("two"))
+    rows = Table(rows.withColumns({"n1": _copies("one"), "n2": _copies("two")}), "oifits-rows")
+    keyed = lambda c: F.transform(c, lambda x: F.struct(x["channel"], x["flag"]))
+    both = rows.df.groupBy(*by).agg(F.bool_and(keyed("one") == keyed("two")).alias("both"), F.array(F.sum("n1"), F.sum("n2")).alias("lengths"))
+    both = Table(both, "oifits-tables")
+    waves = long.groupBy("file", "insname", "channel").agg(F.min(F.struct("wavel", "bandwidth")).alias("w"))
+    waves = waves.groupBy("file", "insname").agg(F.array_sort(F.collect_list(F.struct(F.col("channel").cast("int").alias("channel"), "w.wavel", "w.bandwidth"))).alias("waves"))
+    heads = waves.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("insname", "waves"))).alias("instruments"))
+    heads = heads.join(both.df.groupBy("file").agg(F.collect_list(F.struct("insname", "name", "lengths")).alias("tables")), "file")
+    heads = heads.join(rows.df.groupBy("file").agg(F.array_sort(F.collect_set("target")).alias("targets")), "file")
+    void = F.lit(None).cast(rows.df.schema["one"].dataType)
+    table = lambda second, copies, one, two: F.struct(F.lit(second).alias("second"), F.col(copies).alias("copies"), one.alias("one"), two.alias("two"))
+    alone = F.filter(F.array(table(0, "n1", F.col("one"), void), table(1, "n2", void, F.col("two"))), lambda x: x["copies"] > 0)
+    split = F.when(F.col("both"), F.array(table(0, "n1", F.col("one"), F.col("two")))).otherwise(alone)
+    body = rows.df.join(both.df.drop("lengths"), by).select(*by, *SHARED, F.explode(split).alias("x")).select(*by, *SHARED, "x.*")
+    head = heads.select("file", F.struct("targets", "instruments", "tables").alias("head"))
+    stream = body.withColumn("starts", F.lit(1)).unionByName(head.withColumns({"starts": F.lit(0), "insname": F.lit(""), "name": F.lit(""), "second": F.lit(0)}), allowMissingColumns=True)
+    stream = stream.repartition("file").sortWithinPartitions("file", "starts", "insname", "name", "second", "row", "mjd", "time")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None
+        for b in batches:
+            keys = b.select(["file", "starts", "insname", "name", "second"]).to_pandas()
+            edges = np.flatnonzero((keys != keys.shift()).any(axis=1)).tolist()
+            for first, last in zip(edges, [*edges[1:], len(keys)]):
+                file, starts, ins, name, second = keys.iloc[first]
+                if not starts:
+                    if now:
+                        yield now.close()
+                    now = _Written(path, posixpath.basename(file), b.column("head")[first].as_py())
+                    continue
+                for at in range(first, last, step := max(1, VALUES // len(now.channels[ins]))):
+                    now.add(b.slice(at, min(step, last - at)), ins, name, second)
+        if now:
+            yield now.close()
+
+    done = Table(stream.mapInArrow(task, "file string, rows long"), "oifits-written")
+    rows.drop()
+    both.drop()
+    return done.df
