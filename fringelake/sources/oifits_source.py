@@ -10,6 +10,7 @@ pushed filters for a loaded frame, and a query that filters such a frame in two
 
 from __future__ import annotations
 
+import json
 import posixpath
 from collections.abc import Iterable, Iterator
 
@@ -253,7 +254,7 @@ class _Written:
         targets = {"TARGET_ID": np.arange(1, len(self.number) + 1, dtype=np.int16), "TARGET": np.array(head["targets"], object)}
         tables = [fits.Table("OI_TARGET", {"OI_REVN": 2}, targets)]
         for w in head["instruments"]:
-            waves = {c: np.array([x[k] for x in w["waves"]], float) for c, k in (("EFF_WAVE", "wavel"), ("EFF_BAND", "bandwidth"))}
+            waves = {c: np.array([x.get(k) for x in w["waves"]], float) for c, k in (("EFF_WAVE", "wavel"), ("EFF_BAND", "bandwidth"))}
             tables.append(fits.Table("OI_WAVELENGTH", self.header(w["insname"]), waves))
         self.f.write(fits.write(tables))
 
@@ -335,13 +336,15 @@ def write(long: DataFrame, path: str) -> DataFrame:
     heads = waves.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("insname", "waves"))).alias("instruments"))
     heads = heads.join(both.df.groupBy("file").agg(F.collect_list(F.struct("insname", "name", "lengths")).alias("tables")), "file")
     heads = heads.join(rows.df.groupBy("file").agg(F.array_sort(F.collect_set("target")).alias("targets")), "file")
-    void = F.lit(None).cast(rows.df.schema["one"].dataType)
+    # no null among nested columns: for each row that Spark hands to Python it would go through a batch's nulls before it
+    void = F.array().cast(rows.df.schema["one"].dataType)
     table = lambda second, copies, one, two: F.struct(F.lit(second).alias("second"), F.col(copies).alias("copies"), one.alias("one"), two.alias("two"))
     alone = F.filter(F.array(table(0, "n1", F.col("one"), void), table(1, "n2", void, F.col("two"))), lambda x: x["copies"] > 0)
     split = F.when(F.col("both"), F.array(table(0, "n1", F.col("one"), F.col("two")))).otherwise(alone)
     body = rows.df.join(both.df.drop("lengths"), by).select(*by, *SHARED, F.explode(split).alias("x")).select(*by, *SHARED, "x.*")
-    head = heads.select("file", F.struct("targets", "instruments", "tables").alias("head"))
-    stream = body.withColumn("starts", F.lit(1)).unionByName(head.withColumns({"starts": F.lit(0), "insname": F.lit(""), "name": F.lit(""), "second": F.lit(0)}), allowMissingColumns=True)
+    head = heads.select("file", F.to_json(F.struct("targets", "instruments", "tables")).alias("head"))
+    nothing = {"starts": F.lit(0), "insname": F.lit(""), "name": F.lit(""), "second": F.lit(0), "one": void, "two": void}
+    stream = body.withColumns({"starts": F.lit(1), "head": F.lit("")}).unionByName(head.withColumns(nothing), allowMissingColumns=True)
     stream = stream.repartition("file").sortWithinPartitions("file", "starts", "insname", "name", "second", "row", "mjd", "time")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,7 +357,7 @@ def write(long: DataFrame, path: str) -> DataFrame:
                 if not starts:
                     if now:
                         yield now.close()
-                    now = _Written(path, posixpath.basename(file), b.column("head")[first].as_py())
+                    now = _Written(path, posixpath.basename(file), json.loads(b.column("head")[first].as_py()))
                     continue
                 for at in range(first, last, step := max(1, VALUES // len(now.channels[ins]))):
                     now.add(b.slice(at, min(step, last - at)), ins, name, second)
