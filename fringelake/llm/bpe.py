@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import returning_memory
+from .shared import kept, returning_memory
 
 #: Runs and words, together, that one generation of a worker's cache keeps, and prefixes of words, of which all are dropped together.
 KEPT, PREFIXES, PAIRS = 100_000, 100_000, 150_000
@@ -315,10 +315,9 @@ class Bpe:
         return " ".join([known[i] for i in ids if i in known])
 
 
-@functools.cache
 def load(path: str) -> Bpe:
-    """One vocabulary per worker process."""
-    return Bpe(path)
+    """One vocabulary per worker process, until it runs another function of this subpackage."""
+    return kept(f"bpe {path}", lambda: Bpe(path))
 
 
 def _encoded(path: str, with_ids: bool):
@@ -347,7 +346,7 @@ def encode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     again. Special tokens in a text are taken as such. Null counts as empty: 0 tokens and the digests of nothing. Rows
     are independent, so repeated rows, ties, other columns and empty tables need nothing special. Very long texts and
     words are read whole, in time and memory that grow with their length; a worker keeps the vocabulary, and caches
-    bounded in bytes, for its next task.
+    bounded in bytes, for its next task of this function.
     """
     more = ", ids array<int>, decoded string" if with_ids else ""
-    return docs.select("doc_id", "text").mapInArrow(returning_memory(_encoded(path, with_ids)), f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
+    return docs.select("doc_id", "text").mapInArrow(returning_memory(_encoded(path, with_ids), f"bpe {path}"), f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import returning_memory
+
 #: Buckets that character n-grams of 1 to 3 are hashed into.
 BUCKETS = 1 << 16
 #: Documents that the weights are fitted on at most, dealt evenly over the languages, but EACH of any language
@@ -125,14 +127,14 @@ def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE, l1: float = 0.05,
         return [], np.zeros((BUCKETS + 1, 0)), 1.0
     total = sum(r["count"] for r in sizes)
     freq = np.zeros(BUCKETS)
-    for r in rows.select("text").mapInArrow(_document_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for r in rows.select("text").mapInArrow(returning_memory(_document_frequencies), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         freq[r.bucket] = r.n
     idf = np.log((1 + total) / (1 + freq)) + 1
     each = max(EACH, sample // len(langs))
     # of each language a share of the hash range that holds somewhat more than `each` rows, of which the first are taken
     shares = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, 1.5 * each / r["count"]))))
     chosen = rows.where(F.col("order").cast("double") / 2.0**64 + 0.5 < F.element_at(shares, F.col("lang")))
-    got = chosen.select("lang", "text", "order").mapInArrow(_features, "lang string, order long, at binary, n binary").toArrow().sort_by([("order", "ascending"), ("lang", "ascending")])
+    got = chosen.select("lang", "text", "order").mapInArrow(returning_memory(_features), "lang string, order long, at binary, n binary").toArrow().sort_by([("order", "ascending"), ("lang", "ascending")])
     index = {x: i for i, x in enumerate(langs)}
     x, y, per = [], [], np.zeros(len(langs), int)
     for lang, at, n in zip(got["lang"], got["at"], got["n"]):
@@ -160,24 +162,24 @@ SCALE = 10.0
 def _predictor(model):
     """An Arrow function of the text alone: the language and its score. Other columns stay in the JVM."""
 
-    @F.arrow_udf("struct<lang_pred: string, score: double>")
-    def predicted(text: pa.Array) -> pa.Array:
+    def predicted(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         langs, w, t = model.value
         table, bias = np.ascontiguousarray(w[:-1], np.float32), w[-1]
-        out, score = [], np.zeros(len(text))
-        for i, x in enumerate(text):
-            total, n = 0.0, 0
-            for g in grams(x.as_py() or ""):
-                total, n = total + table.take(g, axis=0).sum(axis=0, dtype=np.float64), n + len(g)
-            if not n or not langs:
-                out.append("und")
-                continue
-            p = _softmax((total / n + bias) / t)
-            out.append(langs[int(p.argmax())])
-            score[i] = p.max()
-        return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(score)], ["lang_pred", "score"])
-
-    return predicted.asNondeterministic()  # so that a filter on the result is not pushed below it, to score each text twice
+        for text in texts:
+            out, score = [], np.zeros(len(text))
+            for i, x in enumerate(text):
+                total, n = 0.0, 0
+                for g in grams(x.as_py() or ""):
+                    total, n = total + table.take(g, axis=0).sum(axis=0, dtype=np.float64), n + len(g)
+                if not n or not langs:
+                    out.append("und")
+                    continue
+                p = _softmax((total / n + bias) / t)
+                out.append(langs[int(p.argmax())])
+                score[i] = p.max()
+            yield pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(score)], ["lang_pred", "score"])
+
+    return F.arrow_udf(returning_memory(predicted), "struct<lang_pred: string, score: double>").asNondeterministic()  # so that a filter on the result is not pushed below it, to score each text twice
 
 
 def identify(docs: DataFrame, held_out: Column, **settings) -> DataFrame:

@@ -16,6 +16,11 @@ from pyspark.sql import functions as F
 #: The characters that part words, as a Java and DuckDB class; bytes.split() parts at the same six.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
+#: Rows and bytes of a batch that goes to Python, in a session that small_batches() was called for.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 512, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+
+#: What this worker process keeps for its next task, by name.
+_kept: dict[str, object] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -64,22 +69,53 @@ def release(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def returning_memory(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's limits of an Arrow batch to BATCH, where they aren't lower.
+
+    By Spark's own, a task's texts are one batch of tens of MB, held several times over by the JVM and the worker. The
+    limits stay, as a stage's plan is made when its result is written.
+    """
+    for key, most in BATCH.items():
+        now = int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
+def kept(name: str, make: Callable[[], object]) -> object:
+    """make(), kept by this worker process for its next tasks, until one of returning_memory() keeps another name."""
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]
+
+
+def forget(but: str = "") -> None:
+    """Drop what kept() holds under other names."""
+    for name in _kept.keys() - {but}:
+        del _kept[name]
+
+
+def give_back() -> None:
+    """Give freed memory of Arrow's pool and the C library back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def returning_memory(run: Callable[[Iterator], Iterator], keeps: str = "") -> Callable[[Iterator], Iterator]:
     """An Arrow function that gives what its batches took back to the system at the end of a task.
 
-    Workers live on between tasks, and Arrow's pool and the C library keep freed memory for them, some 250 MB after
-    batches of long texts.
+    Workers live on between tasks and stages, and Arrow's pool and the C library keep freed memory for them, some 250 MB
+    after batches of long texts. What another stage's tasks left with kept() goes first, unless it is named `keeps`.
     """
 
     @functools.wraps(run)
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def task(batches: Iterator) -> Iterator:
+        forget(keeps)
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            give_back()
 
     return task
 
